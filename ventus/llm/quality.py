@@ -36,22 +36,6 @@ _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 WINDOW = 8
 
 
-def _repeats_of(owner: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(equal to an earlier one of the same owner, found twice or more there)."""
-    if not len(codes):
-        none = np.zeros(0, dtype=bool)
-        return none, none
-    with np.errstate(over="ignore"):
-        key = tx.mix(codes ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    later, twice = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
-    later[order[1:]] = same
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
-    return later, twice
-
-
 def _measure(t: tx.Texts) -> dict[str, np.ndarray]:
     w = tx.words_of(t)
     solid = ~tx._SPACE[t.data]
@@ -68,11 +52,11 @@ def _measure(t: tx.Texts) -> dict[str, np.ndarray]:
     solids = np.concatenate(([0], np.cumsum(solid)))
     wordy = solids[line_end] > solids[line_start]
     hashed = tx.byte_hash(t.data)(line_start[wordy], line_end[wordy])
-    dup_line, _ = _repeats_of(line_owner[wordy], hashed)
+    dup_line, _ = tx.repeats_of(line_owner[wordy], hashed)
     # windows
     windows = tx.window_codes(codes, WINDOW)
     ok = np.flatnonzero(tx.inside(w.first, WINDOW))
-    _, twice = _repeats_of(owner[ok], windows[ok])
+    _, twice = tx.repeats_of(owner[ok], windows[ok])
     repeat = tx.covered(ok[twice], WINDOW, len(w))
     stutter = np.zeros(len(w), dtype=bool)
     stutter[1:] = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])

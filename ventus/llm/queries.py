@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventus.llm import bpe, quality, tokens, toxicity
+from ventus.llm import bpe, neardup, quality, tokens, toxicity, wordspans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), may_learn=~_is_held_out())
@@ -31,14 +35,20 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), "word_bpe_49k.json").withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op7_word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordspans.remove_repeats(_table(spark, sf_dir, "documents"), emit=wordspans.Digest(), size=20)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", emit=bpe.Digest())
 
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
+    "op7_word_spans": op7_word_spans,
     "op10_bpe": op10_bpe,
 }
 

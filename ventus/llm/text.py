@@ -213,3 +213,19 @@ def runs(flags: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate(([False], flags[:-1]))
     after = np.concatenate((flags[1:], [False]))
     return np.flatnonzero(flags & (~before | cut[:-1])), np.flatnonzero(flags & (~after | cut[1:])) + 1
+
+
+def repeats_of(owner: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(equal to an earlier one of the same owner, found twice or more there)."""
+    if not len(codes):
+        none = np.zeros(0, dtype=bool)
+        return none, none
+    with np.errstate(over="ignore"):
+        key = mix(codes ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    later, twice = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
+    later[order[1:]] = same
+    twice[order[1:]] |= same
+    twice[order[:-1]] |= same
+    return later, twice
