@@ -181,6 +181,7 @@ def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", emit=None
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "block")
-    requests = blocks.select("block", "text").groupBy("block").applyInArrow(_request(n), "block int, part int, words binary")
+    # all columns go into both uses: else pruning makes two exchanges of the one
+    requests = blocks.groupBy("block").applyInArrow(_request(n), "block int, part int, words binary")
     answers = requests.repartition(n, "part").sortWithinPartitions("part").select("block", "part", "words").mapInArrow(_answer(vocabulary, is_path), "block int, part int, ids binary, spelled binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_assemble(n, emit), emit.schema)
