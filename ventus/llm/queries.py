@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventus.llm import bpe, neardup, quality, tokens, toxicity, wordspans
+from ventus.llm import bpe, html, neardup, quality, suffixes, tokens, toxicity, vectors, wordspans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op3_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"), emit=suffixes.Digest(), size=100)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), may_learn=~_is_held_out())
@@ -39,6 +43,14 @@ def op7_word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordspans.remove_repeats(_table(spark, sf_dir, "documents"), emit=wordspans.Digest(), size=20)
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", emit=bpe.Digest())
 
@@ -46,9 +58,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_suffix_arrays": op3_suffix_arrays,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op7_word_spans": op7_word_spans,
+    "op8_near_vectors": op8_near_vectors,
+    "op9_main_text": op9_main_text,
     "op10_bpe": op10_bpe,
 }
 

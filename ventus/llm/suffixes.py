@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,8 +165,8 @@ def _cut(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = batch.column(2)
-            for t in tx.texts_of(batch.column(1)):
+            asked = batch.column("asked")
+            for t in tx.texts_of(batch.column("text")):
                 own = asked.slice(t.first, len(t))
                 owner = np.repeat(np.arange(len(t)), np.asarray(own.value_lengths()))
                 flat = own.flatten()
@@ -176,7 +177,7 @@ def _cut(size: int):
                 picked = t.data[np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])]
                 strings = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(picked)])
                 salt = (tx.byte_hash(picked, 1)(offsets[:-1], offsets[1:]) % parts.astype(np.uint64)).astype(np.int32)
-                ids = batch.column(0).slice(t.first, len(t)).take(pa.array(owner))
+                ids = batch.column("doc").slice(t.first, len(t)).take(pa.array(owner))
                 yield pa.record_batch([pa.array(anchor), pa.array(salt), pa.array(parts), ids, pa.array(at), strings], names=["anchor", "salt", "parts", "doc", "at", "bytes"])
 
     return run
@@ -268,10 +269,14 @@ def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges runs (one row a shard and window) by binary search; gives the places that are not the earliest."""
+    """Merges runs (one row a shard and window) by binary search; gives the places that are not the earliest, and passes on what needs no merge."""
     kinds = [("one", np.int64), ("two", np.int64), ("doc", np.int64), ("at", np.int64)]
     merged = {c: np.zeros(0, dtype=k) for c, k in kinds}
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        yield batch.filter(pc.invert(batch.column("merged"))).select(["doc", "at"])
+        batch = batch.filter(batch.column("merged"))
         run = {c: np.asarray(batch.column(c)) for c, _ in kinds}
         order = np.lexsort((run["doc"], run["two"], run["one"]))
         run = {c: v[order] for c, v in run.items()}
@@ -367,10 +372,11 @@ def remove_repeats(docs: DataFrame, emit=None, size: int = 100, gram: int = GRAM
     opened = placed.where("not gone").join(branching, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "parts", "at")).alias("asked"))
 
     texts = rows.repartition(n, "doc")  # moved once, read by both joins
-    cut = texts.select("doc", "text").join(opened, "doc").select("doc", "text", "asked").mapInArrow(_cut(size), "anchor long, salt int, parts int, doc long, at long, bytes binary")
+    # all columns go into the join here too: else pruning makes two exchanges of the one
+    cut = texts.join(opened, "doc").mapInArrow(_cut(size), "anchor long, salt int, parts int, doc long, at long, bytes binary")
     shards = cut.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_sorted_shards(size), SHARD_SCHEMA)
-    shards = shelf.put(shards, "shards")
-    merged = shards.where("merged").select("anchor", "one", "two", "doc", "at").repartition(n, "anchor", "one").mapInArrow(_merge, "doc long, at long")
-    spans = placed.where("gone").select("doc", "at").unionByName(shards.where("not merged").select("doc", "at")).unionByName(merged)
+    key = F.when(F.col("merged"), F.xxhash64("anchor", "one")).otherwise(F.xxhash64("doc", "at"))
+    late = shards.repartition(n, key).mapInArrow(_merge, "doc long, at long")
+    spans = placed.where("gone").select("doc", "at").unionByName(late)
     spans = spans.groupBy("doc").agg(F.collect_list("at").alias("spans")).withColumnRenamed("doc", "of")
     return texts.join(spans, F.col("doc") == F.col("of"), "left").select("doc_id", "text", "spans").mapInArrow(_emit(size, gram, emit), emit.schema)

@@ -96,8 +96,8 @@ def _open(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            for t in tx.texts_of(batch.column(1)):
+            lists = batch.column("opened")
+            for t in tx.texts_of(batch.column("text")):
                 w = tx.words_of(t)
                 codes = tx.word_codes(t.data, w)
                 own = lists.slice(t.first, len(t))
@@ -108,7 +108,7 @@ def _open(size: int):
                 start = start + np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count)
                 owner = np.repeat(owner, count)
                 one, two = tx.RangeHash(codes)(start, start + size), tx.RangeHash(tx.mix(codes), 1)(start, start + size)
-                ids = batch.column(0).slice(t.first, len(t)).take(pa.array(owner))
+                ids = batch.column("_doc").slice(t.first, len(t)).take(pa.array(owner))
                 yield pa.record_batch([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), ids, pa.array((start - w.first[owner]) * 16 + 1)], names=["one", "two", "doc", "at"])
 
     return run
@@ -205,7 +205,8 @@ def remove_repeats(docs: DataFrame, emit=None, size: int = 20, k: int = ANCHOR_W
     opened = placed.where("not gone").join(branching, "anchor", "left_semi").groupBy("doc").agg(F.collect_list("at").alias("opened"))
 
     texts = keyed.repartition(n, "_doc")  # moved once, read by every join below
-    asked = texts.select("_doc", "text").join(opened.withColumnRenamed("doc", "_doc"), "_doc").select("_doc", "text", "opened")
+    # all columns go into every use: else pruning makes several exchanges of the one
+    asked = texts.join(opened.withColumnRenamed("doc", "_doc"), "_doc")
     windows = asked.mapInArrow(_open(size), "one long, two long, doc long, at long")
     first = windows.groupBy("one", "two").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last")
     first = first.select("one", "two", "source", F.explode(F.array(*[F.lit(x) for x in range(SALTS)])).alias("salt"))
