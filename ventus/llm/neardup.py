@@ -199,3 +199,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     of_set = heads.select(*same, "head").join(final, "head", "left").select(*same, F.coalesce("component", "head").alias("component"))
     ids_of = signed.select("doc_id", *same).join(of_set.withColumnRenamed("n_shingles", "n_of_set"), (signed.set_a == of_set.set_a) & (signed.set_b == of_set.set_b) & (F.col("n_shingles") == F.col("n_of_set")) & signed.doc_id.isNotNull(), "left")
     return ids_of.select(signed.doc_id, "n_shingles", F.coalesce("component", signed.doc_id).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs but those of documents that are near-duplicates of one of smaller id; columns as they are."""
+    found = near_duplicates(docs, **options)
+    copies = Shelf(docs.sparkSession).put(found.where("not kept").select(F.col("doc_id").alias("_copy")).distinct(), "copies")
+    return docs.join(copies, F.col("doc_id").cast("long") == F.col("_copy"), "left_anti")

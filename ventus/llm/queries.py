@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventus.llm import bpe, html, neardup, quality, suffixes, tokens, toxicity, vectors, wordspans
+from ventus.llm import bpe, html, mixing, neardup, quality, suffixes, tokens, toxicity, vectors, wordspans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), "word_bpe_49k.json").withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), targets, "lang")
+
+
 def op7_word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordspans.remove_repeats(_table(spark, sf_dir, "documents"), emit=wordspans.Digest(), size=20)
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op3_suffix_arrays": op3_suffix_arrays,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
+    "op6_mixing": op6_mixing,
     "op7_word_spans": op7_word_spans,
     "op8_near_vectors": op8_near_vectors,
     "op9_main_text": op9_main_text,
