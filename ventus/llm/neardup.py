@@ -11,11 +11,14 @@ pair of similarity 0.8 is missed once in 40,000 times, one of 0.85 once in
 three million.)  Every pair found is confirmed on the full shingle sets.
 
 Large groups of copies: equal sets are one row from the start.  In a bucket
-of the index all members are first compared with its least member, which is a
-pre-aggregated minimum and a join, not all pairs; connected components are
-formed; then only members outside the component of their bucket's least
-member are compared with the others of that bucket, so no link between
-components is lost and linked groups never expand into pairs.
+of the index all members are first compared with its least member, its head,
+which is a pre-aggregated minimum and a join, not all pairs; connected
+components are formed.  A member outside the component of its head is loose,
+and only loose members are compared with the other members of the buckets of
+that head, inside cells of at most two blocks of ``BLOCK`` sets: a cell counts
+common shingles by matrix products and gives back links only.  So no link is
+lost, linked groups never expand into pairs, and a large group is spread over
+cells.
 
 Defined results: a document without words (null or empty text) has 0 shingles
 and stands alone; a document of fewer words than a shingle has its whole
@@ -39,6 +42,8 @@ from ventus.llm.components import components
 from ventus.llm.shelf import Shelf
 
 CHUNKS, WIDTH, ERRORS = 10, 6, 1
+#: Sets on each side of a cell.
+BLOCK = 512
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(2014)
@@ -160,9 +165,73 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, chunks: int = CHUNKS, width: int = WIDTH, errors: int = ERRORS) -> DataFrame:
+def _common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many codes each set of left has in common with each of right."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    flat = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x])) for x in (left, right)]
+    both = np.intersect1d(flat[0][0], flat[1][0])
+    places = []
+    for codes, owner in flat:
+        at = np.searchsorted(both, codes)
+        ok = at < len(both)
+        ok[ok] = both[at[ok]] == codes[ok]
+        order = np.argsort(at[ok], kind="stable")
+        places.append((at[ok][order], owner[ok][order]))
+    for start in range(0, len(both), columns):
+        width = min(columns, len(both) - start)
+        parts = []
+        for (at, owner), n in zip(places, (len(left), len(right)), strict=True):
+            i, j = np.searchsorted(at, (start, start + width))
+            m = np.zeros((n, width), dtype=np.float32)
+            m[owner[i:j], at[i:j] - start] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _cells(percent: int):
+    """Rows come sorted by cell; gives one link for each loose set and component that it is linked to."""
+
+    def cell(table: pa.Table) -> pa.RecordBatch:
+        doc, own, loose = (np.asarray(table.column(c)) for c in ("doc", "own", "loose"))
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("members").to_pylist()]
+        left, right = np.flatnonzero(loose), np.flatnonzero(~loose)
+        a = b = np.zeros(0, dtype=np.int64)
+        if len(left) and len(right):
+            common = _common([sets[k] for k in left], [sets[k] for k in right])
+            sizes = np.array([len(x) for x in sets], dtype=np.float64)
+            near = 100 * common.astype(np.float64) >= percent * (sizes[left][:, None] + sizes[right][None, :] - common)
+            near &= own[left][:, None] != own[right][None, :]
+            i, j = np.nonzero(near)
+            _, once = np.unique(np.stack((i, own[right[j]])), axis=1, return_index=True)
+            a, b = doc[left[i[once]]], doc[right[j[once]]]
+        return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        mark = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("head", "i", "j")])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                key = tuple(keys[:, s].tolist())
+                if key != mark and held:
+                    yield cell(pa.Table.from_batches(held))
+                    held = []
+                mark = key
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield cell(pa.Table.from_batches(held))
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, chunks: int = CHUNKS, width: int = WIDTH, errors: int = ERRORS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
-    shelf = Shelf(docs.sparkSession)
+    spark = docs.sparkSession
+    shelf = Shelf(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = shelf.put(rows.mapInArrow(_sign(shingle_words, chunks * width), "doc_id long, n_shingles long, set_a long, set_b long, signature binary"), "signed")
     same = ["set_a", "set_b", "n_shingles"]
@@ -170,35 +239,38 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     heads = shelf.put(some.groupBy(*same).agg(F.min("doc_id").alias("head"), F.first("signature").alias("signature")), "heads")
 
     keys = heads.select(F.col("head").alias("doc_id"), "signature").mapInArrow(_index(chunks, width, errors), "key long, doc_id long")
-    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = shelf.put(buckets, "buckets")  # read anew, so that the join below may split large buckets
-    members = shelf.put(keys.join(buckets, "key").select("key", "doc_id", "least", "n"), "members")
-    pairs = shelf.put(members.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    pairs = shelf.put(keys.join(buckets, "key").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = shelf.put(rows.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, members binary"), "sets")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        left, right = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("of_a")), sets.select(F.col("doc_id").alias("b"), F.col("members").alias("of_b"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "of_a", "of_b")
-        return shelf.put(both.mapInArrow(_confirm(percent), "a long, b long"), name)
+    # the same join at every size: which ids there are grows with the documents
+    sets = shelf.put(rows.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, members binary"), "sets")
 
-    links = confirmed(pairs, "links")
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("of_a")), sets.select(F.col("doc_id").alias("b"), F.col("members").alias("of_b"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "of_a", "of_b")
+    links = shelf.put(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
     part = components(links, shelf, "first")
-    # members that their bucket's least member does not account for, against the rest of the bucket
     of = lambda c, to: part.select(F.col("node").alias(c), F.col("component").alias(to))
-    placed = members.where("n > 2").join(of("doc_id", "own"), "doc_id", "left").join(of("least", "of_least"), "least", "left")
-    placed = placed.select("key", "doc_id", "least", F.coalesce("own", "doc_id").alias("own"), F.coalesce("of_least", "least").alias("of_least"))
+    placed = pairs.join(of("b", "own"), "b", "left").join(of("a", "of_head"), "a", "left")
+    placed = placed.select(F.col("a").alias("head"), F.col("b").alias("doc"), F.coalesce("own", "b").alias("own"), (F.coalesce("own", "b") != F.coalesce("of_head", "a")).alias("loose"))
     placed = shelf.put(placed, "placed")
-    loose = placed.where("own <> of_least").select("key", F.col("doc_id").alias("a"), F.col("own").alias("own_a"))
-    others = placed.where("doc_id <> least").select("key", F.col("doc_id").alias("b"), F.col("own").alias("own_b"), F.col("own") != F.col("of_least"))
-    others = others.toDF("key", "b", "own_b", "loose_b")
-    more = loose.join(others, "key").where("own_a <> own_b and (not loose_b or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(more, "more")
+    sizes = placed.groupBy("head").agg(F.count("*").alias("n"), F.count_if("loose").alias("n_loose")).where("n > 1 and n_loose > 0")
+    sizes = shelf.put(sizes.select("head", F.ceil(F.col("n_loose") / block).cast("int").alias("of_i"), F.ceil(F.col("n") / block).cast("int").alias("of_j")), "sizes")
+    open_ = placed.join(sizes, "head").join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+    spread = lambda of: F.pmod(F.xxhash64("doc", "head"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    one = open_.where("loose").withColumn("i", spread("of_i")).withColumn("j", every("of_j"))
+    other = open_.withColumn("loose", F.lit(False)).withColumn("i", every("of_i")).withColumn("j", spread("of_j"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = one.unionByName(other).select("head", "i", "j", "doc", "own", "loose", "members").repartition(n, "head", "i", "j").sortWithinPartitions("head", "i", "j")
+    more = shelf.put(cells.mapInArrow(_cells(percent), "a long, b long"), "more")
     final = components(links.unionByName(more), shelf, "final").select(F.col("node").alias("head"), "component")
 
     of_set = heads.select(*same, "head").join(final, "head", "left").select(*same, F.coalesce("component", "head").alias("component"))
-    ids_of = signed.select("doc_id", *same).join(of_set.withColumnRenamed("n_shingles", "n_of_set"), (signed.set_a == of_set.set_a) & (signed.set_b == of_set.set_b) & (F.col("n_shingles") == F.col("n_of_set")) & signed.doc_id.isNotNull(), "left")
-    return ids_of.select(signed.doc_id, "n_shingles", F.coalesce("component", signed.doc_id).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    of_set = of_set.withColumnRenamed("n_shingles", "n_of_set").withColumn("with_id", F.lit(True))
+    known = (signed.set_a == of_set.set_a) & (signed.set_b == of_set.set_b) & (F.col("n_shingles") == F.col("n_of_set")) & (signed.doc_id.isNotNull() == F.col("with_id"))
+    found = signed.select("doc_id", *same).join(of_set, known, "left").select(signed.doc_id, "n_shingles", F.coalesce("component", signed.doc_id).alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
