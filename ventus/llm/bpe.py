@@ -7,7 +7,7 @@ words of one hash range over the whole corpus: it encodes each distinct word
 once, joins the ids with the id-to-piece table for the bytes that decoding
 gives, and answers every request in the order of its list.  A block then joins
 the answers back to its words by position.  Both uses of the blocks read the
-same exchange, so texts are moved once.
+same exchange, so texts are moved once, many of a block compressed together.
 
 Words are cut before a space that stands between two characters which are not
 white space; the byte-level pattern always ends a word there, and special
@@ -95,10 +95,28 @@ def _asked(texts: list[str], n_parts: int) -> dict[int, list[bytes]]:
     return out
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts that a batch has for each block as one compressed value."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = np.asarray(batch.column(2))
+        order = np.argsort(block, kind="stable")
+        edges = np.flatnonzero(np.diff(block[order])) + 1
+        groups = [g for g in np.split(order, edges) if len(g)]
+        ids = [batch.column(0).take(pa.array(g)).to_pylist() for g in groups]
+        texts = [_pack([(x or "").encode() for x in batch.column(1).take(pa.array(g)).to_pylist()]) for g in groups]
+        yield pa.record_batch([pa.array([int(block[g[0]]) for g in groups], pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(texts, pa.binary())], names=["block", "ids", "texts"])
+
+
+def _texts(table: pa.Table) -> list[str]:
+    return [x.decode() for value in table.column("texts").to_pylist() for x in _unpack(value)]
+
+
 def _request(n_parts: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py() if table.num_rows else 0
-        asked = _asked([x or "" for x in table.column("text").to_pylist()], n_parts)
+        asked = _asked(_texts(table), n_parts)
         return pa.table({"block": pa.array([block] * len(asked), pa.int32()), "part": pa.array(list(asked), pa.int32()), "words": pa.array([_pack(x) for x in asked.values()], pa.binary())})
 
     return run
@@ -118,7 +136,9 @@ def _answer(name: str, is_path: bool):
                 asked = _unpack(value)
                 new = [w.decode() for w in asked if w not in known]
                 for w, ids in encode_all(path, new):
-                    known[w.encode()] = np.array(ids, dtype="<u4").tobytes(), decode(path, ids)
+                    spelled = decode(path, ids)
+                    raw = w.encode()
+                    known[raw] = np.array(ids, dtype="<u4").tobytes(), b"" if spelled == raw else spelled  # empty: as the word
                 got = [known[w] for w in asked]
                 yield pa.record_batch([pa.array([block], pa.int32()), pa.array([owner], pa.int32()), pa.array([_pack([x for x, _ in got])], pa.binary()), pa.array([_pack([y for _, y in got])], pa.binary())], names=["block", "part", "ids", "spelled"])
 
@@ -128,20 +148,20 @@ def _answer(name: str, is_path: bool):
 def _assemble(n_parts: int, emit):
     """Joins the answers back by position; emit makes a column's values from (ids, decoded bytes) of each text."""
 
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = [x or "" for x in texts.column("text").to_pylist()]
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = _texts(blocks)
         asked = _asked(rows, n_parts)
         ids: dict[str, bytes] = {}
         spelled: dict[str, bytes] = {}
         for part, a, b in zip(*(answers.column(c).to_pylist() for c in ("part", "ids", "spelled")), strict=True):
             keys = [w.decode() for w in asked[part]]
             ids.update(zip(keys, _unpack(a), strict=True))
-            spelled.update(zip(keys, _unpack(b), strict=True))
+            spelled.update(zip(keys, [x or w for x, w in zip(_unpack(b), asked[part], strict=True)], strict=True))
         out = []
         for text in rows:
             cut = words(text)
             out.append(emit(b"".join(map(ids.__getitem__, cut)), b"".join(map(spelled.__getitem__, cut))))
-        columns = {"doc_id": texts.column("doc_id").cast(pa.int64())}
+        columns = {"doc_id": pa.array([x for value in blocks.column("ids").to_pylist() for x in value], pa.int64())}
         for k, (name, kind) in enumerate(emit.columns):
             columns[name] = pa.array([x[k] for x in out], kind)
         return pa.table(columns)
@@ -180,7 +200,8 @@ def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", emit=None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "block")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    blocks = rows.mapInArrow(_gather, "block int, ids array<long>, texts binary").repartition(n, "block")
     # all columns go into both uses: else pruning makes two exchanges of the one
     requests = blocks.groupBy("block").applyInArrow(_request(n), "block int, part int, words binary")
     answers = requests.repartition(n, "part").sortWithinPartitions("part").select("block", "part", "words").mapInArrow(_answer(vocabulary, is_path), "block int, part int, ids binary, spelled binary")
