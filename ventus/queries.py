@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from ventus import catalog_metrics
+
+QUERIES = {**catalog_metrics.QUERIES}
+ORACLE_SQL = {**catalog_metrics.ORACLE_SQL}
