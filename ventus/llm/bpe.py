@@ -42,14 +42,14 @@ _safe_cut = re.compile(r"(?<=\S)(?= \S)")
 _two_spaces = re.compile(r"\s\s")
 
 
-def words(text: str) -> list[str]:
-    """The words of a text; joined they are the text."""
+def words(text: str) -> tuple[list[str], list[str]]:
+    """The words of a text, in two lists: first those as they stand, then those that a space belongs before."""
     if not text:
-        return []
+        return [], []
     if _two_spaces.search(text) or text[0].isspace() or text[-1].isspace():
-        return _safe_cut.split(text)
-    head, *rest = text.split(" ")
-    return [head, *[" " + x for x in rest]]
+        return _safe_cut.split(text), []
+    parts = text.split(" ")
+    return parts[:1], parts[1:]
 
 
 @lru_cache(maxsize=2)
@@ -84,13 +84,14 @@ def _unpack(value: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def _asked(texts: list[str], n_parts: int) -> dict[int, list[bytes]]:
+def _asked(cuts: list[tuple[list[str], list[str]]], n_parts: int) -> dict[int, list[bytes]]:
     """The distinct words by the part that owns them, each list sorted."""
-    seen = set()
-    for text in texts:
-        seen.update(words(text))
+    plain, spaced = set(), set()
+    for a, b in cuts:
+        plain.update(a)
+        spaced.update(b)
     out: dict[int, list[bytes]] = {}
-    for w in sorted(x.encode() for x in seen):
+    for w in sorted({x.encode() for x in plain} | {b" " + x.encode() for x in spaced}):
         out.setdefault(xxhash.xxh32_intdigest(w) % n_parts, []).append(w)
     return out
 
@@ -116,7 +117,7 @@ def _texts(table: pa.Table) -> list[str]:
 def _request(n_parts: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py() if table.num_rows else 0
-        asked = _asked(_texts(table), n_parts)
+        asked = _asked([words(x) for x in _texts(table)], n_parts)
         return pa.table({"block": pa.array([block] * len(asked), pa.int32()), "part": pa.array(list(asked), pa.int32()), "words": pa.array([_pack(x) for x in asked.values()], pa.binary())})
 
     return run
@@ -149,18 +150,21 @@ def _assemble(n_parts: int, emit):
     """Joins the answers back by position; emit makes a column's values from (ids, decoded bytes) of each text."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = _texts(blocks)
-        asked = _asked(rows, n_parts)
+        cuts = [words(x) for x in _texts(blocks)]
+        asked = _asked(cuts, n_parts)
         ids: dict[str, bytes] = {}
         spelled: dict[str, bytes] = {}
         for part, a, b in zip(*(answers.column(c).to_pylist() for c in ("part", "ids", "spelled")), strict=True):
             keys = [w.decode() for w in asked[part]]
             ids.update(zip(keys, _unpack(a), strict=True))
             spelled.update(zip(keys, [x or w for x, w in zip(_unpack(b), asked[part], strict=True)], strict=True))
+        # words that begin with a space, by what follows it
+        ids_after = {w[1:]: x for w, x in ids.items() if w[0] == " "}
+        spelled_after = {w[1:]: x for w, x in spelled.items() if w[0] == " "}
+        look = [(ids.__getitem__, ids_after.__getitem__), (spelled.__getitem__, spelled_after.__getitem__)]
         out = []
-        for text in rows:
-            cut = words(text)
-            out.append(emit(b"".join(map(ids.__getitem__, cut)), b"".join(map(spelled.__getitem__, cut))))
+        for a, b in cuts:
+            out.append(emit(*(b"".join([*map(one, a), *map(other, b)]) for one, other in look)))
         columns = {"doc_id": pa.array([x for value in blocks.column("ids").to_pylist() for x in value], pa.int64())}
         for k, (name, kind) in enumerate(emit.columns):
             columns[name] = pa.array([x[k] for x in out], kind)
