@@ -33,6 +33,8 @@ from ventus.llm import text as tx
 SIZES = (3, 4, 5, 6)
 BITS = 20
 THRESHOLD = 0.3
+#: Bytes of text worked on at a time in the fit, which runs on the driver.
+FIT_SLICE = 256 << 10
 
 _fold = tx.lower_ascii(np.arange(256, dtype=np.uint8))
 _fold[tx._SPACE] = 0x20
@@ -78,7 +80,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def train(texts: pa.Array, toxic: np.ndarray, sizes: tuple[int, ...] = SIZES, bits: int = BITS, smooth: float = 1.0, ridge: float = 1e-3, steps: int = 200, min_docs: int = 3, least_z: float = 4.0, two_sided: bool = True) -> Model:
+def train(texts: pa.Array, toxic: np.ndarray, sizes: tuple[int, ...] = SIZES, bits: int = BITS, smooth: float = 1.0, ridge: float = 1e-3, steps: int = 200, min_docs: int = 3, least_z: float = 5.0, two_sided: bool = True) -> Model:
     """Fit on labelled texts.
 
     Buckets found in fewer than min_docs texts, or whose shares in the two
@@ -91,7 +93,7 @@ def train(texts: pa.Array, toxic: np.ndarray, sizes: tuple[int, ...] = SIZES, bi
     if not len(y) or y.min() == y.max():
         return flat
     pos, all_ = np.zeros(1 << bits), np.zeros(1 << bits)
-    for t in tx.texts_of(texts):
+    for t in tx.texts_of(texts, FIT_SLICE):
         o, c = buckets(t, sizes, bits)
         pos += np.bincount(c, weights=y[t.first + o], minlength=1 << bits)
         all_ += np.bincount(c, minlength=1 << bits)
@@ -102,12 +104,13 @@ def train(texts: pa.Array, toxic: np.ndarray, sizes: tuple[int, ...] = SIZES, bi
         z = (pos / n_pos - (all_ - pos) / (n - n_pos)) / np.sqrt(p * (1 - p) * (1 / n_pos + 1 / (n - n_pos)))
     ratio[~((np.abs(z) if two_sided else z) >= least_z) | (all_ < min_docs)] = 0
     owners, cols = [], []
-    for t in tx.texts_of(texts):
+    for t in tx.texts_of(texts, FIT_SLICE):
         o, c = buckets(t, sizes, bits, ratio != 0)
-        owners.append(t.first + o)
-        cols.append(c)
+        owners.append((t.first + o).astype(np.int32))
+        cols.append(c.astype(np.int32))
     owner, (used, col) = np.concatenate(owners), np.unique(np.concatenate(cols), return_inverse=True)
-    x = ratio[used][col]
+    col = col.astype(np.int32)
+    x = ratio[used].astype(np.float32)[col]
     w, b = np.zeros(len(used)), flat.bias
     # Adam on the ridge logistic loss over all rows
     m1, m2, c1, c2 = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
@@ -123,7 +126,7 @@ def train(texts: pa.Array, toxic: np.ndarray, sizes: tuple[int, ...] = SIZES, bi
     return Model(float(b), out, sizes, bits)
 
 
-def learn(docs: DataFrame, labels: DataFrame, may_learn=None, max_rows_per_class: int = 3000, max_fit_bytes: int = 32_768, **options) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, may_learn=None, max_rows_per_class: int = 2000, max_fit_bytes: int = 32_768, **options) -> Model:
     """Fit on at most max_rows_per_class labelled texts of each class, chosen by hash of the id.
 
     may_learn: a condition on doc_id that rows to learn from must meet.  The
