@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ventus import catalog_metrics
+from ventus import catalog_metrics, catalog_text
 
-QUERIES = {**catalog_metrics.QUERIES}
-ORACLE_SQL = {**catalog_metrics.ORACLE_SQL}
+QUERIES = {**catalog_metrics.QUERIES, **catalog_text.QUERIES}
+ORACLE_SQL = {**catalog_metrics.ORACLE_SQL, **catalog_text.ORACLE_SQL}
