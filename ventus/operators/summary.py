@@ -22,19 +22,25 @@ def weighted_average(field: str, weight: str = "population", where: Column | Non
     return F.when(F.count(v) == F.count_if(ok), F.sum(F.when(ok, v * F.col(weight))) / F.sum(F.when(ok, F.col(weight)))).otherwise(F.avg(v))
 
 
-def cube(facts: DataFrame) -> DataFrame:
-    """Sums of facts by labels and year."""
+def cube(facts: DataFrame, *also: str) -> DataFrame:
+    """Sums of facts by labels and year, and by other columns if named."""
     has_weight = F.col("population") > 0
     sums = []
     for f in AVERAGED:
         v = F.col(f)
         ok = v.isNotNull() & has_weight
         sums += [F.count(v).alias(f"{f}_n"), F.count_if(ok).alias(f"{f}_ok"), F.sum(v).alias(f"{f}_v"), F.sum(F.when(ok, v * F.col("population"))).alias(f"{f}_vp"), F.sum(F.when(ok, F.col("population"))).alias(f"{f}_p")]
-    return facts.groupBy(*LEVELS, "year").agg(
+    return facts.groupBy(*LEVELS, "year", *also).agg(
         F.count("*").alias("n_rows"), F.count_if(F.coalesce(~has_weight, F.lit(True))).alias("n_unweighted"), F.sum("population").alias("population"), F.min("seq").alias("seq"), *sums
     )
 
 
+def cube_by_dataset(facts: DataFrame) -> DataFrame:
+    """The cube with the dataset level kept; facts of a level come from its own dataset."""
+    own = F.when(F.col("district").isNotNull(), "gadm2").when(F.col("state").isNotNull(), "gadm1").otherwise("gadm0")
+    return cube(facts.withColumn("csv_level", F.coalesce("csv_level", own)), "csv_level")
+
+
 def summarize(cubed: DataFrame, level: str) -> DataFrame:
     """One row for each place of a level and year.
 

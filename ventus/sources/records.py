@@ -52,6 +52,11 @@ def infer_level(columns: list[str], title: str = "", path: str = "") -> str | No
     return None
 
 
+def row_level():
+    """Of a row whose table tells no level: by the deepest place it names."""
+    return F.when(F.col("district").isNotNull(), "gadm2").when(F.col("state").isNotNull(), "gadm1").otherwise("gadm0")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text; a byte-order mark, quoted line feeds and short rows are fine."""
     return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
@@ -72,7 +77,7 @@ def canonical(records: DataFrame, source_file: str = "", level: str | None = Non
 
     base = records.select(
         *[clean_place(first(p)).alias(p) for p in PLACES], parse_year(first("year")).alias("year"), *[parse_numeric(first(n)).alias(n) for n in NUMBERS],
-        F.lit(level or infer_level(records.columns, source_file)).alias("csv_level"), F.lit(source_file).alias("source_file"),
+        F.lit(level or infer_level([], source_file)).cast("string").alias("csv_level"), F.lit(source_file).alias("source_file"),
         (F.col(f"`{seq}`").cast("long") if seq else F.monotonically_increasing_id()).alias("seq"), *[parse_numeric(text(n)).alias(f"_{n}") for n in by_name if any(re.fullmatch(p, n) for p in _by_year.values())],
     )
     wide = {f: {int(m[1]): n for n in by_name if (m := re.fullmatch(p, n))} for f, p in _by_year.items()}
@@ -83,6 +88,7 @@ def canonical(records: DataFrame, source_file: str = "", level: str | None = Non
         spread = F.array(*[F.struct(F.lit(y).alias("year"), *[of(f, y).alias(f) for f in _by_year]) for y in years])
         base = base.withColumn("_at", F.explode(F.when(F.col("year").isNull(), spread).otherwise(F.array(F.struct(*fields)))))
         base = base.withColumns({n: F.col(f"_at.{n}") for n in ("year", *_by_year)})
+    base = base.withColumn("csv_level", F.coalesce("csv_level", row_level()))
     return base.select(*FIELDS, "csv_level", "source_file", "seq").where(has_usable_data())
 
 
