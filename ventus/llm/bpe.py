@@ -84,10 +84,10 @@ def _unpack(value: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def _asked(cuts: list[tuple[list[str], list[str]]], n_parts: int) -> dict[int, list[bytes]]:
+def _asked(texts: list[str], n_parts: int) -> dict[int, list[bytes]]:
     """The distinct words by the part that owns them, each list sorted."""
     plain, spaced = set(), set()
-    for a, b in cuts:
+    for a, b in map(words, texts):
         plain.update(a)
         spaced.update(b)
     out: dict[int, list[bytes]] = {}
@@ -117,7 +117,7 @@ def _texts(table: pa.Table) -> list[str]:
 def _request(n_parts: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py() if table.num_rows else 0
-        asked = _asked([words(x) for x in _texts(table)], n_parts)
+        asked = _asked(_texts(table), n_parts)
         return pa.table({"block": pa.array([block] * len(asked), pa.int32()), "part": pa.array(list(asked), pa.int32()), "words": pa.array([_pack(x) for x in asked.values()], pa.binary())})
 
     return run
@@ -150,21 +150,28 @@ def _assemble(n_parts: int, emit):
     """Joins the answers back by position; emit makes a column's values from (ids, decoded bytes) of each text."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        cuts = [words(x) for x in _texts(blocks)]
-        asked = _asked(cuts, n_parts)
-        ids: dict[str, bytes] = {}
-        spelled: dict[str, bytes] = {}
+        rows = _texts(blocks)
+        asked = _asked(rows, n_parts)
+        # ids of words as they stand, of words by what follows their space, and spellings that are not the word
+        plain: dict[str, bytes] = {}
+        after: dict[str, bytes] = {}
+        odd: dict[str, bytes] = {}
         for part, a, b in zip(*(answers.column(c).to_pylist() for c in ("part", "ids", "spelled")), strict=True):
-            keys = [w.decode() for w in asked[part]]
-            ids.update(zip(keys, _unpack(a), strict=True))
-            spelled.update(zip(keys, [x or w for x, w in zip(_unpack(b), asked[part], strict=True)], strict=True))
-        # words that begin with a space, by what follows it
-        ids_after = {w[1:]: x for w, x in ids.items() if w[0] == " "}
-        spelled_after = {w[1:]: x for w, x in spelled.items() if w[0] == " "}
-        look = [(ids.__getitem__, ids_after.__getitem__), (spelled.__getitem__, spelled_after.__getitem__)]
+            for raw, ids, spelled in zip(asked.pop(part), _unpack(a), _unpack(b), strict=True):
+                word = raw.decode()
+                if word[0] == " ":
+                    after[word[1:]] = ids
+                else:
+                    plain[word] = ids
+                if spelled:
+                    odd[word] = spelled
         out = []
-        for a, b in cuts:
-            out.append(emit(*(b"".join([*map(one, a), *map(other, b)]) for one, other in look)))
+        for text in rows:
+            first, rest = words(text)
+            found = [after[w[1:]] if w[0] == " " else plain[w] for w in first]
+            ids = b"".join([*found, *map(after.__getitem__, rest)])
+            spelled = b"".join(odd.get(w) or w.encode() for w in [*first, *[" " + w for w in rest]]) if odd else text.encode()
+            out.append(emit(ids, spelled))
         columns = {"doc_id": pa.array([x for value in blocks.column("ids").to_pylist() for x in value], pa.int64())}
         for k, (name, kind) in enumerate(emit.columns):
             columns[name] = pa.array([x[k] for x in out], kind)
