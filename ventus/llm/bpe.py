@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ventus.llm.tokens import encode_all, tokenizer, vocabulary_path
 
 #: Bytes of text in a block, about; its words and texts are in memory together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 
 _safe_cut = re.compile(r"(?<=\S)(?= \S)")
 _two_spaces = re.compile(r"\s\s")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at a time; a longer single text is one slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
