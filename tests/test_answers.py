@@ -74,3 +74,8 @@ def test_parsers():
     assert [q.level(x) for x in ("districts", "the state", "all countries", "region", "only in this state", "x")] == ["district", "state", "country", "region", None, None]
     assert [q.quality(*x) for x in (("air in uttarpradesh", "Uttar Pradesh"), ("delhi air", "NCT of Delhi"), ("maharastra", "Maharashtra"), ("goa", "Kerala"))] == [3, 2, 1, 0]
     assert q.intent("compare it with 2014", "Delhi", 1) == "trend"
+
+
+def test_suggestions(india):
+    assert india.suggestion(india.read("Delhi PM2.5")) == "You could also ask how Delhi changed over the years."
+    assert "improved most" in india.suggestion(india.read("Top countries"))

@@ -112,6 +112,19 @@ class Engine:
         checked = " checked" if text.endswith("?") or text in (NO_DATA, NO_YEAR) or "could not find" in text else ""
         return f"{text}\n\nReference{checked}: {source}{when}, {benchmark_name(asked.benchmark)}."
 
+    def suggestion(self, asked: Asked) -> str | None:
+        """A next question, from what was asked rather than from the words of the answer."""
+        place = asked.best()
+        if asked.intent == "direct" and place:
+            return f"You could also ask how {place.name} changed over the years."
+        if asked.intent in ("trend", "peak_change", "peak_value") and place:
+            return f"You could also compare {place.name} with another {place.level}."
+        if asked.intent == "ranking" and asked.level:
+            return f"You could also ask for the {PLURALS[asked.level]} that improved most."
+        if asked.intent == "comparison":
+            return "You could also compare them over a period."
+        return "You could also name another threshold or year." if asked.intent == "threshold" else None
+
     # verbs
 
     def threshold(self, asked: Asked) -> str:
