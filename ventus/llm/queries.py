@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventus.llm import bpe, html, mixing, neardup, quality, suffixes, tokens, toxicity, vectors, wordspans
+from ventus.llm import bpe, html, mixing, neardup, oracle, quality, suffixes, tokens, toxicity, vectors, wordspans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +73,9 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": oracle.NEAR_DUPLICATES,
+    "op3_suffix_arrays": oracle.BYTE_STRINGS,
+    "op7_word_spans": oracle.WORD_SPANS,
+    "op8_near_vectors": oracle.NEAR_VECTORS,
+}
