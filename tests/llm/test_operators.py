@@ -364,3 +364,15 @@ def test_texts_are_sliced_whole():
     got = list(text.texts_of(column, max_bytes=10))
     assert [t.raw(k) for t in got for k in range(len(t))] == [b"ab", b"", b"", b"c" * 50, b"d"]
     assert list(text.texts_of(pa.array([], pa.string()))) == []
+
+
+def test_columns_of_the_same_names_pass_through(spark):
+    rows = [(1, SPAN, 7, "a", [1], 5), (2, "x " + SPAN, 8, "b", [2], 6), (3, SPAN, 9, "c", [3], 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc int, anchor string, spans array<int>, n_removed int").withColumn("_copy", F.lit(1)).withColumn("_row", F.lit("r")).withColumn("e", F.lit(2)).withColumn("p", F.lit(3))
+    cut = {r.doc_id: r for r in wordspans.remove_repeats(docs).collect()}
+    assert [(cut[k].doc, cut[k].anchor, cut[k].spans, cut[k].n_removed) for k in (1, 2, 3)] == [(7, "a", [1], 0), (8, "b", [2], 60), (9, "c", [3], 60)]
+    assert neardup.keep_first(docs).columns == docs.columns
+    labels = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    mixed = mixing.apply_rates(docs.withColumn("lang", F.lit("en")), labels, {"en": 1.0, "fr": 1.0})
+    assert mixed.columns == [*docs.columns, "lang"] and {r.doc_id for r in mixed.collect()} == {1, 2, 3}
+    assert {r.e for r in mixed.collect()} == {2}

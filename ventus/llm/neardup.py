@@ -276,5 +276,5 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs but those of documents that are near-duplicates of one of smaller id; columns as they are."""
     found = near_duplicates(docs, **options)
-    copies = Shelf(docs.sparkSession).put(found.where("not kept").select(F.col("doc_id").alias("_copy")).distinct(), "copies")
-    return docs.join(copies, F.col("doc_id").cast("long") == F.col("_copy"), "left_anti")
+    copies = Shelf(docs.sparkSession).put(found.where("not kept").select(F.col("doc_id").alias("__copy")).distinct(), "copies")
+    return docs.join(copies, F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")

@@ -96,7 +96,7 @@ def _open(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("opened")
+            lists = batch.column("__opened")
             for t in tx.texts_of(batch.column("text")):
                 w = tx.words_of(t)
                 codes = tx.word_codes(t.data, w)
@@ -108,7 +108,7 @@ def _open(size: int):
                 start = start + np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count)
                 owner = np.repeat(owner, count)
                 one, two = tx.RangeHash(codes)(start, start + size), tx.RangeHash(tx.mix(codes), 1)(start, start + size)
-                ids = batch.column("_doc").slice(t.first, len(t)).take(pa.array(owner))
+                ids = batch.column("__doc_key").slice(t.first, len(t)).take(pa.array(owner))
                 yield pa.record_batch([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), ids, pa.array((start - w.first[owner]) * 16 + 1)], names=["one", "two", "doc", "at"])
 
     return run
@@ -146,8 +146,9 @@ class Rows:
     """The rows of the input with their kept words as text (untouched where nothing is removed), and n_removed."""
 
     def __init__(self, docs: DataFrame):
-        self.columns = docs.columns
-        self.schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_removed long"
+        fields = [f for f in docs.schema if f.name != "n_removed"]  # a column of that name gives way
+        self.columns = [f.name for f in fields]
+        self.schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_removed long"
 
     def __call__(self, batch: pa.RecordBatch, t: tx.Texts, w: tx.Words, gone: np.ndarray) -> pa.RecordBatch:
         own = batch.slice(t.first, len(t))
@@ -174,7 +175,7 @@ class Spans:
 def _emit(size: int, emit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("_spans")
+            spans = batch.column("__spans")
             for t in tx.texts_of(batch.column("text")):
                 w, gone = removed_words(t, spans.slice(t.first, len(t)), size)
                 yield emit(batch, t, w, gone)
@@ -191,8 +192,8 @@ def remove_repeats(docs: DataFrame, emit=None, size: int = 20, k: int = ANCHOR_W
     shelf = Shelf(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = F.lit((1 << 63) - 1)
-    keyed = docs.select(*(docs.columns if isinstance(emit, Rows) else ["doc_id", "text"])).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), last))
-    found = keyed.select("_doc", "text").mapInArrow(_scan(size, k), "anchor long, path long, doc long, at long, new_anchor boolean")
+    keyed = docs.select(*(emit.columns if isinstance(emit, Rows) else ["doc_id", "text"])).withColumn("__doc_key", F.coalesce(F.col("doc_id").cast("long"), last))
+    found = keyed.select("__doc_key", "text").mapInArrow(_scan(size, k), "anchor long, path long, doc long, at long, new_anchor boolean")
 
     anchors = shelf.put(found.where("new_anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     shared = shelf.put(found.drop("new_anchor").join(anchors, "anchor"), "shared")
@@ -202,15 +203,15 @@ def remove_repeats(docs: DataFrame, emit=None, size: int = 20, k: int = ANCHOR_W
     placed = shared.join(sources.where("source < last").drop("last"), ["anchor", "path"], "left").select("anchor", "doc", "at", (F.col("source") < F.col("doc")).alias("gone"))
     placed = shelf.put(placed.withColumn("gone", F.coalesce("gone", F.lit(False))), "placed")
     branching = shelf.put(branching, "branching")
-    opened = placed.where("not gone").join(branching, "anchor", "left_semi").groupBy("doc").agg(F.collect_list("at").alias("opened"))
+    opened = placed.where("not gone").join(branching, "anchor", "left_semi").groupBy("doc").agg(F.collect_list("at").alias("__opened"))
 
-    texts = keyed.repartition(n, "_doc")  # moved once, read by every join below
+    texts = keyed.repartition(n, "__doc_key")  # moved once, read by every join below
     # all columns go into every use: else pruning makes several exchanges of the one
-    asked = texts.join(opened.withColumnRenamed("doc", "_doc"), "_doc")
+    asked = texts.join(opened.withColumnRenamed("doc", "__doc_key"), "__doc_key")
     windows = asked.mapInArrow(_open(size), "one long, two long, doc long, at long")
     first = windows.groupBy("one", "two").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last")
     first = first.select("one", "two", "source", F.explode(F.array(*[F.lit(x) for x in range(SALTS)])).alias("salt"))
     salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
     late = salted.join(first, ["one", "two", "salt"]).where("source < doc").select("doc", "at")
-    spans = placed.where("gone").select("doc", "at").unionByName(late).groupBy("doc").agg(F.collect_list("at").alias("_spans"))
-    return texts.join(spans.withColumnRenamed("doc", "_doc"), "_doc", "left").mapInArrow(_emit(size, emit), emit.schema)
+    spans = placed.where("gone").select("doc", "at").unionByName(late).groupBy("doc").agg(F.collect_list("at").alias("__spans"))
+    return texts.join(spans.withColumnRenamed("doc", "__doc_key"), "__doc_key", "left").mapInArrow(_emit(size, emit), emit.schema)
