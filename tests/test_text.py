@@ -29,7 +29,7 @@ def test_tokens():
     near = st.NearTerms(st.KNOWN_TERMS)
     for token in ("polution", "sumary", "wildfier", "methodlogy", "nepla", "unitedstat"):
         close = {t for t in st.KNOWN_TERMS if st.edit_distance(token, t, 2 if len(token) >= 9 else 1) <= (2 if len(token) >= 9 else 1)}
-        assert close <= near.candidates(token)
+        assert close <= set(near.candidates(token))
 
 
 def test_normalizing_agrees_with_the_plan(spark):

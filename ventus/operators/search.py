@@ -61,6 +61,8 @@ def _features(query: str):
                 tokens = tokens_of(whole)
                 distinct = dict.fromkeys(tokens)
                 matched = [t for t in hits(distinct) if t]
+                if not matched:
+                    continue
                 text, title = normalized(whole), normalized(titles)
                 title_tokens = dict.fromkeys(tokens_of(title))
                 rows.append((
@@ -83,8 +85,9 @@ def rank_chunks(chunks: DataFrame, query: str) -> DataFrame:
     usable = chunks.where(is_usable_chunk("content"))
     if not n_asked:
         return usable.select("id", F.lit(0.0).alias("score")).limit(0)
-    features = usable.select("id", "content", "title", "page_title", "source_type").mapInPandas(run, _FEATURES)
-    total = usable.agg(F.count("*").alias("n_chunks"))  # one row
+    # read by the frequencies, the sums and the result; holds rows only for chunks that match at all
+    features = usable.select("id", "content", "title", "page_title", "source_type").mapInPandas(run, _FEATURES).persist()
+    total = usable.agg(F.count("*").alias("n_chunks"))  # one row, counted without reading texts twice in Python
     frequency = features.select(F.explode("present").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     parts = features.select("id", F.explode("matched").alias("m")).join(frequency, F.col("m.token") == F.col("token")).join(F.broadcast(total))
     idf = F.log((F.col("n_chunks") + 1) / (F.col("df") + 0.5)) + 1
