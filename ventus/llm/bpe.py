@@ -33,6 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ventus.llm.text import release
 from ventus.llm.tokens import encode_all, tokenizer, vocabulary_path
 
 #: Bytes of text in a block, about; its words and texts are in memory together.
@@ -175,6 +176,8 @@ def _assemble(n_parts: int, emit):
         columns = {"doc_id": pa.array([x for value in blocks.column("ids").to_pylist() for x in value], pa.int64())}
         for k, (name, kind) in enumerate(emit.columns):
             columns[name] = pa.array([x[k] for x in out], kind)
+        del plain, after, odd, asked, rows
+        release()
         return pa.table(columns)
 
     return run

@@ -40,7 +40,7 @@ from ventus.llm.shelf import Shelf
 
 GRAM = 24
 #: Paths of one anchor in a shard; bytes of paths in one suffix array.
-SHARD_PATHS, ARRAY_BYTES = 4096, 1 << 20
+SHARD_PATHS, ARRAY_BYTES = 2048, 512 << 10
 _POSITION = np.uint64((1 << 28) - 1)
 
 
@@ -226,6 +226,7 @@ def _sorted_shards(size: int):
         held: list[pa.RecordBatch] = []
         size_held = 0
         for batch in batches:
+            tx.release()
             if not batch.num_rows:
                 continue
             anchor, salt = np.asarray(batch.column("anchor")), np.asarray(batch.column("salt"))

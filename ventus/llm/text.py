@@ -9,6 +9,8 @@ work and character work agree.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,6 +77,13 @@ class RangeHash:
             return mix(raw + (ends - starts).astype(np.uint64) * U64(0xA24BAED4963EE407))
 
 
+def release() -> None:
+    """Gives memory that is no longer in use back to the machine, which the executor's limit counts else."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @dataclass
 class Texts:
     """Consecutive whole texts: their bytes, where each starts, and which rows they are."""
@@ -113,6 +122,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray, max_bytes: int = SLICE_BYTES) -
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + max_bytes, side="right")) - 1)
         yield Texts(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start], start, valid[start:end])
         start = end
+    release()
 
 
 def per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
