@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Shelf:
+    #: Folders that this process has made; results may still read them until they are written elsewhere.
+    made: list[str] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
         self.root = f"{base.rstrip('/')}/ventus-{uuid.uuid4().hex}"
+        Shelf.made.append(self.root)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and returns what was written."""
@@ -27,3 +31,11 @@ class Shelf:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that was put on shelves; for when results have been written."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    while Shelf.made:
+        path = fs.Path(Shelf.made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
