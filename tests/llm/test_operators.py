@@ -182,6 +182,16 @@ def test_byte_strings(docs, odd, monkeypatch):
     assert suffixes.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_byte_strings_that_documents_repeat_in_other_contexts(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SHARD_PATHS", 2)
+    other = lambda *x: hashlib.sha512(str(x).encode()).hexdigest()
+    passages = [other(k) + other(k, "more")[:20] for k in range(20)]
+    rows = [(0, "".join(p + other(p, 0) for p in passages)), *((i, "".join(p + other(p, i, k) for k in range(6) for p in passages)) for i in (1, 2))]
+    want = cut_brute(rows, 100, lambda t: list(t.encode()), bytes)
+    got = {r.doc_id: tuple(r[1:]) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), emit=suffixes.Digest()).collect()}
+    assert got == want
+
+
 def _null_ids(emit):
     return emit
 

@@ -208,11 +208,11 @@ def _sorted_shards(size: int):
         np.minimum.at(least, group, doc[path])
         late = doc[path] > least[group]
         where = ((at[path] >> 7) + window) * 128 + 1
-        # a sorted run for the merge: the first place of each window of an anchor that other shards have too
-        first = ~late & (parts[path] > 1)
-        pick = np.flatnonzero(first)
-        _, one_each = np.unique(group[pick], return_index=True)
-        pick = pick[one_each]
+        # a sorted run for the merge: of each window of an anchor that other shards have too, the earliest place in its
+        # least document (the later ones there repeat it, which is found within the document)
+        pick = np.flatnonzero(~late & (parts[path] > 1))
+        pick = pick[np.lexsort((where[pick], group[pick]))]
+        pick = pick[np.unique(group[pick], return_index=True)[1]]
         one, two = (tx.byte_hash(data, k)(sa[pick], sa[pick] + size).view(np.int64) for k in (0, 1))
         order = np.lexsort((two, one))
         pick = pick[order]
