@@ -318,7 +318,7 @@ _sources = "SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 5 <
 
 def _source_table(spark, sf_dir):
     k = F.col("o_orderkey")
-    return read(spark, sf_dir, "orders").where(k % 50 < 10).select(k.cast("string").alias("id"), F.when(k % 5 < 3, F.concat(F.lit("gadm"), (k % 5).cast("string"))).alias("level"), F.when(F.col("o_orderstatus") == "O", "active").otherwise("inactive").alias("status"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"), k.alias("seq"))
+    return read(spark, sf_dir, "orders").select(k.cast("string").alias("id"), F.when(k % 5 < 3, F.concat(F.lit("gadm"), (k % 5).cast("string"))).alias("level"), F.when(F.col("o_orderstatus") == "O", "active").otherwise("inactive").alias("status"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"), k.alias("seq"))
 
 
 @query("latest_source_per_level", f"SELECT id, level FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY since DESC, seq) AS n FROM ({_sources})) WHERE n = 1 OR level IS NULL")
