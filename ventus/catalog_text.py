@@ -184,8 +184,7 @@ def conversation_rollup(spark, sf_dir):
 
 @query("consecutive_dedup", "SELECT conv_id, turn FROM (SELECT *, lag(role) OVER w AS r, lag(text) OVER w AS t FROM (SELECT conv_id, turn, role, left(text, 1) AS text FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE r IS NULL OR r IS DISTINCT FROM role OR t IS DISTINCT FROM text")
 def consecutive_dedup(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.left("text", F.lit(1)).alias("text"))
-    return cv.without_repeats(rows).select("conv_id", "turn")
+    return cv.without_repeats(read(spark, sf_dir, "conversations")).select("conv_id", "turn")
 
 
 @query("search_ilike", "SELECT c_custkey FROM customer WHERE c_name ILIKE '%r#00000001%' OR c_mktsegment ILIKE '%r#00000001%'")
