@@ -192,6 +192,19 @@ def test_byte_strings_that_documents_repeat_in_other_contexts(spark, monkeypatch
     assert got == want
 
 
+def test_spans_go_to_their_own_row(spark, monkeypatch):
+    """Rows without id, and rows of one id, are matched with smaller ids and with themselves only."""
+    monkeypatch.setattr(suffixes, "SHARD_PATHS", 2)
+    fill = lambda i, n: " ".join(f"f{i}x{k}" for k in range(n))
+    rows = [(1, SPAN), (2, fill(2, 300)), (None, fill("a", 200) + " " + SPAN), (None, "short"), (None, fill("b", 10) + " " + SPAN[90:] + " end"), (7, fill("c", 150) + " " + SPAN), (7, fill("d", 40)), (7, SPAN[60:] + " " + fill("e", 5)), (8, fill(8, 40)), (8, fill(8, 40)), (9, fill(9, 20) + " " + SPAN)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for op, size, units, join in ((wordspans, 20, WORD.findall, lambda u: " ".join(u).encode()), (suffixes, 100, lambda t: list(t.encode()), bytes)):
+        less = lambda i: [r for r in rows if r[0] is not None and (i is None or r[0] < i)]
+        want = [(str(i), *v) for i, t in rows for v in [cut_brute([*less(i), (10**9, t)], size, units, join)[10**9]]]
+        got = [(str(r.doc_id), *r[1:]) for r in op.remove_repeats(table, emit=op.Digest()).collect()]
+        assert sorted(got) == sorted(want if op is suffixes else [(i, n, m, h) for i, n, m, _, h in want])
+
+
 def _null_ids(emit):
     return emit
 

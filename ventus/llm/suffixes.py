@@ -19,7 +19,8 @@ anchor, so the shard of an anchor holds every place where its windows stand.
 5. Windows that repeat within a document are found in it.
 
 Defined results: null and empty texts are empty; rows of the same id are not
-matched against each other; rows with a null id come after all others;
+matched against each other, nor are those with a null id, which come after all
+others; what is found goes back to rows of the same id and text;
 repeated rows of different ids lose all bytes but in the first; an empty table
 gives an empty result.  Only id and text are read.
 """
@@ -153,9 +154,9 @@ def _scan(size: int, gram: int):
                 again, _ = tx.repeats_of(owner, whole)
                 known, _ = tx.repeats_of(owner, anchor.view(np.uint64))
                 fresh = ~again
-                ids = batch.column(0).slice(t.first, len(t)).take(pa.array(owner[fresh]))
+                ids, row = (batch.column(c).slice(t.first, len(t)).take(pa.array(owner[fresh])) for c in ("doc", "row"))
                 at = (start - t.offsets[owner]) * 128 + count
-                yield pa.record_batch([pa.array(anchor[fresh]), pa.array(whole[fresh].view(np.int64)), ids, pa.array(at[fresh]), pa.array(~known[fresh])], names=["anchor", "path", "doc", "at", "new_anchor"])
+                yield pa.record_batch([pa.array(anchor[fresh]), pa.array(whole[fresh].view(np.int64)), ids, row, pa.array(at[fresh]), pa.array(~known[fresh])], names=["anchor", "path", "doc", "row", "at", "new_anchor"])
 
     return run
 
@@ -177,13 +178,13 @@ def _cut(size: int):
                 picked = t.data[np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])]
                 strings = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(picked)])
                 salt = (tx.byte_hash(picked, 1)(offsets[:-1], offsets[1:]) % parts.astype(np.uint64)).astype(np.int32)
-                ids = batch.column("doc").slice(t.first, len(t)).take(pa.array(owner))
-                yield pa.record_batch([pa.array(anchor), pa.array(salt), pa.array(parts), ids, pa.array(at), strings], names=["anchor", "salt", "parts", "doc", "at", "bytes"])
+                ids, row = (batch.column(c).slice(t.first, len(t)).take(pa.array(owner)) for c in ("doc", "row"))
+                yield pa.record_batch([pa.array(anchor), pa.array(salt), pa.array(parts), ids, row, pa.array(at), strings], names=["anchor", "salt", "parts", "doc", "row", "at", "bytes"])
 
     return run
 
 
-SHARD_SCHEMA = "doc long, at long, merged boolean, anchor long, one long, two long"
+SHARD_SCHEMA = "doc long, row long, at long, merged boolean, anchor long, one long, two long"
 
 
 def _sorted_shards(size: int):
@@ -196,7 +197,7 @@ def _sorted_shards(size: int):
         ends = np.frombuffer(raw[1], dtype=np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
         data = np.frombuffer(raw[2], dtype=np.uint8)[ends[0] : ends[-1]]
         ends = ends - ends[0]
-        doc, at, parts, anchor = (np.asarray(table.column(c)) for c in ("doc", "at", "parts", "anchor"))
+        doc, row, at, parts, anchor = (np.asarray(table.column(c)) for c in ("doc", "row", "at", "parts", "anchor"))
         sa = suffix_array(data, size)
         same = common_prefixes(data, sa, size) >= size
         group = np.cumsum(~same) - 1
@@ -209,18 +210,20 @@ def _sorted_shards(size: int):
         late = doc[path] > least[group]
         where = ((at[path] >> 7) + window) * 128 + 1
         # a sorted run for the merge: of each window of an anchor that other shards have too, the earliest place in its
-        # least document (the later ones there repeat it, which is found within the document)
+        # least document (the later ones there repeat it, which is found within the document), in every row of that
         pick = np.flatnonzero(~late & (parts[path] > 1))
-        pick = pick[np.lexsort((where[pick], group[pick]))]
-        pick = pick[np.unique(group[pick], return_index=True)[1]]
+        pick = pick[np.lexsort((where[pick], row[path[pick]], group[pick]))]
+        new = np.ones(len(pick), dtype=bool)
+        new[1:] = (group[pick[1:]] != group[pick[:-1]]) | (row[path[pick[1:]]] != row[path[pick[:-1]]])
+        pick = pick[new]
         one, two = (tx.byte_hash(data, k)(sa[pick], sa[pick] + size).view(np.int64) for k in (0, 1))
         order = np.lexsort((two, one))
         pick = pick[order]
-        doc_out, at_out = _runs(doc[path[late]], where[late])
+        doc_out, row_out, at_out = _runs(doc[path[late]], row[path[late]], where[late])
         n, m = len(doc_out), len(pick)
         fill = lambda a, b: pa.array(np.concatenate((a, b)))
         zero = np.zeros(n, dtype=np.int64)
-        return pa.record_batch([fill(doc_out, doc[path[pick]]), fill(at_out, where[pick]), fill(np.zeros(n, dtype=bool), np.ones(m, dtype=bool)), fill(zero, anchor[path[pick]]), fill(zero, one[order]), fill(zero, two[order])], names=["doc", "at", "merged", "anchor", "one", "two"])
+        return pa.record_batch([fill(doc_out, doc[path[pick]]), fill(row_out, row[path[pick]]), fill(at_out, where[pick]), fill(np.zeros(n, dtype=bool), np.ones(m, dtype=bool)), fill(zero, anchor[path[pick]]), fill(zero, one[order]), fill(zero, two[order])], names=["doc", "row", "at", "merged", "anchor", "one", "two"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -253,30 +256,30 @@ def _sorted_shards(size: int):
     return run
 
 
-def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _runs(doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Single windows joined to runs of at most 100."""
     if not len(doc):
-        return doc, at
+        return doc, row, at
     start = at >> 7
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+    order = np.lexsort((start, row, doc))
+    doc, row, start = doc[order], row[order], start[order]
     new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)
     begin = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
     new |= (start - start[begin]) % 100 == 0
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1
-    return doc[first], start[first] * 128 + (start[last] - start[first] + 1)
+    return doc[first], row[first], start[first] * 128 + (start[last] - start[first] + 1)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges runs (one row a shard and window) by binary search; gives the places that are not the earliest, and passes on what needs no merge."""
-    kinds = [("one", np.int64), ("two", np.int64), ("doc", np.int64), ("at", np.int64)]
+    kinds = [("one", np.int64), ("two", np.int64), ("doc", np.int64), ("row", np.int64), ("at", np.int64)]
     merged = {c: np.zeros(0, dtype=k) for c, k in kinds}
     for batch in batches:
         if not batch.num_rows:
             continue
-        yield batch.filter(pc.invert(batch.column("merged"))).select(["doc", "at"])
+        yield batch.filter(pc.invert(batch.column("merged"))).select(["doc", "row", "at"])
         batch = batch.filter(batch.column("merged"))
         run = {c: np.asarray(batch.column(c)) for c, _ in kinds}
         order = np.lexsort((run["doc"], run["two"], run["one"]))
@@ -286,13 +289,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not len(merged["one"]):
         return
     order = np.lexsort((merged["doc"], merged["two"], merged["one"]))
-    one, two, doc, at = (merged[c][order] for c, _ in kinds)
+    one, two, doc, row, at = (merged[c][order] for c, _ in kinds)
     new = np.ones(len(one), dtype=bool)
     new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     source = doc[np.maximum.accumulate(np.where(new, np.arange(len(one)), 0))]
     late = doc > source
-    out_doc, out_at = _runs(doc[late], at[late])
-    yield pa.record_batch([pa.array(out_doc), pa.array(out_at)], names=["doc", "at"])
+    yield pa.record_batch([pa.array(x) for x in _runs(doc[late], row[late], at[late])], names=["doc", "row", "at"])
 
 
 def removed_bytes(t: tx.Texts, spans: pa.Array, size: int, gram: int) -> np.ndarray:
@@ -362,22 +364,23 @@ def remove_repeats(docs: DataFrame, emit=None, size: int = 100, gram: int = GRAM
     shelf = Shelf(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    found = rows.select("doc", "text").mapInArrow(_scan(size, gram), "anchor long, path long, doc long, at long, new_anchor boolean")
+    rows = rows.withColumn("row", F.xxhash64("text"))  # doc is the order; with it, row tells rows of one id or of none apart
+    found = rows.select("doc", "text", "row").mapInArrow(_scan(size, gram), "anchor long, path long, doc long, row long, at long, new_anchor boolean")
     anchors = shelf.put(found.where("new_anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     shared = shelf.put(found.drop("new_anchor").join(anchors, "anchor"), "shared")
     sources = shelf.put(shared.groupBy("anchor", "path").agg(F.min("doc").alias("source"), F.max("doc").alias("last")), "sources")
     parts = F.ceil(F.col("n") / SHARD_PATHS).cast("int").alias("parts")
     branching = shelf.put(sources.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", parts), "branching")
-    placed = shared.join(sources.where("source < last").drop("last"), ["anchor", "path"], "left").select("anchor", "doc", "at", F.coalesce(F.col("source") < F.col("doc"), F.lit(False)).alias("gone"))
+    placed = shared.join(sources.where("source < last").drop("last"), ["anchor", "path"], "left").select("anchor", "doc", "row", "at", F.coalesce(F.col("source") < F.col("doc"), F.lit(False)).alias("gone"))
     placed = shelf.put(placed, "placed")
-    opened = placed.where("not gone").join(branching, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "parts", "at")).alias("asked"))
+    opened = placed.where("not gone").join(branching, "anchor").groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "parts", "at")).alias("asked"))
 
-    texts = rows.repartition(n, "doc")  # moved once, read by both joins
+    texts = rows.repartition(n, "doc", "row")  # moved once, read by both joins
     # all columns go into the join here too: else pruning makes two exchanges of the one
-    cut = texts.join(opened, "doc").mapInArrow(_cut(size), "anchor long, salt int, parts int, doc long, at long, bytes binary")
+    cut = texts.join(opened, ["doc", "row"]).mapInArrow(_cut(size), "anchor long, salt int, parts int, doc long, row long, at long, bytes binary")
     shards = cut.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_sorted_shards(size), SHARD_SCHEMA)
-    key = F.when(F.col("merged"), F.xxhash64("anchor", "one")).otherwise(F.xxhash64("doc", "at"))
-    late = shards.repartition(n, key).mapInArrow(_merge, "doc long, at long")
-    spans = placed.where("gone").select("doc", "at").unionByName(late)
-    spans = spans.groupBy("doc").agg(F.collect_list("at").alias("spans")).withColumnRenamed("doc", "of")
-    return texts.join(spans, F.col("doc") == F.col("of"), "left").select("doc_id", "text", "spans").mapInArrow(_emit(size, gram, emit), emit.schema)
+    key = F.when(F.col("merged"), F.xxhash64("anchor", "one")).otherwise(F.xxhash64("doc", "row", "at"))
+    late = shards.repartition(n, key).mapInArrow(_merge, "doc long, row long, at long")
+    spans = placed.where("gone").select("doc", "row", "at").unionByName(late)
+    spans = spans.groupBy("doc", "row").agg(F.collect_list("at").alias("spans")).withColumnsRenamed({"doc": "of", "row": "of_row"})
+    return texts.join(spans, (F.col("doc") == F.col("of")) & (F.col("row") == F.col("of_row")), "left").select("doc_id", "text", "spans").mapInArrow(_emit(size, gram, emit), emit.schema)

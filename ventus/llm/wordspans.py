@@ -21,7 +21,8 @@ words, and texts once.
 
 A document is matched against documents of smaller id and against itself.
 Defined results: null and empty texts have no words; rows of the same id are
-not matched against each other; rows with a null id come after all others;
+not matched against each other, nor are those with a null id, which come after
+all others; what is found goes back to rows of the same id and text;
 repeated rows of different ids lose all words but in the first; an empty table
 gives an empty result.  Columns other than id and text pass through ``rows``
 untouched.
@@ -84,9 +85,9 @@ def _scan(size: int, k: int):
                 again, _ = tx.repeats_of(owner, whole)
                 known, _ = tx.repeats_of(owner, anchor.view(np.uint64))
                 fresh = ~again
-                ids = batch.column(0).slice(t.first, len(t)).take(pa.array(owner[fresh]))
+                ids, row = (batch.column(c).slice(t.first, len(t)).take(pa.array(owner[fresh])) for c in ("__doc_key", "__row_key"))
                 at = (start - w.first[owner]) * 16 + count
-                yield pa.record_batch([pa.array(anchor[fresh]), pa.array(whole[fresh].view(np.int64)), ids, pa.array(at[fresh]), pa.array(~known[fresh])], names=["anchor", "path", "doc", "at", "new_anchor"])
+                yield pa.record_batch([pa.array(anchor[fresh]), pa.array(whole[fresh].view(np.int64)), ids, row, pa.array(at[fresh]), pa.array(~known[fresh])], names=["anchor", "path", "doc", "row", "at", "new_anchor"])
 
     return run
 
@@ -108,8 +109,8 @@ def _open(size: int):
                 start = start + np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count)
                 owner = np.repeat(owner, count)
                 one, two = tx.RangeHash(codes)(start, start + size), tx.RangeHash(tx.mix(codes), 1)(start, start + size)
-                ids = batch.column("__doc_key").slice(t.first, len(t)).take(pa.array(owner))
-                yield pa.record_batch([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), ids, pa.array((start - w.first[owner]) * 16 + 1)], names=["one", "two", "doc", "at"])
+                ids, row = (batch.column(c).slice(t.first, len(t)).take(pa.array(owner)) for c in ("__doc_key", "__row_key"))
+                yield pa.record_batch([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), ids, row, pa.array((start - w.first[owner]) * 16 + 1)], names=["one", "two", "doc", "row", "at"])
 
     return run
 
@@ -193,25 +194,27 @@ def remove_repeats(docs: DataFrame, emit=None, size: int = 20, k: int = ANCHOR_W
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = F.lit((1 << 63) - 1)
     keyed = docs.select(*(emit.columns if isinstance(emit, Rows) else ["doc_id", "text"])).withColumn("__doc_key", F.coalesce(F.col("doc_id").cast("long"), last))
-    found = keyed.select("__doc_key", "text").mapInArrow(_scan(size, k), "anchor long, path long, doc long, at long, new_anchor boolean")
+    keyed = keyed.withColumn("__row_key", F.xxhash64(F.col("text").cast("string")))  # the id is the order; with it, this tells rows of one id or of none apart
+    found = keyed.select("__doc_key", "text", "__row_key").mapInArrow(_scan(size, k), "anchor long, path long, doc long, row long, at long, new_anchor boolean")
 
     anchors = shelf.put(found.where("new_anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     shared = shelf.put(found.drop("new_anchor").join(anchors, "anchor"), "shared")
     sources = shelf.put(shared.groupBy("anchor", "path").agg(F.min("doc").alias("source"), F.max("doc").alias("last")), "sources")
     branching = sources.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     # by document: paths with an earlier source, and first occurrences of paths whose anchor has others
-    placed = shared.join(sources.where("source < last").drop("last"), ["anchor", "path"], "left").select("anchor", "doc", "at", (F.col("source") < F.col("doc")).alias("gone"))
+    placed = shared.join(sources.where("source < last").drop("last"), ["anchor", "path"], "left").select("anchor", "doc", "row", "at", (F.col("source") < F.col("doc")).alias("gone"))
     placed = shelf.put(placed.withColumn("gone", F.coalesce("gone", F.lit(False))), "placed")
     branching = shelf.put(branching, "branching")
-    opened = placed.where("not gone").join(branching, "anchor", "left_semi").groupBy("doc").agg(F.collect_list("at").alias("__opened"))
+    opened = placed.where("not gone").join(branching, "anchor", "left_semi").groupBy("doc", "row").agg(F.collect_list("at").alias("__opened"))
 
-    texts = keyed.repartition(n, "__doc_key")  # moved once, read by every join below
+    keys = {"doc": "__doc_key", "row": "__row_key"}
+    texts = keyed.repartition(n, *keys.values())  # moved once, read by every join below
     # all columns go into every use: else pruning makes several exchanges of the one
-    asked = texts.join(opened.withColumnRenamed("doc", "__doc_key"), "__doc_key")
-    windows = asked.mapInArrow(_open(size), "one long, two long, doc long, at long")
+    asked = texts.join(opened.withColumnsRenamed(keys), [*keys.values()])
+    windows = asked.mapInArrow(_open(size), "one long, two long, doc long, row long, at long")
     first = windows.groupBy("one", "two").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last")
     first = first.select("one", "two", "source", F.explode(F.array(*[F.lit(x) for x in range(SALTS)])).alias("salt"))
-    salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    late = salted.join(first, ["one", "two", "salt"]).where("source < doc").select("doc", "at")
-    spans = placed.where("gone").select("doc", "at").unionByName(late).groupBy("doc").agg(F.collect_list("at").alias("__spans"))
-    return texts.join(spans.withColumnRenamed("doc", "__doc_key"), "__doc_key", "left").mapInArrow(_emit(size, emit), emit.schema)
+    salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc", "row"), F.lit(SALTS)).cast("int"))
+    late = salted.join(first, ["one", "two", "salt"]).where("source < doc").select("doc", "row", "at")
+    spans = placed.where("gone").select("doc", "row", "at").unionByName(late).groupBy("doc", "row").agg(F.collect_list("at").alias("__spans"))
+    return texts.join(spans.withColumnsRenamed(keys), [*keys.values()], "left").mapInArrow(_emit(size, emit), emit.schema)
