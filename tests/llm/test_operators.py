@@ -369,6 +369,17 @@ def test_main_text_of_odd_pages(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_of_a_host_of_mixed_pages(spark):
+    menu = "<div>Shared menu line</div>"
+    page = lambda k, text: f"{menu}<article><p>{text}</p></article>" if k % 3 == 0 else f"{menu}<div>{text}</div>"
+    # the least id of the directory marks an article; neighbours by path share a section line that the others haven't
+    rows = [(k, f"http://h.org/d/s{k // 3}/p{k}", page(k, f"Own text {k}") + f"<div>Section {k // 3}</div>") for k in range(60)] + [(90, "http://x.org/d/s0/p", f"{menu}<div>Alone</div>")]
+    for n in (1, 7):
+        table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)
+        got = {r.page_id: r.text for r in html.main_text(table).collect()}
+        assert got == {**{k: f"Own text {k}" for k in range(60)}, 90: "Shared menu line\nAlone"}
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(200):
