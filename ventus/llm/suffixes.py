@@ -5,18 +5,23 @@ removed.  A path is a maximal run of consecutive windows of size bytes whose
 least k-gram (by hash) is the same one; equal windows lie in paths of equal
 anchor, so the shard of an anchor holds every place where its windows stand.
 
-1. Anchors of one document only are left out by pre-aggregated counts, and
-   equal paths are reduced to their least document before anything is moved.
-2. One occurrence of each different path of an anchor goes to the anchor's
-   shard; an anchor of very many paths is dealt over several shards.
+1. Anchors of one document only are left out by pre-aggregated counts; nothing
+   else is decided by a hash of an anchor or of a path.
+2. Every other path goes, as bytes, to the shard of its anchor; an anchor of
+   very many paths is dealt at random over several shards.
 3. A shard sorts the suffixes of its paths by Larsson-Sadakane refinement
    (groups that are still tied are sorted by the rank of what follows, at
    doubling depth), gets common prefixes by Kasai's bound, and takes runs of
    common prefix >= size as equal windows.
 4. Windows of anchors dealt over several shards are merged across shards: each
-   shard sends a sorted run of its distinct windows, and runs are merged by
-   binary search.
-5. Windows that repeat within a document are found in it.
+   shard sends the sorted run of its distinct windows, as bytes, and runs are
+   merged by binary search.
+5. Windows that repeat within a document are found in it, by a hash of the
+   window, and are compared byte by byte.
+
+What stands earlier in another document is thus told by comparing bytes alone.
+Texts are worked on in blocks of BLOCK_BYTES, so a very long text costs its
+own size and not many times that.
 
 Defined results: null and empty texts are empty; rows of the same id are not
 matched against each other, nor are those with a null id, which come after all
@@ -32,7 +37,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,60 +46,70 @@ from ventus.llm.shelf import Shelf
 GRAM = 24
 #: Paths of one anchor in a shard; bytes of paths in one suffix array.
 SHARD_PATHS, ARRAY_BYTES = 2048, 512 << 10
-_POSITION = np.uint64((1 << 28) - 1)
+#: Bytes whose windows are cut into paths at a time; positions within them must fit into _POSITION.
+BLOCK_BYTES = 640 << 10
+_POSITION = np.uint64((1 << 20) - 1)
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each position as a big-endian number; zeros follow the end."""
-    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8))).astype(np.uint64)
-    out = np.zeros(len(data), dtype=np.uint64)
-    for j in range(8):
-        out = (out << np.uint64(8)) | padded[j : j + len(data)]
-    return out
+    return tx.eights(np.concatenate((data, np.zeros(7, dtype=np.uint8))))
+
 
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the wanted suffixes (of all, if not told), sorted by at least their first depth bytes; the end sorts first.
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes, sorted by at least their first depth bytes (the end sorts first)."""
+    Suffixes that are not wanted are refined only as far as others are ranked by them.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, dtype=np.int64)
-    # an end marker below every byte: the length left breaks ties between zero bytes and the end
+    wanted = np.ones(n, dtype=bool) if wanted is None else wanted
+    rounds = [8 << k for k in range(64) if 8 << k < depth]
+    needed = [wanted]
+    for h in rounds[:0:-1]:  # to tell suffixes apart up to 2h, those h further on must be told apart up to h
+        more = needed[0].copy()
+        more[h:] |= needed[0][:-h]
+        needed.insert(0, more)
     head = words_at(data)
+    # the length left breaks ties between zero bytes and the end
     left = np.minimum(n - np.arange(n), 8)
-    sa = np.lexsort((left, head)) if n and not data.all() else np.argsort(head, kind="stable")
+    sa = np.argsort(head) if data.all() else np.lexsort((left, head))
     new = np.ones(n, dtype=bool)
     new[1:] = (head[sa][1:] != head[sa][:-1]) | (left[sa][1:] != left[sa][:-1])
     rank = np.full(n + 2 * depth + 16, -1, dtype=np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    h = 8
-    while h < depth:
-        ends = np.append(new[1:], True)
-        at = np.flatnonzero(~(new & ends))  # places in groups that are still tied
-        if not len(at):
-            break
+    for h, mine in zip(rounds, needed, strict=True):
+        sa = sa[mine[sa]]
+        first = rank[sa]
+        new = np.ones(len(sa), dtype=bool)
+        new[1:] = first[1:] != first[:-1]
+        at = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in groups that are still tied
         tied = sa[at]
-        key = rank[tied] * (n + 2) + rank[tied + h] + 1
-        order = np.argsort(key, kind="stable")
+        key = first[at] * (n + 2) + rank[tied + h] + 1
+        order = np.argsort(key)
         sa[at], key = tied[order], key[order]
         split = np.ones(len(at), dtype=bool)
         split[1:] = key[1:] != key[:-1]
-        new[at] = split | new[at]
-        rank[sa[at]] = np.maximum.accumulate(np.where(split, at, 0))
-        h *= 2
-    return sa
+        new[at] = split
+        rank[sa] = np.maximum.accumulate(np.where(new, np.arange(len(sa)), 0))
+    return sa if rounds else sa[wanted[sa]]
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray, depth: int, stride: int = 16) -> np.ndarray:
     """For each place of sa the bytes its suffix has in common with the one before, up to depth.
 
     Kasai's bound (a suffix has at least one byte less in common than the
-    suffix that starts one byte earlier) is used in passes over every
-    stride-th position, so that a pass is one vector operation.
+    suffix that starts one byte earlier, if what follows that one's neighbour
+    is in the array too) is used in passes over every stride-th position, so
+    that a pass is one vector operation.
     """
     n = len(data)
     out = np.zeros(n + 1, dtype=np.int64)
-    if n < 2:
-        return out[:n]
+    if len(sa) < 2:
+        return out[: len(sa)]
+    here = np.zeros(n + 1, dtype=bool)
+    here[sa] = True
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
     head = np.concatenate((words_at(data), np.zeros(depth + 8, dtype=np.uint64)))
@@ -104,7 +118,7 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, depth: int, stride: int =
         i = i[before[i] >= 0]
         j = before[i]
         # the bound needs true order: suffixes tied to full depth may stand either way
-        bound = out[i - 1] if r else np.zeros(len(i), dtype=np.int64)
+        bound = np.where((before[i - 1] >= 0) & here[before[i - 1] + 1], out[i - 1], 0) if r else np.zeros(len(i), dtype=np.int64)
         length = np.where(bound < depth, np.maximum(bound - 1, 0), 0)
         going = np.arange(len(i))
         while len(going):
@@ -123,40 +137,47 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, depth: int, stride: int =
     return out[:n][sa]
 
 
-def paths(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, anchor) of each path of consecutive texts."""
-    ok = np.flatnonzero(tx.inside(offsets, size))
-    if not len(ok):
-        return ok, ok, ok
-    at = np.arange(len(data) - gram + 1)
-    grams = tx.byte_hash(data)(at, at + gram)
-    key = (grams & ~_POSITION) | at.astype(np.uint64)
-    span, least = 1, key
-    while span * 2 <= size - gram + 1:
-        least, span = np.minimum(least[:-span], least[span:]), span * 2
-    if span < size - gram + 1:
-        rest = size - gram + 1 - span
-        least = np.minimum(least[:-rest], least[rest:])
-    where = (least[ok] & _POSITION).astype(np.int64)
-    new = np.ones(len(ok), dtype=bool)
-    new[1:] = (where[1:] != where[:-1]) | (ok[1:] != ok[:-1] + 1)
-    start = np.flatnonzero(new)
-    return ok[start], np.diff(np.append(start, len(ok))), (grams[where[start]] >> np.uint64(16)).astype(np.int64)
+def paths(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(first window, number of windows, anchor) of the paths of consecutive texts, block by block; and codes of the block's windows."""
+    inside = tx.inside(offsets, size)
+    for begin in range(0, len(inside), BLOCK_BYTES):  # a path ends with its block at the latest
+        ok = np.flatnonzero(inside[begin : begin + BLOCK_BYTES])
+        if not len(ok):
+            yield ok, ok, ok, np.zeros(0, dtype=np.uint64)
+            continue
+        grams, windows = tx.byte_windows(data[begin : begin + BLOCK_BYTES + size - 1], (gram, size))
+        key = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
+        span, least = 1, key
+        while span * 2 <= size - gram + 1:
+            least, span = np.minimum(least[:-span], least[span:]), span * 2
+        if span < size - gram + 1:
+            rest = size - gram + 1 - span
+            least = np.minimum(least[:-rest], least[rest:])
+        where = (least[ok] & _POSITION).astype(np.int64)
+        new = np.ones(len(ok), dtype=bool)
+        new[1:] = (where[1:] != where[:-1]) | (ok[1:] != ok[:-1] + 1)
+        start = np.flatnonzero(new)
+        count = np.diff(np.append(start, len(ok)))
+        yield ok[start] + begin, count, (grams[where[start]] >> np.uint64(16)).astype(np.int64), windows
 
 
 def _scan(size: int, gram: int):
+    """A row for each path of each document, but for paths that the document has already shown."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in tx.texts_of(batch.column(1)):
-                start, count, anchor = paths(t.data, t.offsets, size, gram)
+            for t in tx.texts_of(batch.column("text")):
+                found = [(np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),)]
+                for k, (start, count, anchor, windows) in enumerate(paths(t.data, t.offsets, size, gram)):
+                    found.append((start, count, anchor, tx.range_codes(windows, start - k * BLOCK_BYTES, count)))
+                start, count, anchor, whole = (np.concatenate(x) for x in zip(*found, strict=True))
                 owner = np.searchsorted(t.offsets, start, side="right") - 1
-                whole = tx.byte_hash(t.data, 1)(start, start + count + size - 1)
                 again, _ = tx.repeats_of(owner, whole)
                 known, _ = tx.repeats_of(owner, anchor.view(np.uint64))
                 fresh = ~again
                 ids, row = (batch.column(c).slice(t.first, len(t)).take(pa.array(owner[fresh])) for c in ("doc", "row"))
                 at = (start - t.offsets[owner]) * 128 + count
-                yield pa.record_batch([pa.array(anchor[fresh]), pa.array(whole[fresh].view(np.int64)), ids, row, pa.array(at[fresh]), pa.array(~known[fresh])], names=["anchor", "path", "doc", "row", "at", "new_anchor"])
+                yield pa.record_batch([pa.array(anchor[fresh]), ids, row, pa.array(at[fresh]), pa.array(~known[fresh])], names=["anchor", "doc", "row", "at", "new_anchor"])
 
     return run
 
@@ -174,56 +195,77 @@ def _cut(size: int):
                 anchor, parts, at = (np.asarray(flat.field(k)) for k in range(3))
                 start = (at >> 7) + t.offsets[owner]
                 length = (at & 127) + size - 1
-                offsets = np.concatenate(([0], np.cumsum(length)))
-                picked = t.data[np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])]
-                strings = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(picked)])
-                salt = (tx.byte_hash(picked, 1)(offsets[:-1], offsets[1:]) % parts.astype(np.uint64)).astype(np.int32)
                 ids, row = (batch.column(c).slice(t.first, len(t)).take(pa.array(owner)) for c in ("doc", "row"))
-                yield pa.record_batch([pa.array(anchor), pa.array(salt), pa.array(parts), ids, row, pa.array(at), strings], names=["anchor", "salt", "parts", "doc", "row", "at", "bytes"])
+                salt = (tx.joined(np.asarray(row).view(np.uint64), at.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
+                ends = np.cumsum(length)
+                for a, b in _pieces(ends, OUT_BYTES):
+                    offsets = np.concatenate(([0], np.cumsum(length[a:b])))
+                    picked = t.data[np.repeat(start[a:b] - offsets[:-1], length[a:b]) + np.arange(offsets[-1])]
+                    strings = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(picked)])
+                    part = slice(a, b)
+                    yield pa.record_batch([pa.array(anchor[part]), pa.array(salt[part]), pa.array(parts[part]), ids[part], row[part], pa.array(at[part]), strings], names=["anchor", "salt", "parts", "doc", "row", "at", "bytes"])
 
     return run
 
 
-SHARD_SCHEMA = "doc long, row long, at long, merged boolean, anchor long, one long, two long"
+#: Bytes of paths handed on at a time.
+OUT_BYTES = 4 << 20
+
+
+def _pieces(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of entries whose sizes, given by their running sum, come to about most."""
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
+SHARD_SCHEMA = "doc long, row long, at long, merged boolean, anchor long, salt int, bucket int, window binary"
 
 
 def _sorted_shards(size: int):
-    """Rows come sorted by (anchor, salt); gives windows with an earlier source, and runs to merge."""
+    """Rows come sorted by (anchor, salt); gives windows with an earlier source, and sorted runs to merge."""
 
-    def work(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def work(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks()
         strings = table.column("bytes").chunk(0)
         raw = strings.buffers()
         ends = np.frombuffer(raw[1], dtype=np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
         data = np.frombuffer(raw[2], dtype=np.uint8)[ends[0] : ends[-1]]
         ends = ends - ends[0]
-        doc, row, at, parts, anchor = (np.asarray(table.column(c)) for c in ("doc", "row", "at", "parts", "anchor"))
-        sa = suffix_array(data, size)
-        same = common_prefixes(data, sa, size) >= size
-        group = np.cumsum(~same) - 1
+        doc, row, at, parts, anchor, salt = (np.asarray(table.column(c)) for c in ("doc", "row", "at", "parts", "anchor", "salt"))
+        step = np.zeros(len(data) + 1, dtype=np.int8)
+        step[ends[:-1]] = 1
+        step[ends[:-1] + (at & 127)] = -1
+        sa = suffix_array(data, size, np.cumsum(step[:-1], dtype=np.int8) > 0)
+        group = np.cumsum(common_prefixes(data, sa, size) < size) - 1
         path = np.searchsorted(ends, sa, side="right") - 1
         window = sa - ends[path]
-        ok = window < (at[path] & 127)
-        sa, group, path, window = sa[ok], group[ok], path[ok], window[ok]
+        # one array may hold several shards, but none in part: windows of other anchors are never equal
+        own = doc[path]
         least = np.full(group[-1] + 1 if len(group) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, doc[path])
-        late = doc[path] > least[group]
+        np.minimum.at(least, group, own)
+        late = own > least[group]
         where = ((at[path] >> 7) + window) * 128 + 1
+        doc_out, row_out, at_out = _runs(own[late], row[path[late]], where[late])
         # a sorted run for the merge: of each window of an anchor that other shards have too, the earliest place in its
         # least document (the later ones there repeat it, which is found within the document), in every row of that
         pick = np.flatnonzero(~late & (parts[path] > 1))
-        pick = pick[np.lexsort((where[pick], row[path[pick]], group[pick]))]
-        new = np.ones(len(pick), dtype=bool)
-        new[1:] = (group[pick[1:]] != group[pick[:-1]]) | (row[path[pick[1:]]] != row[path[pick[:-1]]])
-        pick = pick[new]
-        one, two = (tx.byte_hash(data, k)(sa[pick], sa[pick] + size).view(np.int64) for k in (0, 1))
-        order = np.lexsort((two, one))
-        pick = pick[order]
-        doc_out, row_out, at_out = _runs(doc[path[late]], row[path[late]], where[late])
-        n, m = len(doc_out), len(pick)
-        fill = lambda a, b: pa.array(np.concatenate((a, b)))
-        zero = np.zeros(n, dtype=np.int64)
-        return pa.record_batch([fill(doc_out, doc[path[pick]]), fill(row_out, row[path[pick]]), fill(at_out, where[pick]), fill(np.zeros(n, dtype=bool), np.ones(m, dtype=bool)), fill(zero, anchor[path[pick]]), fill(zero, one[order]), fill(zero, two[order])], names=["doc", "row", "at", "merged", "anchor", "one", "two"])
+        if len(pick):
+            pick = pick[np.lexsort((where[pick], row[path[pick]], group[pick]))]
+            new = np.ones(len(pick), dtype=bool)
+            new[1:] = (group[pick[1:]] != group[pick[:-1]]) | (row[path[pick[1:]]] != row[path[pick[:-1]]])
+            pick = pick[new]
+        yield _shard_rows(doc_out, row_out, at_out)
+        code = tx.byte_windows(data, (size,))[0][sa[pick]] if len(pick) else pick
+        for a in range(0, len(pick), OUT_BYTES // size):
+            part = pick[a : a + OUT_BYTES // size]
+            of = path[part]
+            picked = data[sa[part][:, None] + np.arange(size)].reshape(-1)
+            windows = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(np.arange(len(part) + 1, dtype=np.int32) * size), pa.py_buffer(picked)])
+            bucket = (code[a : a + len(part)] % parts[of].astype(np.uint64)).astype(np.int32)
+            yield _shard_rows(doc[of], row[of], where[part], anchor[of], salt[of], bucket, windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -237,7 +279,7 @@ def _sorted_shards(size: int):
                 last = held[-1]
                 go_on = (anchor[0], salt[0]) == (last.column("anchor")[-1].as_py(), last.column("salt")[-1].as_py())
                 if not go_on and size_held >= ARRAY_BYTES:
-                    yield work(held)
+                    yield from work(held)
                     held, size_held = [], 0
             lengths = (np.asarray(batch.column("at")) & 127) + size - 1
             new = np.flatnonzero((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])) + 1
@@ -246,16 +288,22 @@ def _sorted_shards(size: int):
             for e in new.tolist():
                 if total + sums[e] - sums[begin] >= ARRAY_BYTES:
                     held.append(batch.slice(begin, e - begin))
-                    yield work(held)
+                    yield from work(held)
                     held, total, begin = [], 0, e
             held.append(batch.slice(begin))
             size_held = total + int(sums[-1] - sums[begin])
         if held:
-            yield work(held)
+            yield from work(held)
 
     return run
 
 
+def _shard_rows(doc, row, at, anchor=None, salt=None, bucket=None, windows=None) -> pa.RecordBatch:
+    n = len(doc)
+    rest = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())] if windows is None else [pa.array(anchor), pa.array(salt), pa.array(bucket), windows]
+    return pa.record_batch([pa.array(doc), pa.array(row), pa.array(at), pa.array(np.full(n, windows is not None)), *rest], names=["doc", "row", "at", "merged", "anchor", "salt", "bucket", "window"])
+
+
 def _runs(doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Single windows joined to runs of at most 100."""
     if not len(doc):
@@ -272,44 +320,85 @@ def _runs(doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     return doc[first], row[first], start[first] * 128 + (start[last] - start[first] + 1)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges runs (one row a shard and window) by binary search; gives the places that are not the earliest, and passes on what needs no merge."""
-    kinds = [("one", np.int64), ("two", np.int64), ("doc", np.int64), ("row", np.int64), ("at", np.int64)]
-    merged = {c: np.zeros(0, dtype=k) for c, k in kinds}
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        yield batch.filter(pc.invert(batch.column("merged"))).select(["doc", "row", "at"])
-        batch = batch.filter(batch.column("merged"))
-        run = {c: np.asarray(batch.column(c)) for c, _ in kinds}
-        order = np.lexsort((run["doc"], run["two"], run["one"]))
-        run = {c: v[order] for c, v in run.items()}
-        to = np.searchsorted(merged["one"], run["one"], side="right")
-        merged = {c: np.insert(merged[c], to, run[c]) for c in merged}
-    if not len(merged["one"]):
-        return
-    order = np.lexsort((merged["doc"], merged["two"], merged["one"]))
-    one, two, doc, row, at = (merged[c][order] for c, _ in kinds)
-    new = np.ones(len(one), dtype=bool)
-    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-    source = doc[np.maximum.accumulate(np.where(new, np.arange(len(one)), 0))]
-    late = doc > source
-    yield pa.record_batch([pa.array(x) for x in _runs(doc[late], row[late], at[late])], names=["doc", "row", "at"])
+def _merge(size: int):
+    """Merges the runs of shards by binary search; gives the places that are not in the least document.
+
+    Rows come sorted by (anchor, bucket, salt, window): a bucket has a share of
+    an anchor's windows, each salt of it is one sorted run.
+    """
+    kind = np.dtype(f"S{size}")  # of one length all, so that zeros at the end don't matter
+
+    def group(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        doc, row, at, salt = (np.asarray(table.column(c)) for c in ("doc", "row", "at", "salt"))
+        strings = table.column("window").chunk(0)
+        start = np.frombuffer(strings.buffers()[1], dtype=np.int32)[strings.offset]
+        window = np.frombuffer(strings.buffers()[2], dtype=kind, count=len(strings), offset=start)
+        edges = [0, *(np.flatnonzero(salt[1:] != salt[:-1]) + 1).tolist(), len(salt)]
+        merged, source = np.zeros(0, dtype=kind), np.zeros(0, dtype=np.int64)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            values, place = np.unique(window[a:b], return_inverse=True)
+            least = np.full(len(values), np.iinfo(np.int64).max)
+            np.minimum.at(least, place, doc[a:b])
+            to = np.searchsorted(merged, values)
+            known = to < len(merged)
+            known[known] = merged[to[known]] == values[known]
+            np.minimum.at(source, to[known], least[known])
+            merged, source = np.insert(merged, to[~known], values[~known]), np.insert(source, to[~known], least[~known])
+        late = doc > source[np.searchsorted(merged, window)]
+        return pa.record_batch([pa.array(x) for x in _runs(doc[late], row[late], at[late])], names=["doc", "row", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        mark = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("anchor", "bucket")])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                key = tuple(keys[:, s].tolist())
+                if key != mark and held:
+                    yield group(held)
+                    held = []
+                mark = key
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield group(held)
+
+    return run
 
 
 def removed_bytes(t: tx.Texts, spans: pa.Array, size: int, gram: int) -> np.ndarray:
     """Which bytes of texts lie in the given paths or in windows that repeat within their text."""
-    start, count, anchor = paths(t.data, t.offsets, size, gram)
+    none = np.zeros(0, dtype=np.int64)
+    blocks = list(paths(t.data, t.offsets, size, gram)) if len(t.data) <= BLOCK_BYTES else [(*x[:3], None) for x in paths(t.data, t.offsets, size, gram)]
+    start, count, anchor = (np.concatenate((none, *(x[k] for x in blocks))) for k in range(3))
     owner = np.searchsorted(t.offsets, start, side="right") - 1
     _, twice = tx.repeats_of(owner, anchor.view(np.uint64))
     many = count[twice]
     window = np.repeat(start[twice], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    again, _ = tx.repeats_of(np.repeat(owner[twice], many), tx.byte_hash(t.data)(window, window + size))
+    codes = np.empty(len(window), dtype=np.uint64)
+    if len(window) and len(t.data) <= BLOCK_BYTES:
+        codes = blocks[0][3][window]
+    elif len(window):  # one long text: its windows are coded again, block by block
+        for begin in range(0, len(t.data), BLOCK_BYTES):
+            a, b = np.searchsorted(window, (begin, begin + BLOCK_BYTES))
+            if b > a:
+                codes[a:b] = tx.byte_windows(t.data[begin : begin + BLOCK_BYTES + size - 1], (size,))[0][window[a:b] - begin]
+    source = tx.first_equal(np.repeat(owner[twice], many), codes)
+    again = np.flatnonzero(source != np.arange(len(window)))
+    if len(again):
+        eight, a, b = words_at(t.data), window[again], window[source[again]]
+        for j in (*range(0, size - 7, 8), size - 8):
+            if not (eight[a + j] == eight[b + j]).all():
+                raise ValueError("two windows of unlike bytes have one code")
     lengths = np.asarray(spans.fill_null([]).value_lengths())
     of = np.repeat(np.arange(len(t)), lengths)
     at = np.asarray(spans.flatten()) if len(of) else np.zeros(0, dtype=np.int64)
-    starts = np.concatenate((window[again], (at >> 7) + t.offsets[of]))
-    ends = np.concatenate((window[again] + size, starts[int(again.sum()) :] + (at & 127) + size - 1))
+    given = (at >> 7) + t.offsets[of]
+    starts = np.concatenate((window[again], given))
+    ends = np.concatenate((window[again] + size, given + (at & 127) + size - 1))
     n = len(t.data)
     return np.cumsum(np.bincount(starts, minlength=n + 1)[:n] - np.bincount(ends, minlength=n + 1)[:n]) > 0
 
@@ -365,22 +454,18 @@ def remove_repeats(docs: DataFrame, emit=None, size: int = 100, gram: int = GRAM
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     rows = rows.withColumn("row", F.xxhash64("text"))  # doc is the order; with it, row tells rows of one id or of none apart
-    found = rows.select("doc", "text", "row").mapInArrow(_scan(size, gram), "anchor long, path long, doc long, row long, at long, new_anchor boolean")
-    anchors = shelf.put(found.where("new_anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    shared = shelf.put(found.drop("new_anchor").join(anchors, "anchor"), "shared")
-    sources = shelf.put(shared.groupBy("anchor", "path").agg(F.min("doc").alias("source"), F.max("doc").alias("last")), "sources")
+    found = rows.select("doc", "row", "text").mapInArrow(_scan(size, gram), "anchor long, doc long, row long, at long, new_anchor boolean")
     parts = F.ceil(F.col("n") / SHARD_PATHS).cast("int").alias("parts")
-    branching = shelf.put(sources.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", parts), "branching")
-    placed = shared.join(sources.where("source < last").drop("last"), ["anchor", "path"], "left").select("anchor", "doc", "row", "at", F.coalesce(F.col("source") < F.col("doc"), F.lit(False)).alias("gone"))
-    placed = shelf.put(placed, "placed")
-    opened = placed.where("not gone").join(branching, "anchor").groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "parts", "at")).alias("asked"))
-
-    texts = rows.repartition(n, "doc", "row")  # moved once, read by both joins
-    # all columns go into the join here too: else pruning makes two exchanges of the one
-    cut = texts.join(opened, ["doc", "row"]).mapInArrow(_cut(size), "anchor long, salt int, parts int, doc long, row long, at long, bytes binary")
+    anchors = shelf.put(found.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("new_anchor").alias("n_docs")).where("n_docs > 1").select("anchor", parts), "anchors")
+    asked = shelf.put(found.drop("new_anchor").join(anchors, "anchor").groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "parts", "at")).alias("asked")), "asked")
+
+    cut = rows.select("doc", "row", "text").join(asked.hint("merge"), ["doc", "row"]).mapInArrow(_cut(size), "anchor long, salt int, parts int, doc long, row long, at long, bytes binary")
     shards = cut.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_sorted_shards(size), SHARD_SCHEMA)
-    key = F.when(F.col("merged"), F.xxhash64("anchor", "one")).otherwise(F.xxhash64("doc", "row", "at"))
-    late = shards.repartition(n, key).mapInArrow(_merge, "doc long, row long, at long")
-    spans = placed.where("gone").select("doc", "row", "at").unionByName(late)
-    spans = spans.groupBy("doc", "row").agg(F.collect_list("at").alias("spans")).withColumnsRenamed({"doc": "of", "row": "of_row"})
-    return texts.join(spans, (F.col("doc") == F.col("of")) & (F.col("row") == F.col("of_row")), "left").select("doc_id", "text", "spans").mapInArrow(_emit(size, gram, emit), emit.schema)
+    shards = shelf.put(shards, "shards")
+    shelf.drop("asked")
+    runs = shards.where("merged").select("doc", "row", "at", "anchor", "salt", "bucket", "window")
+    late = runs.repartition(n, "anchor", "bucket").sortWithinPartitions("anchor", "bucket", "salt").mapInArrow(_merge(size), "doc long, row long, at long")
+    spans = shards.where("not merged").select("doc", "row", "at").unionByName(late)
+    spans = shelf.put(spans.groupBy("doc", "row").agg(F.collect_list("at").alias("spans")), "spans").withColumnsRenamed({"doc": "of", "row": "of_row"})
+    shelf.drop("shards")
+    return rows.join(spans.hint("merge"), (F.col("doc") == F.col("of")) & (F.col("row") == F.col("of_row")), "left").select("doc_id", "text", "spans").mapInArrow(_emit(size, gram, emit), emit.schema)
