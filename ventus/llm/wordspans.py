@@ -1,23 +1,29 @@
 """Repeated word spans by compaction of a de Bruijn graph.
 
 The windows of ``size`` words are the edges of a de Bruijn graph whose nodes
-are one word shorter.  Edges are packed into paths: a path is a maximal run of
+are one word shorter.  Edges travel packed: a packed edge is a maximal run of
 consecutive windows of a document whose least k-mer (by hash) is the same one,
-so that equal windows lie in paths of equal anchor, and the inside of a
-repeated span is cut into the same paths wherever it occurs.
+its anchor, so that equal windows lie in packed edges of equal anchor.
 
 1. Anchors that occur in one document only cannot repeat across documents;
    counts, pre-aggregated, leave the others.
-2. Equal paths are compacted into one by a pre-aggregated least document; a
-   join hands that source back, and every path with an earlier source is
-   removed whole.
-3. Where different paths share an anchor the graph branches.  One occurrence
-   of each such path is opened into its windows, and these find their sources
-   in the same way, with salted keys as a window may stand in very many paths.
-4. Windows that repeat within a document are found in it.
-
-Only anchors, paths and open windows are exchanged, about one row for eight
-words, and texts once.
+2. Where an anchor has one packed edge only, that is an edge of the graph.
+   Where it has several, these are opened into single windows (one occurrence
+   of each), which are edges of their own.
+3. Edges that occur in two documents or more make up the graph.  An edge is
+   linked with the next one if no document has anything else after the first
+   nor before the second: that the node between them doesn't branch is told by
+   the least and greatest neighbour of each edge, an aggregation.
+4. Linked edges are compacted to paths by pointer doubling: joins of the table
+   of predecessors with itself, as many as the logarithm of the longest path.
+5. A path's occurrences are those of its first edge, its source the place of
+   the one of least (document, position).  Every other occurrence is a span to
+   remove, after its words have been compared with those at the source's
+   coordinates: a digest of the words is taken there, sent along and checked.
+6. Windows that repeat within a document are found in it.
+
+Only anchors, edges and spans are exchanged, about one row for eight words at
+first and few once paths are compacted; texts once for each use.
 
 A document is matched against documents of smaller id and against itself.
 Defined results: null and empty texts have no words; rows of the same id are
@@ -25,7 +31,8 @@ not matched against each other, nor are those with a null id, which come after
 all others; what is found goes back to rows of the same id and text;
 repeated rows of different ids lose all words but in the first; an empty table
 gives an empty result.  Columns other than id and text pass through ``rows``
-untouched.
+untouched, whatever their names; n_removed replaces one of that name.  If two
+unlike spans ever had one code, the job would fail rather than remove words.
 """
 
 from __future__ import annotations
@@ -36,96 +43,209 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from ventus.llm import text as tx
 from ventus.llm.shelf import Shelf
 
 #: Words in the k-mers among which a window's anchor is chosen.
 ANCHOR_WORDS = 6
-#: Keys are split so many ways where a window may stand in very many documents.
-SALTS = 16
-_POSITION = np.uint64((1 << 28) - 1)
-
-
-def paths(codes: np.ndarray, first: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, anchor) of each path; windows are numbered over all words."""
-    none = np.zeros(0, dtype=np.int64)
-    ok = np.flatnonzero(tx.inside(first, size))
-    if not len(ok):
-        return none, none, none
-    kmers = tx.window_codes(codes, k)
-    key = (kmers & ~_POSITION) | np.arange(len(kmers), dtype=np.uint64)
-    span, least = 1, key
-    while span * 2 <= size - k + 1:
-        least, span = np.minimum(least[:-span], least[span:]), span * 2
-    if span < size - k + 1:
-        rest = size - k + 1 - span
-        least = np.minimum(least[:-rest], least[rest:])
-    at = (least[ok] & _POSITION).astype(np.int64)
-    new = np.ones(len(ok), dtype=bool)
-    new[1:] = (at[1:] != at[:-1]) | (ok[1:] != ok[:-1] + 1)
-    start = np.flatnonzero(new)
-    count = np.diff(np.append(start, len(ok)))
-    return ok[start], count, (kmers[at[start]] >> np.uint64(16)).astype(np.int64)
+#: Words whose windows are cut into paths at a time; positions within them must fit into _POSITION.
+BLOCK_WORDS = 1 << 18
+_POSITION = np.uint64((1 << 20) - 1)
+#: Ways that an edge's places are dealt where they meet what is known of the edge.
+SALTS = 8
+#: A place is its first window times 32, plus the number of windows, plus 16 for an opened window.
+_OPENED = 16
+
+
+def paths(codes: np.ndarray, first: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, anchor, code) of each path; windows are numbered over all words."""
+    inside = tx.inside(first, size)
+    found = [(np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),)]
+    for begin in range(0, len(inside), BLOCK_WORDS):  # a path ends with its block at the latest
+        ok = np.flatnonzero(inside[begin : begin + BLOCK_WORDS])
+        if not len(ok):
+            continue
+        own = codes[begin : begin + BLOCK_WORDS + size - 1]
+        kmers = tx.window_codes(own, k)
+        key = (kmers & ~_POSITION) | np.arange(len(kmers), dtype=np.uint64)
+        span, least = 1, key
+        while span * 2 <= size - k + 1:
+            least, span = np.minimum(least[:-span], least[span:]), span * 2
+        if span < size - k + 1:
+            rest = size - k + 1 - span
+            least = np.minimum(least[:-rest], least[rest:])
+        at = (least[ok] & _POSITION).astype(np.int64)
+        new = np.ones(len(ok), dtype=bool)
+        new[1:] = (at[1:] != at[:-1]) | (ok[1:] != ok[:-1] + 1)
+        start = np.flatnonzero(new)
+        count = np.diff(np.append(start, len(ok)))
+        whole = tx.range_codes(tx.window_codes(own, size), ok[start], count)
+        found.append((ok[start] + begin, count, (kmers[at[start]] >> np.uint64(16)).astype(np.int64), whole))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _scan(size: int, k: int):
-    """A row for each path of each document, but for paths that the document has already shown."""
+    """A row for each packed edge of each document, but for those that the document has already shown."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in tx.texts_of(batch.column(1)):
+            for t in tx.texts_of(batch.column("text")):
                 w = tx.words_of(t)
-                codes = tx.word_codes(t.data, w)
-                start, count, anchor = paths(codes, w.first, size, k)
+                start, count, anchor, whole = paths(tx.word_codes(t.data, w), w.first, size, k)
                 owner = np.searchsorted(w.first, start, side="right") - 1
-                whole = tx.RangeHash(codes)(start, start + count + size - 1)
                 again, _ = tx.repeats_of(owner, whole)
                 known, _ = tx.repeats_of(owner, anchor.view(np.uint64))
                 fresh = ~again
-                ids, row = (batch.column(c).slice(t.first, len(t)).take(pa.array(owner[fresh])) for c in ("__doc_key", "__row_key"))
-                at = (start - w.first[owner]) * 16 + count
-                yield pa.record_batch([pa.array(anchor[fresh]), pa.array(whole[fresh].view(np.int64)), ids, row, pa.array(at[fresh]), pa.array(~known[fresh])], names=["anchor", "path", "doc", "row", "at", "new_anchor"])
+                doc, row = (batch.column(c).slice(t.first, len(t)).take(pa.array(owner[fresh])) for c in ("doc", "row"))
+                at = (start - w.first[owner]) * 32 + count
+                yield pa.record_batch([pa.array(anchor[fresh]), pa.array(whole[fresh].view(np.int64)), doc, row, pa.array(at[fresh]), pa.array(~known[fresh])], names=["one", "two", "doc", "row", "at", "new_anchor"])
 
     return run
 
 
 def _open(size: int):
-    """The windows of the paths that a document is asked to open."""
+    """The windows of the packed edges that a document is asked to open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("__opened")
+            lists = batch.column("opened")
             for t in tx.texts_of(batch.column("text")):
                 w = tx.words_of(t)
-                codes = tx.word_codes(t.data, w)
                 own = lists.slice(t.first, len(t))
                 at = np.asarray(own.flatten())
                 owner = np.repeat(np.arange(len(t)), np.asarray(own.value_lengths()))
                 count = at & 15
-                start = np.repeat((at >> 4) + w.first[owner], count)
+                start = np.repeat((at >> 5) + w.first[owner], count)
                 start = start + np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count)
                 owner = np.repeat(owner, count)
-                one, two = tx.RangeHash(codes)(start, start + size), tx.RangeHash(tx.mix(codes), 1)(start, start + size)
-                ids, row = (batch.column(c).slice(t.first, len(t)).take(pa.array(owner)) for c in ("__doc_key", "__row_key"))
-                yield pa.record_batch([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), ids, row, pa.array((start - w.first[owner]) * 16 + 1)], names=["one", "two", "doc", "row", "at"])
+                one, two = (tx.window_codes(tx.word_codes(t.data, w, which), size, which)[start] for which in (0, 1))
+                doc, row = (batch.column(c).slice(t.first, len(t)).take(pa.array(owner)) for c in ("doc", "row"))
+                again, _ = tx.repeats_of(owner, one)
+                out = pa.record_batch([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), doc, row, pa.array((start - w.first[owner]) * 32 + _OPENED + 1)], names=["one", "two", "doc", "row", "at"])
+                yield out.filter(pa.array(~again))
+
+    return run
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by document and place; gives each edge with its code and the codes of the edges right before and after it, 0 for none."""
+    held: pa.RecordBatch | None = None
+    last: tuple | None = None  # (doc, row, kind, end, code) of the row before
+
+    def rows(batch: pa.RecordBatch, before: tuple | None, after: tuple | None) -> pa.RecordBatch:
+        doc, row, place = (np.asarray(batch.column(c)) for c in ("doc", "row", "place"))
+        code = _code(batch)
+        kind, start = place >> 58, (place >> 5) & ((1 << 53) - 1)
+        end = start + (place & 15)
+        joint = (doc[1:] == doc[:-1]) & (row[1:] == row[:-1]) & (kind[1:] == kind[:-1]) & (start[1:] == end[:-1])
+        prev, next_ = np.zeros(len(doc), dtype=np.int64), np.zeros(len(doc), dtype=np.int64)
+        prev[1:][joint], next_[:-1][joint] = code[:-1][joint], code[1:][joint]
+        if before is not None and before[:4] == (doc[0], row[0], kind[0], start[0]):
+            prev[0] = before[4]
+        if after is not None and after[:4] == (doc[-1], row[-1], kind[-1], end[-1]):
+            next_[-1] = after[4]
+        return pa.record_batch([batch.column("one"), batch.column("two"), pa.array(code), pa.array(place & 15), pa.array(prev), pa.array(next_)], names=["one", "two", "code", "count", "prev", "next"])
+
+    def edge(batch: pa.RecordBatch, k: int, at_end: bool) -> tuple:
+        doc, row, place = (int(np.asarray(batch.column(c))[k]) for c in ("doc", "row", "place"))
+        start = (place >> 5) & ((1 << 53) - 1)
+        return doc, row, place >> 58, start + (place & 15) * at_end, int(_code(batch.slice(k % batch.num_rows, 1))[0])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            yield rows(held, last, edge(batch, 0, False))
+            last = edge(held, -1, True)
+        held = batch
+    if held is not None:
+        yield rows(held, last, None)
+
+
+def _code(batch: pa.RecordBatch) -> np.ndarray:
+    """A number, not 0, for each edge; it only has to tell neighbours apart."""
+    one, two = (np.asarray(batch.column(c)).view(np.uint64) for c in ("one", "two"))
+    return (tx.joined(one, two) | np.uint64(1)).view(np.int64)
+
+
+def compacted(edges: DataFrame, shelf: Shelf) -> DataFrame:
+    """(one, two, windows) of the first edge of each maximal nonbranching path, windows being those of all its edges.
+
+    edges: (code, count, prev, next) and the edge's name (one, two); prev and
+    next are 0 where the node before or after the edge ends or branches.
+    """
+    before = edges.where("next <> 0").select(F.col("code").alias("from"), F.col("next").alias("to"))
+    after = edges.where("prev <> 0").select(F.col("prev").alias("from"), F.col("code").alias("to"))
+    jump = shelf.put(before.join(after, ["from", "to"]).select(F.col("to").alias("edge"), F.col("from").alias("head")), "jump-0")
+    k = 0
+    while True:
+        # of an edge whose head has a predecessor the head becomes that one's head, which is twice as far back
+        beyond = jump.select(F.col("edge").alias("head"), F.col("head").alias("beyond"))
+        step = shelf.put(jump.join(beyond, "head", "left").select("edge", "head", "beyond"), f"jump-{k + 1}")
+        shelf.drop(f"jump-{k}")
+        jump, k = step.select("edge", F.coalesce("beyond", "head").alias("head")), k + 1
+        if step.where("beyond is not null").isEmpty():
+            break
+    sums = edges.join(jump, edges.code == jump.edge, "left").groupBy(F.coalesce("head", "code").alias("head_code")).agg(F.sum("count").alias("windows"))
+    return edges.join(sums, edges.code == sums.head_code).select("one", "two", "windows")
+
+
+def _plain(t: tx.Texts, w: tx.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words with one space after each, and where each begins (one entry more than words)."""
+    length = w.ends - w.starts
+    begins = np.concatenate(([0], np.cumsum(length + 1)))
+    plain = np.full(begins[-1], 0x20, dtype=np.uint8)
+    total = int(length.sum())
+    plain[np.arange(total) + np.repeat(np.arange(len(w)), length)] = t.data[~tx._SPACE[t.data]]
+    return plain, begins
+
+
+def _digests(t: tx.Texts, w: tx.Words, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """A digest of the words of each range."""
+    if not len(start):
+        return []
+    plain, begins = _plain(t, w)
+    return [xxh3_128_digest(plain[a:b].data) for a, b in zip(begins[start].tolist(), begins[end].tolist(), strict=True)]
+
+
+def _witness(size: int):
+    """What stands at the sources: a digest of the words of each path there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in tx.texts_of(batch.column("text")):
+                w = tx.words_of(t)
+                own = batch.column("paths").slice(t.first, len(t))
+                owner = np.repeat(np.arange(len(t)), np.asarray(own.value_lengths()))
+                one, two, at, windows = (np.asarray(own.flatten().field(k)) for k in range(4))
+                start = (at >> 5) + w.first[owner]
+                yield pa.record_batch([pa.array(one), pa.array(two), pa.array(_digests(t, w, start, start + windows + size - 1), pa.binary())], names=["one", "two", "digest"])
 
     return run
 
 
 def removed_words(t: tx.Texts, spans: pa.Array, size: int) -> tuple[tx.Words, np.ndarray]:
-    """The words of texts, and which of them are in the given paths or in windows that repeat within their text."""
+    """The words of texts, and which of them are in the given spans or in windows that repeat within their text."""
     w = tx.words_of(t)
-    codes = tx.word_codes(t.data, w)
     ok = np.flatnonzero(tx.inside(w.first, size))
-    again, _ = tx.repeats_of(w.text_of()[ok], tx.RangeHash(codes)(ok, ok + size))
-    owner = np.repeat(np.arange(len(t)), np.asarray(spans.fill_null([]).value_lengths()) if len(spans) else 0)
-    at = np.asarray(spans.flatten()) if len(owner) else np.zeros(0, dtype=np.int64)
-    start = np.concatenate((ok[again], (at >> 4) + w.first[owner]))
-    length = np.concatenate((np.full(int(again.sum()), size), (at & 15) + size - 1))
-    return w, tx.covered(start, length, len(w))
+    source = ok[tx.first_equal(w.text_of()[ok], tx.window_codes(tx.word_codes(t.data, w), size)[ok])]
+    again = source != ok
+    if again.any() and not tx.same_windows(tx.word_codes(t.data, w, 1), ok[again], source[again], size).all():
+        raise ValueError("two windows of unlike words have one code")
+    owner = np.repeat(np.arange(len(t)), np.asarray(pc.fill_null(spans.value_lengths(), 0)) if len(spans) else 0)
+    start = length = np.zeros(0, dtype=np.int64)
+    if len(owner):
+        given = spans.flatten()
+        at, windows = (np.asarray(given.field(k)) for k in range(2))
+        start, length = (at >> 5) + w.first[owner], windows + size - 1
+        if _digests(t, w, start, start + length) != given.field(2).to_pylist():
+            raise ValueError("a span has other words than its source")
+    return w, tx.covered(np.concatenate((ok[again], start)), np.concatenate((np.full(int(again.sum()), size), length)), len(w))
 
 
 class Digest:
@@ -173,48 +293,77 @@ class Spans:
         return pa.record_batch([ids, pa.array(start - w.first[owner]), pa.array(end - w.first[owner])], names=["doc_id", "start", "end"])
 
 
-def _emit(size: int, emit):
+def _emit(size: int, emit, spans: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("__spans")
             for t in tx.texts_of(batch.column("text")):
-                w, gone = removed_words(t, spans.slice(t.first, len(t)), size)
+                w, gone = removed_words(t, batch.column(spans).slice(t.first, len(t)), size)
                 yield emit(batch, t, w, gone)
 
     return run
 
 
+def _apart(name: str, taken: list[str]) -> str:
+    """The name, or if columns have it, one that none has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def _salted(places: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """A join of places with one row for each edge or anchor; an edge may stand in very many documents, so that these are dealt over SALTS keys."""
+    found = found.withColumn("salt", F.explode(F.array(*[F.lit(x) for x in range(SALTS)])))
+    return places.withColumn("salt", F.pmod(F.xxhash64("doc", "row"), F.lit(SALTS)).cast("int")).join(found, [*on, "salt"]).drop("salt")
+
+
+def repeated_spans(docs: DataFrame, shelf: Shelf, size: int, k: int) -> DataFrame:
+    """(doc, row, spans): of each row of docs (doc, row, text) the spans that an earlier document has, as (at, windows, digest)."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = docs.mapInArrow(_scan(size, k), "one long, two long, doc long, row long, at long, new_anchor boolean")
+    anchors = shelf.put(found.where("new_anchor").groupBy("one").agg(F.count("*").alias("n")).where("n > 1").select("one"), "anchors", large=True)
+    shared = shelf.put(_salted(found.drop("new_anchor"), anchors, ["one"]), "shared", large=True)
+    packed = shelf.put(shared.groupBy("one", "two").agg(F.min("doc").alias("source"), F.max("doc").alias("last")), "packed")
+    branching = shelf.put(packed.groupBy("one").agg(F.count("*").alias("n")).where("n > 1").select("one"), "branching")
+    first = packed.join(branching, "one").select("one", "two", F.col("source").alias("doc"))
+    opened = shared.join(first, ["one", "two", "doc"]).groupBy("doc", "row").agg(F.collect_list("at").alias("opened"))
+    windows = docs.join(opened.hint("merge"), ["doc", "row"]).mapInArrow(_open(size), "one long, two long, doc long, row long, at long")
+    windows = shelf.put(windows, "windows", large=True)
+
+    ends = windows.groupBy("one", "two").agg(F.min("doc").alias("source"), F.max("doc").alias("last"))
+    twice = shelf.put(packed.unionByName(ends).where("source < last").select("one", "two"), "twice")
+    places = shelf.put(_salted(shared.unionByName(windows), twice, ["one", "two"]).distinct(), "places")  # repeated rows count once
+    for name in ("anchors", "shared", "packed", "branching", "windows", "twice"):
+        shelf.drop(name)
+
+    # the kind of an edge comes first, so that packed edges and opened windows make two lists of a document
+    ordered = places.select("one", "two", "doc", "row", (F.shiftleft(F.col("at").bitwiseAND(F.lit(_OPENED)), 54) + F.col("at") - F.col("at").bitwiseAND(F.lit(_OPENED))).alias("place"))
+    ordered = ordered.repartition(n, "doc", "row").sortWithinPartitions("doc", "row", "place").mapInArrow(_neighbours, "one long, two long, code long, count long, prev long, next long")
+    only = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.lit(0)).alias(c)
+    edges = shelf.put(ordered.groupBy("one", "two", "code").agg(F.min("count").alias("count"), only("prev"), only("next")), "edges", large=True)
+    heads = shelf.put(compacted(edges, shelf), "heads")
+
+    occurrences = shelf.put(_salted(places, heads, ["one", "two"]), "occurrences")
+    shelf.drop("places")
+    sources = occurrences.groupBy("one", "two").agg(F.min(F.struct("doc", "row", "at", "windows")).alias("s")).select("one", "two", "s.*")
+    sources = shelf.put(sources, "sources")
+    asked = sources.groupBy("doc", "row").agg(F.collect_list(F.struct("one", "two", "at", "windows")).alias("paths"))
+    digests = docs.join(asked.hint("merge"), ["doc", "row"]).mapInArrow(_witness(size), "one long, two long, digest binary")
+    digests = digests.groupBy("one", "two").agg(F.min("digest").alias("digest"))  # repeated rows give one each
+    digests = shelf.put(sources.select("one", "two", F.col("doc").alias("source")).join(digests, ["one", "two"]), "digests", large=True)
+    spans = _salted(occurrences, digests, ["one", "two"]).where("source < doc").groupBy("doc", "row").agg(F.collect_list(F.struct("at", "windows", "digest")).alias("spans"))
+    return shelf.put(spans, "spans")
+
+
 def remove_repeats(docs: DataFrame, emit=None, size: int = 20, k: int = ANCHOR_WORDS) -> DataFrame:
     """Takes from every document the words of windows of size words that start earlier; emit says what comes back."""
     if not k < size <= k + 14:
         raise ValueError("size must be over k and at most k + 14")
     emit = emit or Rows(docs)
-    spark = docs.sparkSession
-    shelf = Shelf(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    last = F.lit((1 << 63) - 1)
-    keyed = docs.select(*(emit.columns if isinstance(emit, Rows) else ["doc_id", "text"])).withColumn("__doc_key", F.coalesce(F.col("doc_id").cast("long"), last))
-    keyed = keyed.withColumn("__row_key", F.xxhash64(F.col("text").cast("string")))  # the id is the order; with it, this tells rows of one id or of none apart
-    found = keyed.select("__doc_key", "text", "__row_key").mapInArrow(_scan(size, k), "anchor long, path long, doc long, row long, at long, new_anchor boolean")
-
-    anchors = shelf.put(found.where("new_anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    shared = shelf.put(found.drop("new_anchor").join(anchors, "anchor"), "shared")
-    sources = shelf.put(shared.groupBy("anchor", "path").agg(F.min("doc").alias("source"), F.max("doc").alias("last")), "sources")
-    branching = sources.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    # by document: paths with an earlier source, and first occurrences of paths whose anchor has others
-    placed = shared.join(sources.where("source < last").drop("last"), ["anchor", "path"], "left").select("anchor", "doc", "row", "at", (F.col("source") < F.col("doc")).alias("gone"))
-    placed = shelf.put(placed.withColumn("gone", F.coalesce("gone", F.lit(False))), "placed")
-    branching = shelf.put(branching, "branching")
-    opened = placed.where("not gone").join(branching, "anchor", "left_semi").groupBy("doc", "row").agg(F.collect_list("at").alias("__opened"))
-
-    keys = {"doc": "__doc_key", "row": "__row_key"}
-    texts = keyed.repartition(n, *keys.values())  # moved once, read by every join below
-    # all columns go into every use: else pruning makes several exchanges of the one
-    asked = texts.join(opened.withColumnsRenamed(keys), [*keys.values()])
-    windows = asked.mapInArrow(_open(size), "one long, two long, doc long, row long, at long")
-    first = windows.groupBy("one", "two").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last")
-    first = first.select("one", "two", "source", F.explode(F.array(*[F.lit(x) for x in range(SALTS)])).alias("salt"))
-    salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc", "row"), F.lit(SALTS)).cast("int"))
-    late = salted.join(first, ["one", "two", "salt"]).where("source < doc").select("doc", "row", "at")
-    spans = placed.where("gone").select("doc", "row", "at").unionByName(late).groupBy("doc", "row").agg(F.collect_list("at").alias("__spans"))
-    return texts.join(spans.withColumnsRenamed(keys), [*keys.values()], "left").mapInArrow(_emit(size, emit), emit.schema)
+    shelf = Shelf(docs.sparkSession)
+    columns = emit.columns if isinstance(emit, Rows) else ["doc_id", "text"]
+    # the id is the order; with the text, it tells rows of one id or of none apart
+    keys = {"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "row": F.xxhash64(F.col("text").cast("string"))}
+    spans = repeated_spans(docs.select(*(c.alias(k) for k, c in keys.items()), F.col("text").cast("string").alias("text")), shelf, size, k)
+    names = {c: _apart(f"_{c}", columns) for c in ("doc", "row", "spans")}
+    rows = docs.select(*columns, *(c.alias(names[k]) for k, c in keys.items()))
+    return rows.join(spans.withColumnsRenamed(names).hint("merge"), [names["doc"], names["row"]], "left").mapInArrow(_emit(size, emit, names["spans"]), emit.schema)
