@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ventus.llm import bpe, html, mixing, neardup, quality, suffixes, text, tokens, toxicity, vectors, wordspans
@@ -176,7 +177,7 @@ def test_byte_strings(docs, odd, monkeypatch):
     for table, most in ((odd.where("doc_id not in (7, 8)"), 4096), (docs.where(F.length("text") < 4000), 4096), (docs.where(F.length("text") < 4000), 2)):
         monkeypatch.setattr(suffixes, "SHARD_PATHS", most)  # 2: windows have to be merged across shards
         want = cut_brute(pairs(table), 100, lambda t: list(t.encode()), bytes)
-        got = {r.doc_id if r.doc_id is not None else None: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(table, emit=_null_ids(suffixes.Digest())).collect()}
+        got = {r.doc_id if r.doc_id is not None else None: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(table, emit=suffixes.Digest()).collect()}
         got = {None if i == (1 << 63) - 1 else i: v for i, v in got.items()}
         assert got == want
     assert suffixes.remove_repeats(odd.limit(0)).count() == 0
@@ -205,8 +206,70 @@ def test_spans_go_to_their_own_row(spark, monkeypatch):
         assert sorted(got) == sorted(want if op is suffixes else [(i, n, m, h) for i, n, m, _, h in want])
 
 
-def _null_ids(emit):
-    return emit
+def test_words_that_differ_everywhere_are_not_equal(spark):
+    """A Thue-Morse word and its complement, which sums of powers modulo 2**64 can't tell apart."""
+    bits = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"r{k}" for k in range(19))
+    rows = [(1, bits), (2, other), (3, f"{bits} {rest}"), (4, f"{other} {rest}"), (5, f"{bits}\n{other}\n"), (6, " ".join(bits)), (7, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, shingle_words=2).collect()}
+    assert got == near_brute(rows, 2)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in wordspans.remove_repeats(docs, emit=wordspans.Digest()).collect()}
+    assert got == {i: (n, m, h) for i, (n, m, _, h) in cut_brute(rows, 20, WORD.findall, lambda u: " ".join(u).encode()).items()}
+    got = {r.doc_id: tuple(r[1:]) for r in suffixes.remove_repeats(docs, emit=suffixes.Digest()).collect()}
+    assert got == cut_brute(rows, 100, lambda t: list(t.encode()), bytes)
+    assert {r.doc_id: tuple(r[1:6]) for r in quality.text_stats(docs).collect()} == {i: counted(t) for i, t in rows}
+    w = text.words_of(text.Texts(np.frombuffer(b"abcdefgh abcdefg abcdefgh\0 abcdefgh", np.uint8), np.array([0, 35]), 0, np.array([True])))
+    codes = text.word_codes(np.frombuffer(b"abcdefgh abcdefg abcdefgh\0 abcdefgh", np.uint8), w)
+    assert len(set(codes.tolist())) == 3 and codes[0] == codes[3]
+
+
+def test_nonbranching_paths_are_compacted(spark):
+    """Chains of 1, 2, 3, 8 and 21 edges, told apart where the node between two edges branches."""
+    rows, want, at = [], {}, 0
+    for length in (1, 2, 3, 8, 21):
+        names = list(range(at + 1, at + 1 + length))
+        for k, e in enumerate(names):
+            rows.append((e, -e, 100 + e, 2, 100 + names[k - 1] if k else 0, 100 + names[k + 1] if k + 1 < length else 0))
+        want[names[0]] = 2 * length
+        at += length
+    rows.append((900, -900, 1000, 1, 101, 0))  # says that 1 comes before it, which 1 denies
+    want[900] = 1
+    edges = spark.createDataFrame(rows, "one long, two long, code long, count long, prev long, next long")
+    assert {r.one: r.windows for r in wordspans.compacted(edges, Shelf(spark)).collect()} == want
+    assert wordspans.compacted(edges.limit(0), Shelf(spark)).count() == 0
+
+
+def test_spans_are_checked_against_their_source():
+    t = next(text.texts_of(pa.array([SPAN])))
+    w = text.words_of(t)
+    kind = pa.list_(pa.struct([("at", pa.int64()), ("windows", pa.int64()), ("digest", pa.binary())]))
+    span = lambda d: pa.array([[{"at": 5 * 32 + 3, "windows": 3, "digest": d}]], kind)
+    right = wordspans._digests(t, w, np.array([5]), np.array([27]))[0]
+    assert right == xxhash.xxh3_128_digest(" ".join(SPAN.split()[5:27]).encode() + b" ")
+    assert np.flatnonzero(wordspans.removed_words(t, span(right), 20)[1]).tolist() == list(range(5, 27))
+    with pytest.raises(ValueError):
+        wordspans.removed_words(t, span(b"x"), 20)
+
+
+def test_long_texts_are_worked_on_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    long = " ".join(f"v{k}" for k in rng.integers(0, 3000, 3000))
+    rows = [(1, long), (2, "x y " + long[200:]), (3, long[:9000] + long[3000:9000])]
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(wordspans, "BLOCK_WORDS", 300)
+    column = pa.array([t for _, t in rows])
+    t = next(text.texts_of(column))
+    w = text.words_of(t)
+    start, count, anchor, _ = wordspans.paths(text.word_codes(t.data, w), w.first, 20, 6)
+    assert sorted(np.concatenate([np.arange(a, a + n) for a, n in zip(start, count, strict=True)]).tolist()) == np.flatnonzero(text.inside(w.first, 20)).tolist()
+    parts = list(suffixes.paths(t.data, t.offsets, 100, 24))
+    assert len(parts) > 10
+    assert sum(int(x[1].sum()) for x in parts) == int(text.inside(t.offsets, 100).sum())
+    nothing = pa.array([None] * 3, pa.list_(pa.int64()))
+    brute = {i: cut_brute([(i, t)], 100, lambda t: list(t.encode()), bytes)[i][1] for i, t in rows}
+    assert [int(x) for x in text.per_text(suffixes.removed_bytes(t, nothing, 100, 24), t.offsets)] == [brute[i] for i, _ in rows]
 
 
 def test_suffix_array_and_prefixes():

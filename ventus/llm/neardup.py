@@ -61,8 +61,11 @@ def shingle_sets(t: tx.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     owners = owner[at]
     short = np.flatnonzero((w.per_text > 0) & (w.per_text < size))
     if len(short):
-        whole = tx.RangeHash(codes)(w.first[short], w.first[short + 1])
-        shingles, owners = np.concatenate((shingles, tx.mix(~whole))), np.concatenate((owners, short))
+        whole = w.per_text[short].astype(np.uint64)
+        for j in range(size - 1):  # fewer words than a shingle
+            more = w.first[short] + j < w.first[short + 1]
+            whole[more] = tx.joined(whole[more], codes[w.first[short[more]] + j], 1)
+        shingles, owners = np.concatenate((shingles, whole)), np.concatenate((owners, short))
     order = np.lexsort((shingles, owners))
     shingles, owners = shingles[order], owners[order]
     new = np.ones(len(order), dtype=bool)

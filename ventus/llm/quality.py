@@ -51,8 +51,8 @@ def _measure(t: tx.Texts) -> dict[str, np.ndarray]:
     line_end = line_end - (ends_with_feed & (line_end > line_start))
     solids = np.concatenate(([0], np.cumsum(solid)))
     wordy = solids[line_end] > solids[line_start]
-    hashed = tx.byte_hash(t.data)(line_start[wordy], line_end[wordy])
-    dup_line, _ = tx.repeats_of(line_owner[wordy], hashed)
+    lines = tx.distinct(tx.line_array(t.data, line_start[wordy], line_end[wordy]))
+    dup_line, _ = tx.repeats_of(line_owner[wordy], lines)
     # windows
     windows = tx.window_codes(codes, WINDOW)
     ok = np.flatnonzero(tx.inside(w.first, WINDOW))
@@ -153,13 +153,16 @@ def _best_test(table: dict[str, np.ndarray], bad: np.ndarray, at: np.ndarray, bi
     return best
 
 
-def learn_rules(table: dict[str, np.ndarray], good: np.ndarray, max_rules: int = 12, max_tests: int = 4, min_precision: float = 0.6, bins: int = 200, seed: int = 7) -> list[Rule]:
-    """Rules that reject, in order; rows that none covers are kept."""
+def learn_rules(table: dict[str, np.ndarray], good: np.ndarray, max_rules: int = 12, max_tests: int = 4, min_precision: float = 0.6, bins: int = 200, seed: int = 7, grow: np.ndarray | None = None) -> list[Rule]:
+    """Rules that reject, in order; rows that none covers are kept.
+
+    grow: which rows rules are grown on, the others prune them; drawn if not given.
+    """
     bad = ~good.astype(bool)
     left, rules = np.ones(len(bad), dtype=bool), []
     if not bad.any() or bad.all():
         return rules
-    grow_part = np.random.default_rng(seed).random(len(bad)) < 2 / 3
+    grow_part = np.random.default_rng(seed).random(len(bad)) < 2 / 3 if grow is None else grow
     while len(rules) < max_rules:
         at, rule = left & grow_part, ()
         if not bad[at].any():
@@ -214,8 +217,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **options) -
     """Learn from at most max_rows labelled documents (a bound on what reaches the driver)."""
     chosen = F.broadcast(labelled_sample(labels, "quality", max_rows))  # max_rows ids at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.select("doc_id"), "doc_id", "left_semi")
-    got = text_stats(rows).join(chosen, "doc_id").select("label", *(v.alias(k) for k, v in features().items())).toPandas()
-    return learn_rules({k: got[k].to_numpy(dtype=float) for k in features()}, got["label"].to_numpy() == 1, **options)
+    part = F.pmod(F.xxhash64("doc_id", F.lit("grow")), F.lit(3)) < 2  # the id decides, so that neither files nor tasks do
+    got = text_stats(rows).join(chosen, "doc_id").select("doc_id", "label", part.alias("grow"), *(v.alias(k) for k, v in features().items())).toPandas()
+    got = got.sort_values([c for c in got.columns if c != "grow"], kind="stable")
+    return learn_rules({k: got[k].to_numpy(dtype=float) for k in features()}, got["label"].to_numpy() == 1, grow=got["grow"].to_numpy(dtype=bool), **options)
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_128_digest
 
 #: Bytes of text worked on at a time; a longer single text is one slice.
 SLICE_BYTES = 512 << 10
@@ -24,10 +25,10 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 U64 = np.uint64
-#: Odd multipliers of the two polynomial hashes, and of the mixer.
+#: Odd multipliers of the mixers; a second family of codes uses the others.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_RIGHT = (0xC2B2AE3D27D4EB4F, 0xA24BAED4963EE407)
 _byte_codes = tuple(np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1) for seed in (11, 12))
-_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,42 +40,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (max(n, 1) - 1).bit_length())
-        out = np.ones(size, dtype=np.uint64)
-        step, done = U64(base), 1
-        while done < size:
-            more = min(done, size - done)
-            out[done : done + more] = out[:more] * step
-            step, done = step * step, done + more
-        _powers[base] = have = out
-    return have[:n]
+def joined(left: np.ndarray, right: np.ndarray, which: int = 0) -> np.ndarray:
+    """A code of two codes in their order.
 
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
-class RangeHash:
-    """Hash of any range of a sequence of 64-bit codes, from prefix sums.
-
-    Equal ranges hash equally wherever they stand; unequal ones collide with
-    a chance of about length / 2**64.
+    The mixer stands between every two levels, so that codes of windows have
+    no algebraic form: sums of powers modulo 2**64 collide on sequences that
+    are easy to write down, whatever the base.
     """
-
-    def __init__(self, codes: np.ndarray, which: int = 0):
-        self.base = _BASES[which]
-        with np.errstate(over="ignore"):
-            self.sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-            np.cumsum(codes * powers(self.base, len(codes)), out=self.sums[1:])
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            raw = (self.sums[ends] - self.sums[starts]) * powers(inverse(self.base), len(self.sums))[starts]
-            return mix(raw + (ends - starts).astype(np.uint64) * U64(0xA24BAED4963EE407))
+    with np.errstate(over="ignore"):
+        out = left * U64(_BASES[which])
+        more = right * U64(_RIGHT[which])
+        out += more
+        np.right_shift(out, U64(32), out=more)
+        out ^= more
+        out *= U64(0xBF58476D1CE4E5B9)
+        np.right_shift(out, U64(29), out=more)
+        out ^= more
+    return out
 
 
 def release() -> None:
@@ -168,25 +150,80 @@ def words_of(t: Texts) -> Words:
     return Words(starts, ends, np.searchsorted(starts, t.offsets))
 
 
-def byte_hash(data: np.ndarray, which: int = 0) -> RangeHash:
-    return RangeHash(_byte_codes[which][data], which)
+def line_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Byte ranges in their order, which must not overlap, as one Arrow column."""
+    step = np.zeros(len(data) + 1, dtype=np.int8)
+    np.add.at(step, starts, 1)
+    np.add.at(step, ends, -1)
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[np.cumsum(step[:-1]) > 0])])
+
+
+def distinct(column: pa.Array) -> np.ndarray:
+    """A number for each value: equal numbers are equal bytes."""
+    return np.asarray(column.dictionary_encode().indices)
+
+
+#: Longer words are hashed one by one.
+LONG_WORD = 64
 
 
 def word_codes(data: np.ndarray, w: Words, which: int = 0) -> np.ndarray:
-    """A 64-bit code of each word."""
-    return byte_hash(data, which)(w.starts, w.ends)
+    """A 64-bit code of each word from all its bytes, eight at a time."""
+    length = w.ends - w.starts
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))  # the eight bytes from each position
+    out = (length.astype(np.uint64) + U64(1)) * U64(_BASES[1 - which])
+    at, going = 0, np.flatnonzero(length <= LONG_WORD)
+    while len(going):
+        value, left = eight[w.starts[going] + at], length[going] - at
+        short = left < 8
+        value[short] &= (U64(1) << (left[short] * 8).astype(np.uint64)) - U64(1)
+        out[going] = joined(mix(out[going]) if at else out[going], mix(value), which)
+        going = going[left > 8]
+        at += 8
+    for k in np.flatnonzero(length > LONG_WORD).tolist():
+        out[k] = int.from_bytes(xxh3_128_digest(data[w.starts[k] : w.ends[k]].tobytes())[8 * which : 8 * which + 8], "little")
+    return out
 
 
 def window_codes(codes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """A code of every run of size codes; empty if there are fewer."""
-    n = len(codes) - size + 1
-    if n <= 0:
+    """A code of every run of size codes, by doubling; empty if there are fewer."""
+    if len(codes) < size:
         return np.zeros(0, dtype=np.uint64)
+    out, span = codes, 1
+    while span * 2 <= size:
+        out, span = joined(out[:-span], out[span:], which), span * 2
+    rest = size - span
+    return joined(out[:-rest], out[rest:], which) if rest else out
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as one big-endian number, as far as there are eight."""
+    data = np.ascontiguousarray(data)
+    return np.ndarray((len(data) - 7,), ">u8", data.data, 0, (1,)).astype(np.uint64)
+
+
+def byte_windows(data: np.ndarray, sizes: tuple[int, ...], which: int = 0) -> list[np.ndarray]:
+    """Codes of every run of each of the sizes of bytes (ascending, 16 at least)."""
+    found, n = [], len(data)
+    out, span = eights(data) if n > 7 else np.zeros(0, dtype=np.uint64), 8
+    for size in sizes:
+        if n < size:
+            found.append(np.zeros(0, dtype=np.uint64))
+            continue
+        while span * 2 <= size:
+            out, span = joined(out[:-span], out[span:], which), span * 2
+        rest = size - span
+        found.append(joined(out[:-rest], out[rest:], which) if rest else out)
+    return found
+
+
+def range_codes(windows: np.ndarray, start: np.ndarray, count: np.ndarray, which: int = 0) -> np.ndarray:
+    """A code of each run of count windows, count being at most a window's size: its first and last window cover it."""
     with np.errstate(over="ignore"):
-        out = codes[:n].copy()
-        for j in range(1, size):
-            out = out * U64(_BASES[which]) + codes[j : j + n]
-        return mix(out)
+        return joined(windows[start], windows[start + count - 1] + count.astype(np.uint64) * U64(_RIGHT[1 - which]), which)
 
 
 def inside(first: np.ndarray, size: int) -> np.ndarray:
@@ -227,15 +264,29 @@ def runs(flags: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def repeats_of(owner: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(equal to an earlier one of the same owner, found twice or more there)."""
-    if not len(codes):
-        none = np.zeros(0, dtype=bool)
-        return none, none
-    with np.errstate(over="ignore"):
-        key = mix(codes ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    later, twice = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
-    later[order[1:]] = same
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
+    source = first_equal(owner, codes)
+    later = source != np.arange(len(source))
+    twice = later.copy()
+    twice[source[later]] = True
     return later, twice
+
+
+def first_equal(owner: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """For each entry the place of the first one with the same owner and code."""
+    if not len(codes):
+        return np.zeros(0, dtype=np.int64)
+    key = joined(codes.astype(np.uint64, copy=False), owner.astype(np.uint64))
+    order = np.argsort(key)
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    out = np.empty(len(key), dtype=np.int64)
+    out[order] = np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
+
+
+def same_windows(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Whether the runs of size symbols from places a and b are equal, symbol by symbol."""
+    out = np.ones(len(a), dtype=bool)
+    for j in range(size):
+        out &= symbols[a + j] == symbols[b + j]
+    return out
