@@ -236,7 +236,7 @@ def test_nonbranching_paths_are_compacted(spark):
         at += length
     rows.append((900, -900, 1000, 1, 101, 0))  # says that 1 comes before it, which 1 denies
     want[900] = 1
-    edges = spark.createDataFrame(rows, "one long, two long, code long, count long, prev long, next long")
+    edges = spark.createDataFrame(rows, "one long, two long, code long, count long, prev long, next long").withColumn("n", F.lit(2))
     assert {r.one: r.windows for r in wordspans.compacted(edges, Shelf(spark)).collect()} == want
     assert wordspans.compacted(edges.limit(0), Shelf(spark)).count() == 0
 

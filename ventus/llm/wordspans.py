@@ -56,8 +56,8 @@ ANCHOR_WORDS = 6
 #: Words whose windows are cut into paths at a time; positions within them must fit into _POSITION.
 BLOCK_WORDS = 1 << 18
 _POSITION = np.uint64((1 << 20) - 1)
-#: Ways that an edge's places are dealt where they meet what is known of the edge.
-SALTS = 8
+#: Ways that an edge's places are dealt where they meet what is known of the edge, if it has over a HOT-th of all places.
+SALTS, HOT = 64, 1000
 #: A place is its first window times 32, plus the number of windows, plus 16 for an opened window.
 _OPENED = 16
 
@@ -174,9 +174,9 @@ def _code(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def compacted(edges: DataFrame, shelf: Shelf) -> DataFrame:
-    """(one, two, windows) of the first edge of each maximal nonbranching path, windows being those of all its edges.
+    """(one, two, n, windows) of the first edge of each maximal nonbranching path, windows being those of all its edges.
 
-    edges: (code, count, prev, next) and the edge's name (one, two); prev and
+    edges: (code, count, prev, next, n) and the edge's name (one, two); prev and
     next are 0 where the node before or after the edge ends or branches.
     """
     before = edges.where("next <> 0").select(F.col("code").alias("from"), F.col("next").alias("to"))
@@ -192,7 +192,7 @@ def compacted(edges: DataFrame, shelf: Shelf) -> DataFrame:
         if step.where("beyond is not null").isEmpty():
             break
     sums = edges.join(jump, edges.code == jump.edge, "left").groupBy(F.coalesce("head", "code").alias("head_code")).agg(F.sum("count").alias("windows"))
-    return edges.join(sums, edges.code == sums.head_code).select("one", "two", "windows")
+    return edges.join(sums, edges.code == sums.head_code).select("one", "two", "n", "windows")
 
 
 def _plain(t: tx.Texts, w: tx.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -310,48 +310,65 @@ def _apart(name: str, taken: list[str]) -> str:
     return name
 
 
-def _salted(places: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
-    """A join of places with one row for each edge or anchor; an edge may stand in very many documents, so that these are dealt over SALTS keys."""
-    found = found.withColumn("salt", F.explode(F.array(*[F.lit(x) for x in range(SALTS)])))
-    return places.withColumn("salt", F.pmod(F.xxhash64("doc", "row"), F.lit(SALTS)).cast("int")).join(found, [*on, "salt"]).drop("salt")
+def _met(places: DataFrame, known: DataFrame, on: list[str], hint: str = "merge") -> DataFrame:
+    """A join of places with what is known of each edge or anchor, a row each, of which column n is the number of places.
+
+    The places of one that holds over a HOT-th of all are dealt over SALTS
+    keys; there are at most HOT such, so that these names are broadcast.
+    """
+    least = (known.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = F.broadcast(known.where(F.col("n") > least).select(*on, F.lit(True).alias("hot")))
+    every = F.when(F.col("hot"), F.array(*[F.lit(x) for x in range(SALTS)])).otherwise(F.array(F.lit(0)))
+    one = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "row"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    known = known.drop("n").join(hot, on, "left").withColumn("salt", F.explode(every)).drop("hot")
+    return places.join(hot, on, "left").withColumn("salt", one).drop("hot").join(known.hint(hint), [*on, "salt"]).drop("salt")
 
 
 def repeated_spans(docs: DataFrame, shelf: Shelf, size: int, k: int) -> DataFrame:
     """(doc, row, spans): of each row of docs (doc, row, text) the spans that an earlier document has, as (at, windows, digest)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = docs.mapInArrow(_scan(size, k), "one long, two long, doc long, row long, at long, new_anchor boolean")
-    anchors = shelf.put(found.where("new_anchor").groupBy("one").agg(F.count("*").alias("n")).where("n > 1").select("one"), "anchors", large=True)
-    shared = shelf.put(_salted(found.drop("new_anchor"), anchors, ["one"]), "shared", large=True)
-    packed = shelf.put(shared.groupBy("one", "two").agg(F.min("doc").alias("source"), F.max("doc").alias("last")), "packed")
-    branching = shelf.put(packed.groupBy("one").agg(F.count("*").alias("n")).where("n > 1").select("one"), "branching")
-    first = packed.join(branching, "one").select("one", "two", F.col("source").alias("doc"))
-    opened = shared.join(first, ["one", "two", "doc"]).groupBy("doc", "row").agg(F.collect_list("at").alias("opened"))
+    anchors = shelf.put(found.where("new_anchor").groupBy("one").agg(F.count("*").alias("n")).where("n > 1"), "anchors", large=True)
+    # anchors of a partition are fewer than its places by far, and fit into a table in memory
+    shared = shelf.put(_met(found.drop("new_anchor"), anchors, ["one"], "shuffle_hash"), "shared", large=True)
+    shelf.drop("anchors")
+    of_edge = [F.min("doc").alias("source"), F.max("doc").alias("last"), F.count("*").alias("n")]
+    packed = shelf.put(shared.groupBy("one", "two").agg(*of_edge), "packed", large=True)
+    branching = shelf.put(packed.groupBy("one").agg(F.count("*").alias("n_edges"), F.sum("n").alias("n")).where("n_edges > 1").drop("n_edges"), "branching")
+    first = packed.drop("n").join(branching, "one").select("one", "two", F.col("source").alias("doc"))
+    opened = shared.join(first, ["one", "two", "doc"]).groupBy("doc", "row").agg(F.collect_set("at").alias("opened"))
     windows = docs.join(opened.hint("merge"), ["doc", "row"]).mapInArrow(_open(size), "one long, two long, doc long, row long, at long")
     windows = shelf.put(windows, "windows", large=True)
 
-    ends = windows.groupBy("one", "two").agg(F.min("doc").alias("source"), F.max("doc").alias("last"))
-    twice = shelf.put(packed.unionByName(ends).where("source < last").select("one", "two"), "twice")
-    places = shelf.put(_salted(shared.unionByName(windows), twice, ["one", "two"]).distinct(), "places")  # repeated rows count once
-    for name in ("anchors", "shared", "packed", "branching", "windows", "twice"):
+    ends = windows.groupBy("one", "two").agg(*of_edge)
+    twice = shelf.put(packed.unionByName(ends).where("source < last").select("one", "two", "n"), "twice", large=True)
+    places = shelf.put(_met(shared.unionByName(windows), twice, ["one", "two"], "shuffle_hash"), "places", large=True)
+    for name in ("shared", "packed", "branching", "windows", "twice"):
         shelf.drop(name)
 
-    # the kind of an edge comes first, so that packed edges and opened windows make two lists of a document
-    ordered = places.select("one", "two", "doc", "row", (F.shiftleft(F.col("at").bitwiseAND(F.lit(_OPENED)), 54) + F.col("at") - F.col("at").bitwiseAND(F.lit(_OPENED))).alias("place"))
-    ordered = ordered.repartition(n, "doc", "row").sortWithinPartitions("doc", "row", "place").mapInArrow(_neighbours, "one long, two long, code long, count long, prev long, next long")
+    # the kind of an edge comes first, so that packed edges and opened windows make two lists of a document; repeated rows count once
+    opened = F.col("at").bitwiseAND(F.lit(_OPENED))
+    ordered = places.select("one", "two", "doc", "row", (F.shiftleft(opened, 54) + F.col("at") - opened).alias("place"))
+    ordered = ordered.repartition(n, "doc", "row").distinct().sortWithinPartitions("doc", "row", "place")
+    ordered = ordered.mapInArrow(_neighbours, "one long, two long, code long, count long, prev long, next long")
     only = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.lit(0)).alias(c)
-    edges = shelf.put(ordered.groupBy("one", "two", "code").agg(F.min("count").alias("count"), only("prev"), only("next")), "edges", large=True)
-    heads = shelf.put(compacted(edges, shelf), "heads")
+    edges = shelf.put(ordered.groupBy("one", "two", "code").agg(F.min("count").alias("count"), only("prev"), only("next"), F.count("*").alias("n")), "edges", large=True)
+    heads = shelf.put(compacted(edges, shelf), "heads", large=True)
+    shelf.drop("edges")
 
-    occurrences = shelf.put(_salted(places, heads, ["one", "two"]), "occurrences")
+    occurrences = shelf.put(_met(places, heads, ["one", "two"]), "occurrences", large=True)
     shelf.drop("places")
-    sources = occurrences.groupBy("one", "two").agg(F.min(F.struct("doc", "row", "at", "windows")).alias("s")).select("one", "two", "s.*")
+    sources = occurrences.groupBy("one", "two").agg(F.min(F.struct("doc", "row", "at", "windows")).alias("s"), F.count("*").alias("n")).select("one", "two", "n", "s.*")
     sources = shelf.put(sources, "sources")
     asked = sources.groupBy("doc", "row").agg(F.collect_list(F.struct("one", "two", "at", "windows")).alias("paths"))
     digests = docs.join(asked.hint("merge"), ["doc", "row"]).mapInArrow(_witness(size), "one long, two long, digest binary")
     digests = digests.groupBy("one", "two").agg(F.min("digest").alias("digest"))  # repeated rows give one each
-    digests = shelf.put(sources.select("one", "two", F.col("doc").alias("source")).join(digests, ["one", "two"]), "digests", large=True)
-    spans = _salted(occurrences, digests, ["one", "two"]).where("source < doc").groupBy("doc", "row").agg(F.collect_list(F.struct("at", "windows", "digest")).alias("spans"))
-    return shelf.put(spans, "spans")
+    digests = shelf.put(sources.select("one", "two", "n", F.col("doc").alias("source")).join(digests, ["one", "two"]), "digests", large=True)
+    spans = _met(occurrences, digests, ["one", "two"]).where("source < doc").groupBy("doc", "row").agg(F.collect_set(F.struct("at", "windows", "digest")).alias("spans"))
+    spans = shelf.put(spans, "spans", large=True)
+    for name in ("heads", "occurrences", "sources", "digests"):
+        shelf.drop(name)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, emit=None, size: int = 20, k: int = ANCHOR_WORDS) -> DataFrame:
