@@ -276,10 +276,13 @@ def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(0)
     for raw in (b"banana" * 5, bytes(rng.integers(97, 99, 2000).astype(np.uint8)), b"\0" * 50 + b"a\0\0b" * 9, b"x", b"ab" * 400):
         data = np.frombuffer(raw, dtype=np.uint8)
-        sa = suffixes.suffix_array(data, 100)
+        sa, tied = suffixes.suffix_array(data, 100)
         assert sorted(sa.tolist()) == list(range(len(raw)))
         assert [raw[i : i + 100] for i in sa] == sorted(raw[i : i + 100] for i in range(len(raw)))
-        common = suffixes.common_prefixes(data, sa, 100)
+        common = suffixes.common_prefixes(data, sa, tied, 100)
+        some = rng.random(len(raw)) < 0.4
+        few, _ = suffixes.suffix_array(data, 100, some)
+        assert sorted(few.tolist()) == np.flatnonzero(some).tolist() and [raw[i : i + 100] for i in few] == sorted(raw[i : i + 100] for i in few)
         for k in range(1, len(raw)):
             x, y, c = raw[sa[k - 1] :], raw[sa[k] :], 0
             while c < min(len(x), len(y), 100) and x[c] == y[c]:

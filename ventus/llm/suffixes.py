@@ -46,6 +46,8 @@ from ventus.llm.shelf import Shelf
 GRAM = 24
 #: Paths of one anchor in a shard; bytes of paths in one suffix array.
 SHARD_PATHS, ARRAY_BYTES = 2048, 512 << 10
+#: Buckets of windows to merge for each shard of an anchor.
+BUCKETS = 16
 #: Bytes whose windows are cut into paths at a time; positions within them must fit into _POSITION.
 BLOCK_BYTES = 640 << 10
 _POSITION = np.uint64((1 << 20) - 1)
@@ -56,14 +58,14 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return tx.eights(np.concatenate((data, np.zeros(7, dtype=np.uint8))))
 
 
-def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
-    """Starts of the wanted suffixes (of all, if not told), sorted by at least their first depth bytes; the end sorts first.
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of the wanted suffixes, all if not told, sorted by at least their first depth bytes; which are tied with the one before).
 
-    Suffixes that are not wanted are refined only as far as others are ranked by them.
+    Suffixes that are not wanted are refined only as far as others are ranked by them.  The end sorts first.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
     wanted = np.ones(n, dtype=bool) if wanted is None else wanted
     rounds = [8 << k for k in range(64) if 8 << k < depth]
     needed = [wanted]
@@ -72,32 +74,44 @@ def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None)
         more[h:] |= needed[0][:-h]
         needed.insert(0, more)
     head = words_at(data)
-    # the length left breaks ties between zero bytes and the end
-    left = np.minimum(n - np.arange(n), 8)
-    sa = np.argsort(head) if data.all() else np.lexsort((left, head))
-    new = np.ones(n, dtype=bool)
-    new[1:] = (head[sa][1:] != head[sa][:-1]) | (left[sa][1:] != left[sa][:-1])
-    rank = np.full(n + 2 * depth + 16, -1, dtype=np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    if data.all():
+        sa = np.argsort(head)
+        key = head[sa]
+        new = np.ones(n, dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+    else:  # the length left breaks ties between zero bytes and the end
+        left = np.minimum(n - np.arange(n), 8)
+        sa = np.lexsort((left, head))
+        new = np.ones(n, dtype=bool)
+        new[1:] = (head[sa][1:] != head[sa][:-1]) | (left[sa][1:] != left[sa][:-1])
+    if not rounds:
+        return sa, ~new
+    rank = np.full(n + 2 * depth + 16, -1, dtype=np.int32)
+    first = np.cumsum(new, dtype=np.int32)
+    rank[sa] = first
     for h, mine in zip(rounds, needed, strict=True):
-        sa = sa[mine[sa]]
-        first = rank[sa]
-        new = np.ones(len(sa), dtype=bool)
-        new[1:] = first[1:] != first[:-1]
+        if not mine.all():
+            keep = mine[sa]
+            sa, first = sa[keep], first[keep]
+            new = np.ones(len(sa), dtype=bool)
+            new[1:] = first[1:] != first[:-1]
+        key = (first.astype(np.int64) << 32) | (rank[sa + h] + 1)
         at = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in groups that are still tied
-        tied = sa[at]
-        key = first[at] * (n + 2) + rank[tied + h] + 1
-        order = np.argsort(key)
-        sa[at], key = tied[order], key[order]
-        split = np.ones(len(at), dtype=bool)
-        split[1:] = key[1:] != key[:-1]
-        new[at] = split
-        rank[sa] = np.maximum.accumulate(np.where(new, np.arange(len(sa)), 0))
-    return sa if rounds else sa[wanted[sa]]
+        if 2 * len(at) < len(sa):
+            order = at[np.argsort(key[at])]
+            sa[at], key[at] = sa[order], key[order]
+        else:
+            order = np.argsort(key)
+            sa, key = sa[order], key[order]
+        new = np.ones(len(sa), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.cumsum(new, dtype=np.int32)
+        rank[sa] = first
+    return sa, ~new
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, depth: int, stride: int = 16) -> np.ndarray:
-    """For each place of sa the bytes its suffix has in common with the one before, up to depth.
+def common_prefixes(data: np.ndarray, sa: np.ndarray, tied: np.ndarray, depth: int, stride: int = 16) -> np.ndarray:
+    """For each place of sa the bytes its suffix has in common with the one before, up to depth; those tied have them all.
 
     Kasai's bound (a suffix has at least one byte less in common than the
     suffix that starts one byte earlier, if what follows that one's neighbour
@@ -112,10 +126,11 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, depth: int, stride: int =
     here[sa] = True
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
+    out[sa[tied]] = depth
     head = np.concatenate((words_at(data), np.zeros(depth + 8, dtype=np.uint64)))
     for r in range(stride):
         i = np.arange(r, n, stride)
-        i = i[before[i] >= 0]
+        i = i[(before[i] >= 0) & (out[i] < depth)]
         j = before[i]
         # the bound needs true order: suffixes tied to full depth may stand either way
         bound = np.where((before[i - 1] >= 0) & here[before[i - 1] + 1], out[i - 1], 0) if r else np.zeros(len(i), dtype=np.int64)
@@ -238,9 +253,9 @@ def _sorted_shards(size: int):
         step = np.zeros(len(data) + 1, dtype=np.int8)
         step[ends[:-1]] = 1
         step[ends[:-1] + (at & 127)] = -1
-        sa = suffix_array(data, size, np.cumsum(step[:-1], dtype=np.int8) > 0)
-        group = np.cumsum(common_prefixes(data, sa, size) < size) - 1
-        path = np.searchsorted(ends, sa, side="right") - 1
+        sa, tied = suffix_array(data, size, np.cumsum(step[:-1], dtype=np.int8) > 0)
+        group = np.cumsum(common_prefixes(data, sa, tied, size) < size) - 1
+        path = np.repeat(np.arange(len(strings)), np.diff(ends))[sa]
         window = sa - ends[path]
         # one array may hold several shards, but none in part: windows of other anchors are never equal
         own = doc[path]
@@ -264,7 +279,7 @@ def _sorted_shards(size: int):
             of = path[part]
             picked = data[sa[part][:, None] + np.arange(size)].reshape(-1)
             windows = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(np.arange(len(part) + 1, dtype=np.int32) * size), pa.py_buffer(picked)])
-            bucket = (code[a : a + len(part)] % parts[of].astype(np.uint64)).astype(np.int32)
+            bucket = (code[a : a + len(part)] % (parts[of] * BUCKETS).astype(np.uint64)).astype(np.int32)
             yield _shard_rows(doc[of], row[of], where[part], anchor[of], salt[of], bucket, windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
