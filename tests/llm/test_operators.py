@@ -355,30 +355,79 @@ def test_bpe_round_trip(docs, hard):
 def test_mixing(spark, docs, sf_dir, odd):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     targets = {"en": 0.4, "fr": 0.2, "de": 0.25, "es": 0.15}
-    out = mixing.mix(docs, labels, targets, ridge=1e-5).toPandas()
+    out = mixing.mix(docs, labels, targets).toPandas()
     assert len(out) == docs.count() and (out.rate >= 0).all()
     share = out.n_tokens / out.n_tokens.sum()
     for d, t in targets.items():
-        assert abs((share * out.rate * out[f"p_{d}"]).sum() - t) < 0.02
-    # projected gradient on the same posteriors, far past convergence
+        assert abs((share * out.rate * out[f"p_{d}"]).sum() - t) < 0.005
+    # plain projected gradient on the same posteriors, far past convergence
     a = np.array([share * out[f"p_{d}"] for d in sorted(targets)])
     b, w, r = np.array([targets[d] for d in sorted(targets)]), share.to_numpy(), np.ones(len(out))
     scaled = np.divide(a, w, out=np.zeros_like(a), where=w > 0)
+    of = a.sum(axis=1)
     for _ in range(4000):
-        r = np.maximum(0, r - 1.0 * (scaled.T @ (a @ r - b) + 1e-5 * (r - 1)))
+        r = np.maximum(0, r - 0.9 * (scaled.T @ ((a @ r - b) / of) + 1e-3 * (r - 1)))
     some = w > 0
-    assert np.abs(out.rate.to_numpy()[some] - r[some]).max() < 0.05
+    assert np.abs(out.rate.to_numpy()[some] - r[some]).max() < 0.01
     langs = {r.doc_id: r.lang for r in docs.collect()}
     best = out[[f"p_{d}" for d in sorted(targets)]].to_numpy().argmax(axis=1)
     long = out.n_tokens.to_numpy() > 30
     assert np.mean([sorted(targets)[k] == langs[i] for k, i in zip(best[long], out.doc_id[long], strict=True)]) > 0.95
-    mixed = mixing.apply_rates(docs, labels, targets)
-    assert mixed.columns == docs.columns
-    assert {r.doc_id for r in mixed.select("doc_id").collect()} == set(langs)
     assert mixing.mix(odd, labels, targets, "rule").count() == len(ODD)
     assert mixing.mix(odd.limit(0), labels, targets, "rule").count() == 0
 
 
+def test_posteriors_are_those_of_brute_force(spark, docs, odd, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    domains, buckets = ["de", "en", "es", "fr"], 64
+    model = mixing.learn(docs, labels, domains, "lang", buckets=buckets)
+    words = lambda t: [w for w in re.split("[ \n\t\r]", (t or "").lower()) if w]
+    def bucket(w):  # Spark's hash of several columns: each is the seed of the next; ints are four bytes
+        out = []
+        for part, x in ((0, w), (1, w[-3:]), (2, w[:2])):
+            code = xxhash.xxh64(part.to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(x.encode(), seed=42)).intdigest()
+            out.append((code - 2**64 if code >= 2**63 else code) % buckets)
+        return out
+
+    hashed = lambda *x: [r[0] for r in spark.createDataFrame([(i,) for i in x], "i long").select(F.pmod(F.xxhash64("i", F.lit("grown")), F.lit(3)) < 2).collect()]
+    known = {r.doc_id for r in labels.select("doc_id").distinct().collect()}
+    rows = [(r.doc_id, r.lang, r.text) for r in docs.collect() if r.doc_id in known and r.lang in domains]
+    counts, n = np.zeros((4, buckets)), np.zeros(4)
+    for (_, lang, t), grown in zip(rows, hashed(*[i for i, _, _ in rows]), strict=True):
+        n[domains.index(lang)] += 1
+        if grown:
+            np.add.at(counts[domains.index(lang)], [b for w in words(t) for b in bucket(w)], 1)
+    weights = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * buckets))
+    assert np.allclose([model.weights[d] for d in domains], weights) and model.temperature in mixing.TEMPERATURES
+    for table in (docs, odd):
+        got = {r.doc_id: (r.n, list(r.p)) for r in model.posteriors(table, mixing._text(), F.col("doc_id"), mixing.n_tokens().alias("n")).collect()}
+        for i, t in pairs(table):
+            z = np.log(n / n.sum()) + model.temperature * sum((weights[:, b] for w in words(t) for b in bucket(w)), np.zeros(4))
+            assert got[i][0] == len(WORD.findall(t or "")) and np.allclose(got[i][1], np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-3)
+
+
+def test_mixing_reaches_odd_targets(spark, docs, sf_dir, odd):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    targets = {"en": 0.97, "fr": 0.03}
+    two = docs.where("lang in ('en', 'fr')")
+    rates = mixing.mix(two, labels, targets).toPandas()
+    share = rates.n_tokens / rates.n_tokens.sum()
+    for d, t in targets.items():
+        assert abs((share * rates.rate * rates[f"p_{d}"]).sum() - t) < 0.01
+    mixed = mixing.apply_rates(two, labels, targets)
+    assert mixed.columns == docs.columns and 0.3 * two.count() < mixed.count() < 2 * two.count()
+    rare = two.where("lang = 'en'").unionByName(two.where("lang = 'fr'").join(labels, "doc_id", "left_semi").orderBy("doc_id").limit(8))
+    rates = mixing.mix(rare, labels, {"en": 0.5, "fr": 0.5}).toPandas()
+    share = rates.n_tokens / rates.n_tokens.sum()
+    assert abs((share * rates.rate * rates.p_fr).sum() - 0.5) < 0.01
+    tripled = mixing.apply_rates(two, labels, {"en": 0.5, "fr": 0.5}, budget=3.0 * two.agg(F.sum(mixing.n_tokens())).first()[0])
+    assert 2.2 * two.count() < tripled.count() < 3.8 * two.count()
+    plain = odd.withColumn("_row", F.lit(1)).withColumn("p", F.lit(2))
+    assert mixing.apply_rates(plain, labels, targets, "rule").columns == plain.columns
+    assert mixing.apply_rates(plain.limit(0), labels, targets, "rule").count() == 0
+    assert mixing.apply_rates(plain, labels.limit(0), targets, "rule").where("text is null").count() == 1
+
+
 # embeddings
 
 
@@ -474,5 +523,4 @@ def test_columns_of_the_same_names_pass_through(spark):
     assert neardup.keep_first(docs).columns == docs.columns
     labels = spark.createDataFrame([(1,), (2,)], "doc_id long")
     mixed = mixing.apply_rates(docs.withColumn("lang", F.lit("en")), labels, {"en": 1.0, "fr": 1.0})
-    assert mixed.columns == [*docs.columns, "lang"] and {r.doc_id for r in mixed.collect()} == {1, 2, 3}
-    assert {r.e for r in mixed.collect()} == {2}
+    assert mixed.columns == [*docs.columns, "lang"] and {r.e for r in mixed.collect()} <= {2}

@@ -1,96 +1,136 @@
 """Mixing sources to target weights by soft membership.
 
-A Gaussian naive Bayes classifier, whose means and variances come from the
-labelled documents in one aggregation, gives each document a posterior over
-domains.  Then nonnegative document rates r are fitted so that the expected
-tokens of each domain, sum over documents of r * tokens * posterior, match the
-target shares of all tokens:
-
-    minimise 1/2 |A r - b|^2 + ridge/2 * sum of share_d * (r_d - 1)^2,  r >= 0
-
-with A[k, d] = share_d * posterior_dk, where share_d is the document's share
-of all tokens and b the target shares.  Projected gradient steps are taken in
-the metric of the shares; a step needs one number a domain from all documents
-(an aggregation), and each document's rate is the fold of the steps so far
-over its posteriors.  The step is 1 / (largest eigenvalue of the Gram matrix +
-ridge), the loop ends when the residuals stand still.
-
-All of it is DataFrame functions; the driver holds means, variances and
-residuals, whose number is domains times features.
+A classifier learnt from the labelled table gives each document a posterior
+over domains: multinomial naive Bayes over hashed words, endings and beginnings, whose log-likelihoods
+are tempered by the factor that makes held-out labelled documents likeliest,
+so that posteriors are as soft as the classifier errs.  Then nonnegative
+document rates r are fitted so that the expected tokens of each domain, sum
+over documents of r * tokens * posterior, match the target shares:
+
+    minimise 1/2 sum over domains of (A r - b)_k^2 / s_k + ridge/2 * sum of share_d * (r_d - 1)^2,  r >= 0
+
+with A[k, d] = share_d * posterior_dk, share_d the document's share of all
+tokens, b the target shares and s the shares that the domains have.  Dividing
+by s makes rare domains count and the problem well conditioned.  Projected
+gradient steps with momentum are taken in the metric of the shares: a step
+needs one number a domain from all documents (an aggregation), and the state
+(r, y) of each document is written every few steps.  The step is 1 / (largest
+eigenvalue + ridge); the loop ends when the gradient stands still, and says so
+if it doesn't within max_steps.
+
+All of it is DataFrame functions; the driver holds word weights, whose number
+is domains times buckets, and residuals, one a domain and step.
 
 Defined results: a null or empty text has no tokens and the prior as its
 posterior; rows are rated each on its own, ties alike; an empty table gives an
 empty result; domains without a labelled document are never predicted, and
-without any labelled document every posterior is uniform over the targets.
-Other columns pass through ``apply_rates`` and are not read elsewhere.
+without any labelled document every posterior is uniform over the targets.  A
+domain that no document may belong to cannot reach its target; the others come
+as near to theirs as the ridge lets them.  Other columns pass through
+``apply_rates``, whatever their names, and are not read elsewhere.
 """
 
 from __future__ import annotations
 
+import json
+import warnings
+from dataclasses import dataclass, field
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ventus.llm.shelf import Shelf
 
-#: Character grams whose shares of a text are the classifier's features.
-GRAMS = ("e", "o", "w", "th", "ch", "qu", "ei", "é", "è", "ç", "ñ", "ó", "í", "ß", "ü", "ö", "ä")
-#: Least variance of a feature, so that a gram which a domain never has stays finite evidence.
-LEAST_VARIANCE = 1e-4
+#: Buckets that words are hashed to.
+BUCKETS = 4096
+#: Steps after which the documents' state is written.
+STORED_STEPS = 8
+TEMPERATURES = tuple(2.0**-k for k in range(10))
+
 
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
-def gram_share(text: Column, gram: str) -> Column:
-    """Square root of the share of a text's characters that lie in a gram."""
-    return F.sqrt((F.length(text) - F.length(F.replace(text, F.lit(gram), F.lit("")))) / F.greatest(F.length(text), F.lit(1)))
 
+def n_tokens() -> Column:
+    return F.regexp_count(_text(), F.lit("[^ \\t-\\r]+")).cast("double")
 
-def measured(docs: DataFrame, domain_col: str, grams: tuple[str, ...] = GRAMS, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, domain, n_tokens, f) of each document, and extra columns."""
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^ \\t-\\r]+")).cast("double")
-    rows = docs.select(*extra, F.col("doc_id").cast("long").alias("doc_id"), F.col(domain_col).alias("domain"), text.alias("t"), tokens.alias("n_tokens"))
-    return rows.select(*extra, "doc_id", "domain", "n_tokens", F.array(*[gram_share(F.col("t"), g) for g in grams]).cast("array<float>").alias("f"))
+
+def word_buckets(text: Column, buckets: int) -> Column:
+    """Of each word of a text, lower-cased, the buckets of the word, its last three and its first two letters; words are what stands between blanks."""
+    words = F.filter(F.split(F.lower(F.translate(text, "\n\t\r", "   ")), " "), lambda w: w != "")
+    of = lambda w, part: F.pmod(F.xxhash64(w, F.lit(part)), F.lit(buckets)).cast("int")
+    return F.transform(words, lambda w: F.struct(of(w, 0).alias("a"), of(F.right(w, F.lit(3)), 1).alias("b"), of(F.left(w, F.lit(2)), 2).alias("c")))
 
 
 def _vector(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def classifier(table: DataFrame, labelled: DataFrame, domains: list[str], n_features: int) -> Column:
-    """The posterior array over domains, learnt from the rows of table whose doc_id labelled has."""
-    known = table.where(F.col("domain").isin(domains) & (F.col("n_tokens") > 0)).join(labelled.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    stats = [f(F.col("f")[k].cast("double")).alias(f"{n}{k}") for k in range(n_features) for n, f in (("m", F.avg), ("v", F.var_pop))]
-    rows = {r["domain"]: r for r in known.groupBy("domain").agg(F.count("*").alias("n"), *stats).collect()}  # one row a domain
-    if not rows:
-        return _vector([1 / len(domains)] * len(domains))
-    total = sum(r["n"] for r in rows.values())
-    scores = []
-    for d in domains:
-        if d not in rows:
-            scores.append(F.lit(-1e6))
-            continue
-        r = rows[d]
-        mean, var = [r[f"m{k}"] for k in range(n_features)], [max(r[f"v{k}"], LEAST_VARIANCE) for k in range(n_features)]
-        prior = float(np.log(r["n"] / total))
-        far = F.lit(prior - 0.5 * float(np.log(var).sum()))
-        for k in range(n_features):
-            far = far - (F.col("f")[k] - F.lit(mean[k])) * (F.col("f")[k] - F.lit(mean[k])) * F.lit(0.5 / var[k])
-        scores.append(F.when(F.col("n_tokens") > 0, far).otherwise(F.lit(prior)))
-    return F.array(*scores)
-
-
-def softmax(scores: Column) -> Column:
-    return F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-
-
-def posteriors(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain_col: str, shelf: Shelf, grams: tuple[str, ...] = GRAMS) -> DataFrame:
-    """(doc_id, n_tokens, p): p in the order of the sorted names of targets."""
-    domains = sorted(targets)
-    table = shelf.put(measured(docs, domain_col, grams), "measured")
-    scored = table.select("doc_id", "n_tokens", classifier(table, labelled, domains, len(grams)).alias("s"))
-    scored = scored.select("doc_id", "n_tokens", softmax(F.col("s")).alias("e"))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return scored.select("doc_id", "n_tokens", F.transform("e", lambda x: x / total).alias("p"))
+@dataclass
+class Classifier:
+    """Log prior and log share of each bucket by domain; domains never seen have no entry in weights."""
+
+    domains: list[str]
+    priors: np.ndarray
+    weights: dict[str, np.ndarray] = field(default_factory=dict)
+    temperature: float = 1.0
+    buckets: int = BUCKETS
+
+    def sums(self, text: Column) -> Column:
+        """Struct of the log-likelihoods of a text, one for each domain that has weights; the table of weights is one literal."""
+        known = [d for d in self.domains if d in self.weights]
+        flat = np.stack([self.weights[d] for d in known], axis=1).round(6).reshape(-1).tolist()
+        table = F.from_json(F.lit(json.dumps(flat)), F.lit("array<double>"))
+        add = lambda acc, w: F.struct(*[(acc[d] + sum(F.get(table, w[c] * len(known) + k) for c in "abc")).alias(d) for k, d in enumerate(known)])
+        return F.aggregate(word_buckets(text, self.buckets), F.struct(*[F.lit(0.0).alias(d) for d in known]), add)
+
+    def posteriors(self, docs: DataFrame, text: Column, *others: Column) -> DataFrame:
+        """The other columns and p, the posterior of each domain."""
+        if not self.weights:
+            return docs.select(*others, _vector([1 / len(self.domains)] * len(self.domains)).alias("p"))
+        logs = [F.lit(float(x)) + F.lit(self.temperature) * F.col("s")[d] if d in self.weights else F.lit(-1e9) for d, x in zip(self.domains, self.priors, strict=True)]
+        names = [c for c in docs.select(*others).columns]
+        scored = docs.select(*others, self.sums(text).alias("s")).select(*names, F.array(*logs).alias("z"))
+        scored = scored.select(*names, F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
+        return scored.select(*names, F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
+
+
+def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], domain_col: str, max_rows: int = 6000, buckets: int = BUCKETS, smooth: float = 0.5) -> Classifier:
+    """Learns from the documents that labelled names by doc_id, at most max_rows of them, chosen by hash of the id.
+
+    Two thirds of them give the weights, the others the temperature.
+    """
+    ids = labelled.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain_col).alias("domain"), _text().alias("t")).where(F.col("domain").isin(domains))
+    rows = rows.join(F.broadcast(ids), "doc_id")  # max_rows ids at most
+    grown = F.pmod(F.xxhash64("doc_id", F.lit("grown")), F.lit(3)) < 2
+    words = rows.select("domain", grown.alias("grown"), F.explode_outer(word_buckets(F.col("t"), buckets)).alias("w"))
+    words = words.select("domain", "grown", F.explode(F.array("w.a", "w.b", "w.c")).alias("b"))
+    counts = np.zeros((len(domains), buckets))
+    for r in words.where("grown and b is not null").groupBy("domain", "b").count().collect():  # domains times buckets at most
+        counts[domains.index(r["domain"]), r["b"]] = r["count"]
+    n = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
+    total = sum(n.values())
+    priors = np.log([max(n.get(d, 0), 1e-9) / max(total, 1) for d in domains])
+    found = Classifier(domains, priors, {}, 1.0, buckets)
+    for k, d in enumerate(domains):
+        if counts[k].sum():
+            found.weights[d] = np.log((counts[k] + smooth) / (counts[k].sum() + smooth * buckets))
+    if not found.weights:
+        return found
+    held = rows.where(~grown).where(F.col("domain").isin(list(found.weights))).orderBy("doc_id").select("domain", found.sums(F.col("t")).alias("s")).collect()  # max_rows rows at most, a number a domain
+    if held:
+        sums = np.array([[r["s"][d] if d in found.weights else -1e9 for d in domains] for r in held])
+        truth = np.array([domains.index(r["domain"]) for r in held])
+        losses = []
+        for t in TEMPERATURES:
+            z = priors + np.where(sums > -1e8, t * sums, -1e9)
+            z -= z.max(axis=1, keepdims=True)
+            losses.append(float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]).mean()))
+        found.temperature = TEMPERATURES[int(np.argmin(losses))]
+    return found
 
 
 def _dot(p: Column, g: Column, n: int) -> Column:
@@ -100,44 +140,71 @@ def _dot(p: Column, g: Column, n: int) -> Column:
     return out
 
 
-def folded(steps: list[tuple[np.ndarray, float]], step: float, ridge: float, n: int) -> Column:
-    """Struct (r, y) of a document after the given (gradient, momentum) steps: its rate, and the point the next gradient is taken at."""
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
-    if not steps:
-        return start
+@dataclass
+class Fit:
+    """The steps taken: of each the scaled residuals and the momentum."""
 
-    def move(at: Column, s: Column) -> Column:
-        y = at["y"]
-        r = F.greatest(F.lit(0.0), y - F.lit(step) * (F.lit(ridge) * (y - 1.0) + _dot(F.col("p"), s, n)))
-        return F.struct(r.alias("r"), (r + s[n] * (r - at["r"])).alias("y"))
+    n: int
+    ridge: float
+    step: float = 1.0
+    steps: list[tuple[np.ndarray, float]] = field(default_factory=list)
+    shares: np.ndarray | None = None  # what the domains end with
+    converged: bool = True
 
-    return F.aggregate(F.array(*[_vector([*g, beta]) for g, beta in steps]), start, move)
+    def moved(self, state: Column, first: int = 0) -> Column:
+        """Struct (r, y) of a document after the steps from first on: its rate, and the point the next gradient is taken at."""
+        if len(self.steps) <= first:
+            return state
 
+        def move(at: Column, s: Column) -> Column:
+            y = at["y"]
+            r = F.greatest(F.lit(0.0), y - F.lit(self.step) * (F.lit(self.ridge) * (y - 1.0) + _dot(F.col("p"), s, self.n)))
+            return F.struct(r.alias("r"), (r + s[self.n] * (r - at["r"])).alias("y"))
 
-def fit_rates(table: DataFrame, targets: dict[str, float], ridge: float = 1e-3, max_steps: int = 40, tolerance: float = 1e-4) -> Column:
-    """The rate of each row of table (n_tokens, p) as a column; projected gradient with momentum."""
+        return F.aggregate(F.array(*[_vector([*g, beta]) for g, beta in self.steps[first:]]), state, move)
+
+    def rate(self) -> Column:
+        """The rate of a row with posterior p."""
+        return self.moved(F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")))["r"]
+
+
+def fit_rates(table: DataFrame, targets: dict[str, float], shelf: Shelf, ridge: float = 1e-3, max_steps: int = 200, tolerance: float = 1e-6) -> Fit:
+    """Fits the rates of the rows of table (n_tokens, p) by projected gradient with momentum."""
     n = len(targets)
     b = np.array([targets[d] for d in sorted(targets)], dtype=float)
     b = b / b.sum()
-    share = F.col("n_tokens")
-    gram = [F.sum(share * F.col("p")[i] * F.col("p")[j]) for i in range(n) for j in range(n)]
-    first = table.agg(F.sum(share), *[F.sum(share * F.col("p")[k]) for k in range(n)], *gram).first()
-    total = first[0] or 0.0
+    w, p = F.col("n_tokens"), F.col("p")
+    gram = [F.sum(w * p[i] * p[j]) for i in range(n) for j in range(n)]
+    first = table.agg(F.sum(w), *[F.sum(w * p[k]) for k in range(n)], *gram).first()
+    found, total = Fit(n, ridge), first[0] or 0.0
     if not total:
-        return F.lit(1.0)
+        return found
     now = np.array([x or 0.0 for x in first[1 : n + 1]]) / total
-    step = 1 / (np.linalg.eigvalsh(np.array(first[n + 1 :], dtype=float).reshape(n, n) / total).max() + ridge)
-    steps: list[tuple[np.ndarray, float]] = []
-    t = 1.0
-    while len(steps) < max_steps:
+    scale = 1 / np.sqrt(np.maximum(now, 1e-12))
+    hessian = np.array(first[n + 1 :], dtype=float).reshape(n, n) / total * scale[:, None] * scale[None, :]
+    found.step = 1 / (np.linalg.eigvalsh(hessian).max() + ridge)
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+    state, stored, t = table.select("n_tokens", "p", start.alias("at")), 0, 1.0
+    while True:
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        steps.append((now - b, (t - 1) / t_next))
-        t, before = t_next, now
-        sums = table.select((share * folded(steps, step, ridge, n)["y"]).alias("w"), "p").agg(*[F.sum(F.col("w") * F.col("p")[k]) for k in range(n)]).first()
-        now = np.array(sums, dtype=float) / total
-        if np.abs(now - before).max() < tolerance:
+        found.steps.append(((now - b) * scale * scale, (t - 1) / t_next))
+        t = t_next
+        here = state.select("n_tokens", "p", found.moved(F.col("at"), stored).alias("at"))
+        if len(found.steps) - stored == STORED_STEPS:
+            name = f"state-{len(found.steps)}"
+            state = here = shelf.put(here, name)
+            shelf.drop(f"state-{stored}") if stored else None
+            stored = len(found.steps)
+        sums = here.agg(*[F.sum(w * F.col("at.y") * p[k]) for k in range(n)], *[F.sum(w * F.col("at.r") * p[k]) for k in range(n)], F.sum(w * F.abs(F.col("at.y") - F.col("at.r")))).first()
+        after, found.shares = np.array(sums[:n], dtype=float) / total, np.array(sums[n : 2 * n], dtype=float) / total
+        still = np.abs((after - now) * scale).max() < tolerance and (sums[2 * n] or 0.0) / total < tolerance * 10
+        now = after
+        if still or len(found.steps) >= max_steps:
+            found.converged = bool(still)
             break
-    return folded(steps, step, ridge, n)["r"]
+    if not found.converged:
+        warnings.warn(f"rates still moved after {max_steps} steps; shares are {found.shares.round(4).tolist()}, targets {b.round(4).tolist()}", stacklevel=2)
+    return found
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain_col: str = "lang", **options) -> DataFrame:
@@ -147,29 +214,34 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain_
     may be learnt from.  targets: domain to share of all tokens.
     """
     shelf = Shelf(docs.sparkSession)
-    table = shelf.put(posteriors(docs, labelled, targets, domain_col, shelf), "posteriors")
-    found = fit_rates(table, targets, **options)
-    return table.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(sorted(targets))], found.alias("rate"))
+    domains = sorted(targets)
+    model = learn(docs, labelled, domains, domain_col)
+    table = shelf.put(model.posteriors(docs, _text(), F.col("doc_id").cast("long").alias("doc_id"), n_tokens().alias("n_tokens")), "posteriors")
+    found = fit_rates(table, targets, shelf, **options)
+    return table.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], found.rate().alias("rate"))
 
 
-def apply_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain_col: str = "lang", seed: int = 0, **options) -> DataFrame:
-    """The rows of docs, each repeated as its rate says.
+def apply_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain_col: str = "lang", budget: float | None = None, seed: int = 0, **options) -> DataFrame:
+    """The rows of docs, each as often as its rate says, so that tokens come to the target shares.
 
-    Rates are divided by the least one, so no document is lost: a rate of 1.3
-    then stands for one row, and for a second with a chance of 0.3 that a hash
-    of the id draws.
+    budget: tokens wanted in all, those of docs if not told.  A rate of 1.3
+    stands for one row, and for a second with a chance of 0.3 that a hash of
+    id and text draws; one of 0.3 for one row with that chance, else for none.
+    Rows without tokens are kept once.
     """
     shelf = Shelf(docs.sparkSession)
     domains = sorted(targets)
-    measure = shelf.put(measured(docs, domain_col), "measured")
-    scores = softmax(classifier(measure, labelled, domains, len(GRAMS)))
-    shares = lambda t: t.withColumn("e", scores).withColumn("p", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y))).drop("e", "f")
-    placed = shelf.put(shares(measure), "posteriors")
-    found = fit_rates(placed, targets, **options)
-    least = placed.where("n_tokens > 0").agg(F.min(found)).first()[0]
-    # the rows themselves are not moved: their features are taken again in passing
-    wanted = found / F.lit(max(least or 1.0, 1e-3))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    copies = F.when(F.col("n_tokens") > 0, F.greatest(F.lit(1), F.floor(wanted) + (draw < wanted - F.floor(wanted)).cast("int"))).otherwise(F.lit(1)).cast("int")
-    rows = shares(measured(docs.withColumn("_row", F.struct(*docs.columns)), domain_col, extra=("_row",)))
-    return rows.select("_row", F.explode(F.array_repeat(F.lit(True), copies)).alias("_copy")).select("_row.*")
+    model = learn(docs, labelled, domains, domain_col)
+    table = shelf.put(model.posteriors(docs, _text(), n_tokens().alias("n_tokens")), "posteriors")
+    found = fit_rates(table, targets, shelf, **options)
+    scale = 1.0
+    if budget is not None and found.shares is not None:
+        total = table.agg(F.sum("n_tokens")).first()[0] or 0.0
+        scale = budget / (total * found.shares.sum()) if total and found.shares.sum() else 1.0
+    # the rows themselves are not moved: their posteriors are taken again in passing
+    wanted = found.rate() * F.lit(float(scale))
+    draw = F.pmod(F.col("drawn"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    copies = F.when(F.col("n_tokens") > 0, (F.floor(F.col("wanted")) + (draw < F.col("wanted") - F.floor(F.col("wanted"))).cast("int")).cast("int")).otherwise(F.lit(1))
+    rows = model.posteriors(docs, _text(), F.struct(*docs.columns).alias("_row"), n_tokens().alias("n_tokens"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("drawn"))
+    rows = rows.select("_row", "n_tokens", "drawn", wanted.alias("wanted")).select("_row", copies.alias("copies"))
+    return rows.select("_row", F.explode(F.array_repeat(F.lit(True), F.col("copies"))).alias("_copy")).select("_row.*")
