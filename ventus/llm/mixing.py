@@ -57,11 +57,16 @@ def n_tokens() -> Column:
     return F.regexp_count(_text(), F.lit("[^ \\t-\\r]+")).cast("double")
 
 
-def word_buckets(text: Column, buckets: int) -> Column:
-    """Of each word of a text, lower-cased, the buckets of the word, its last three and its first two letters; words are what stands between blanks."""
-    words = F.filter(F.split(F.lower(F.translate(text, "\n\t\r", "   ")), " "), lambda w: w != "")
-    of = lambda w, part: F.pmod(F.xxhash64(w, F.lit(part)), F.lit(buckets)).cast("int")
-    return F.transform(words, lambda w: F.struct(of(w, 0).alias("a"), of(F.right(w, F.lit(3)), 1).alias("b"), of(F.left(w, F.lit(2)), 2).alias("c")))
+def word_buckets(text: Column, buckets: int, table: DataFrame, *others: Column) -> DataFrame:
+    """The other columns and (a, b, c) for each word of each text: the buckets of the word, its last three and its first two letters.
+
+    Words are what stands between blanks, in lower case; a null text has one empty word.
+    """
+    words = table.select(*others, F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), " ")).alias("_word"))
+    w = F.col("_word")
+    of = lambda x, part: F.pmod(F.xxhash64(x, F.lit(part)), F.lit(buckets)).cast("int")
+    keep = [F.col(f"`{c}`") for c in words.columns if c != "_word"]
+    return words.select(*keep, of(w, 0).alias("a"), of(F.right(w, F.lit(3)), 1).alias("b"), of(F.left(w, F.lit(2)), 2).alias("c"))
 
 
 def _vector(values) -> Column:
@@ -78,23 +83,30 @@ class Classifier:
     temperature: float = 1.0
     buckets: int = BUCKETS
 
-    def sums(self, text: Column) -> Column:
-        """Struct of the log-likelihoods of a text, one for each domain that has weights; the table of weights is one literal."""
+    def sums(self, table: DataFrame, text: Column, *keys: Column) -> DataFrame:
+        """The keys and the log-likelihoods of each text, a column for each domain that has weights: words are summed where they are read.
+
+        The weights are one literal, which plans hold as an array.
+        """
         known = [d for d in self.domains if d in self.weights]
         flat = np.stack([self.weights[d] for d in known], axis=1).round(6).reshape(-1).tolist()
-        table = F.from_json(F.lit(json.dumps(flat)), F.lit("array<double>"))
-        add = lambda acc, w: F.struct(*[(acc[d] + sum(F.get(table, w[c] * len(known) + k) for c in "abc")).alias(d) for k, d in enumerate(known)])
-        return F.aggregate(word_buckets(text, self.buckets), F.struct(*[F.lit(0.0).alias(d) for d in known]), add)
-
-    def posteriors(self, docs: DataFrame, text: Column, *others: Column) -> DataFrame:
-        """The other columns and p, the posterior of each domain."""
+        weights = F.from_json(F.lit(json.dumps(flat)), F.lit("array<double>"))
+        words = word_buckets(text, self.buckets, table, *keys)
+        names = [c for c in words.columns if c not in ("a", "b", "c")]
+        total = lambda k: F.sum(sum((F.get(weights, F.col(c) * len(known) + k) for c in "bc"), F.get(weights, F.col("a") * len(known) + k)))
+        return words.groupBy(*names).agg(*[total(k).alias(f"s{self.domains.index(d)}") for k, d in enumerate(known)])
+
+    def posteriors(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, key_a, key_b, n_tokens, p) of each row of docs; the keys are hashes of id and text, p has the posterior of each domain."""
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key_a"), F.xxhash64("text", "doc_id").alias("key_b"), n_tokens().alias("n_tokens"), _text().alias("t"))
         if not self.weights:
-            return docs.select(*others, _vector([1 / len(self.domains)] * len(self.domains)).alias("p"))
-        logs = [F.lit(float(x)) + F.lit(self.temperature) * F.col("s")[d] if d in self.weights else F.lit(-1e9) for d, x in zip(self.domains, self.priors, strict=True)]
-        names = [c for c in docs.select(*others).columns]
-        scored = docs.select(*others, self.sums(text).alias("s")).select(*names, F.array(*logs).alias("z"))
-        scored = scored.select(*names, F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
-        return scored.select(*names, F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
+            return rows.drop("t").withColumn("p", _vector([1 / len(self.domains)] * len(self.domains)))
+        keys = ["doc_id", "key_a", "key_b", "n_tokens"]
+        scored = self.sums(rows.withColumn("row", F.monotonically_increasing_id()), F.col("t"), "row", *keys)  # repeated rows are rows of their own
+        logs = [F.when(F.col("n_tokens") > 0, F.lit(float(x)) + F.lit(self.temperature) * F.col(f"s{k}")).otherwise(F.lit(float(x))) if d in self.weights else F.lit(-1e9) for k, (d, x) in enumerate(zip(self.domains, self.priors, strict=True))]
+        scored = scored.select(*keys, F.array(*logs).alias("z"))
+        scored = scored.select(*keys, F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
+        return scored.select(*keys, F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
 
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], domain_col: str, max_rows: int = 6000, buckets: int = BUCKETS, smooth: float = 0.5) -> Classifier:
@@ -106,10 +118,10 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], domain_col:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain_col).alias("domain"), _text().alias("t")).where(F.col("domain").isin(domains))
     rows = rows.join(F.broadcast(ids), "doc_id")  # max_rows ids at most
     grown = F.pmod(F.xxhash64("doc_id", F.lit("grown")), F.lit(3)) < 2
-    words = rows.select("domain", grown.alias("grown"), F.explode_outer(word_buckets(F.col("t"), buckets)).alias("w"))
-    words = words.select("domain", "grown", F.explode(F.array("w.a", "w.b", "w.c")).alias("b"))
+    words = word_buckets(F.col("t"), buckets, rows.where(grown), "domain")
+    words = words.select("domain", F.explode(F.array("a", "b", "c")).alias("b"))
     counts = np.zeros((len(domains), buckets))
-    for r in words.where("grown and b is not null").groupBy("domain", "b").count().collect():  # domains times buckets at most
+    for r in words.groupBy("domain", "b").count().collect():  # domains times buckets at most
         counts[domains.index(r["domain"]), r["b"]] = r["count"]
     n = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
     total = sum(n.values())
@@ -120,9 +132,10 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], domain_col:
             found.weights[d] = np.log((counts[k] + smooth) / (counts[k].sum() + smooth * buckets))
     if not found.weights:
         return found
-    held = rows.where(~grown).where(F.col("domain").isin(list(found.weights))).orderBy("doc_id").select("domain", found.sums(F.col("t")).alias("s")).collect()  # max_rows rows at most, a number a domain
+    names = {d: f"s{domains.index(d)}" for d in found.weights}
+    held = found.sums(rows.where(~grown).where(F.col("domain").isin(list(names))), F.col("t"), "doc_id", "domain").orderBy("doc_id").collect()  # max_rows rows at most, a number a domain
     if held:
-        sums = np.array([[r["s"][d] if d in found.weights else -1e9 for d in domains] for r in held])
+        sums = np.array([[r[names[d]] if d in names else -1e9 for d in domains] for r in held])
         truth = np.array([domains.index(r["domain"]) for r in held])
         losses = []
         for t in TEMPERATURES:
@@ -216,7 +229,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain_
     shelf = Shelf(docs.sparkSession)
     domains = sorted(targets)
     model = learn(docs, labelled, domains, domain_col)
-    table = shelf.put(model.posteriors(docs, _text(), F.col("doc_id").cast("long").alias("doc_id"), n_tokens().alias("n_tokens")), "posteriors")
+    table = shelf.put(model.posteriors(docs), "posteriors")
     found = fit_rates(table, targets, shelf, **options)
     return table.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], found.rate().alias("rate"))
 
@@ -232,16 +245,17 @@ def apply_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     shelf = Shelf(docs.sparkSession)
     domains = sorted(targets)
     model = learn(docs, labelled, domains, domain_col)
-    table = shelf.put(model.posteriors(docs, _text(), n_tokens().alias("n_tokens")), "posteriors")
+    table = shelf.put(model.posteriors(docs), "posteriors")
     found = fit_rates(table, targets, shelf, **options)
     scale = 1.0
     if budget is not None and found.shares is not None:
         total = table.agg(F.sum("n_tokens")).first()[0] or 0.0
         scale = budget / (total * found.shares.sum()) if total and found.shares.sum() else 1.0
-    # the rows themselves are not moved: their posteriors are taken again in passing
     wanted = found.rate() * F.lit(float(scale))
-    draw = F.pmod(F.col("drawn"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    copies = F.when(F.col("n_tokens") > 0, (F.floor(F.col("wanted")) + (draw < F.col("wanted") - F.floor(F.col("wanted"))).cast("int")).cast("int")).otherwise(F.lit(1))
-    rows = model.posteriors(docs, _text(), F.struct(*docs.columns).alias("_row"), n_tokens().alias("n_tokens"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("drawn"))
-    rows = rows.select("_row", "n_tokens", "drawn", wanted.alias("wanted")).select("_row", copies.alias("copies"))
+    draw = F.pmod(F.xxhash64("key_a", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    copies = F.when(F.col("n_tokens") > 0, F.floor("wanted") + (draw < F.col("wanted") - F.floor("wanted")).cast("int")).otherwise(F.lit(1)).cast("int")
+    counted = table.select("key_a", "key_b", "n_tokens", wanted.alias("wanted")).select("key_a", "key_b", copies.alias("copies"))
+    counted = shelf.put(counted.groupBy("key_a", "key_b").agg(F.max("copies").alias("copies")), "copies")  # rows of one id and text fare alike
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("doc_id", "text").alias("key_a"), F.xxhash64("text", "doc_id").alias("key_b"))
+    rows = rows.join(counted.where("copies > 0").hint("merge"), ["key_a", "key_b"])
     return rows.select("_row", F.explode(F.array_repeat(F.lit(True), F.col("copies"))).alias("_copy")).select("_row.*")
