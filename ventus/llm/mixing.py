@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from ventus.llm.shelf import Shelf
 
 #: Buckets that words are hashed to.
-BUCKETS = 4096
+BUCKETS = 2048
 #: Steps after which the documents' state is written.
 STORED_STEPS = 8
 TEMPERATURES = tuple(2.0**-k for k in range(10))
@@ -89,12 +89,13 @@ class Classifier:
         The weights are one literal, which plans hold as an array.
         """
         known = [d for d in self.domains if d in self.weights]
-        flat = np.stack([self.weights[d] for d in known], axis=1).round(6).reshape(-1).tolist()
-        weights = F.from_json(F.lit(json.dumps(flat)), F.lit("array<double>"))
+        rows = np.stack([self.weights[d] for d in known], axis=1).round(5).tolist()
+        weights = F.from_json(F.lit(json.dumps(rows, separators=(",", ":"))), F.lit("array<array<double>>"))
         words = word_buckets(text, self.buckets, table, *keys)
         names = [c for c in words.columns if c not in ("a", "b", "c")]
-        total = lambda k: F.sum(sum((F.get(weights, F.col(c) * len(known) + k) for c in "bc"), F.get(weights, F.col("a") * len(known) + k)))
-        return words.groupBy(*names).agg(*[total(k).alias(f"s{self.domains.index(d)}") for k, d in enumerate(known)])
+        found = words.select(*names, *[F.get(weights, F.col(c)).alias(c) for c in "abc"])
+        total = lambda k: F.sum(F.get("a", F.lit(k)) + F.get("b", F.lit(k)) + F.get("c", F.lit(k)))
+        return found.groupBy(*names).agg(*[total(k).alias(f"s{self.domains.index(d)}") for k, d in enumerate(known)])
 
     def posteriors(self, docs: DataFrame) -> DataFrame:
         """(doc_id, key_a, key_b, n_tokens, p) of each row of docs; the keys are hashes of id and text, p has the posterior of each domain."""
