@@ -312,6 +312,45 @@ def test_toxicity_learns_and_keeps(spark, odd):
     assert {round(r.score, 6) for r in toxicity.score(docs, flat).collect()} == {0.5}
 
 
+def test_scores_are_those_of_brute_force(docs, odd):
+    """Distinct n-grams of every whole text, hashed and weighted one by one."""
+    mask, bits = (1 << 64) - 1, 12
+    weights = np.random.default_rng(6).normal(0, 0.2, 1 << bits).astype(np.float32)
+    model = toxicity.Model(-1.5, weights, bits=bits)
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * text._BASES[0] + int(toxicity._codes[c])) & mask
+        h = (h + len(gram)) & mask
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = ((h ^ h >> shift) * times) & mask
+        return (h ^ h >> 31) >> (64 - bits)
+
+    for table in (docs.orderBy("doc_id").limit(40), odd.where("doc_id not in (7, 8)")):
+        got = {r.doc_id: r.score for r in toxicity.score(table, model).collect()}
+        for i, t in pairs(table):
+            raw = (t or "").encode()
+            grams = {raw[k : k + n] for n in toxicity.SIZES for k in range(len(raw) - n + 1)}
+            z = -1.5 + float(sum(weights[b] for b in {bucket(g) for g in grams}))
+            assert abs(got[i] - 1 / (1 + np.exp(-np.clip(z, -50, 50)))) < 1e-4
+
+
+def test_toxicity_learns_from_long_texts_and_either_layout(spark):
+    rng = np.random.default_rng(2)
+    words = ["river", "stone", "green", "walks", "under", "light", "paper"]
+    rows = [(k, " ".join(rng.choice(words, 9000 if k % 50 < 2 else 40)) + (" vile grobbling" if k % 2 else ""), k % 2) for k in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(7, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(3, 0), (900, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    one, two = toxicity.learn(docs, labels), toxicity.learn(docs.repartition(7), labels.repartition(3))
+    assert np.allclose(one.weights, two.weights, atol=1e-5) and abs(one.bias - two.bias) < 1e-4
+    got = {r.doc_id: r.score for r in toxicity.score(docs.where("text is not null and doc_id is not null"), one).collect()}
+    assert np.mean([(got[i] >= toxicity.THRESHOLD) == bool(y) for i, _, y in rows]) > 0.98
+    pos, all_ = np.array([5.0, 1.0, 300.0]), np.array([10.0, 2.0, 320.0])
+    ratio = toxicity.log_count_ratios(pos, all_, 400, 800)
+    assert ratio[0] == ratio[1] == 0 and abs(ratio[2] - np.log((301 / 402) / (21 / 402))) < 1e-9
+
+
 def test_crc_of_ids_is_that_of_their_text(spark):
     got = spark.range(20).select(F.crc32(F.col("id").cast("string").cast("binary"))).collect()
     assert [r[0] for r in got] == [zlib.crc32(str(k).encode()) for k in range(20)]
