@@ -136,6 +136,15 @@ def test_near_duplicates_link_chains(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, x in got.items() if x[2]}
 
 
+def test_cells_link_without_all_pairs():
+    """300 sets, alike all and in no component yet: fewer links than sets, and one component."""
+    sets = [np.sort(np.append(np.arange(100), 1000 + k)).astype(np.uint64) for k in range(300)]
+    half = lambda loose: pa.record_batch([pa.array([0] * 300), pa.array([0] * 300, pa.int32()), pa.array([0] * 300, pa.int32()), pa.array(range(300)), pa.array(range(300)), pa.array([loose] * 300), pa.array([x.tobytes() for x in sets])], names=["head", "i", "j", "doc", "own", "loose", "members"])
+    out = [b for b in neardup._cells(80)(iter([half(True), half(False)])) if b.num_rows]
+    links = [(a, b) for x in out for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
+    assert sorted(links) == [(k, 0) for k in range(1, 300)]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 9), (9, 8), (8, 10), (20, 20), (None, 1), *[(50, 100 + k) for k in range(200)], *[(300 + k, 301 + k) for k in range(40)]]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), Shelf(spark)).collect()}
@@ -534,6 +543,31 @@ def test_main_text_of_a_host_of_mixed_pages(spark):
         assert got == {**{k: f"Own text {k}" for k in range(60)}, 90: "Shared menu line\nAlone"}
 
 
+def test_main_text_keeps_what_the_article_says(spark):
+    pages = {
+        "<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here.</p></article>": "Energy is E=m here.",
+        "<article><p class='alert'>Mind the gap.</p><p class=\"share\">We share.</p><li class='related'>x</li></article>": "Mind the gap.\nWe share.\nx",
+        "<article><p>a</p><div class='related'>no</div><div class='alert'>no</div><p class='ad'>no</p><p class='notice'>no</p></article>": "a",
+        "<article><noscript>plain words</noscript><object>as text</object><select><option>no</select></article>": "plain words\nas text",
+    }
+    rows = [(k, f"http://h{k}.org/", x) for k, x in enumerate(pages)]
+    rows += [(50, "http://r.org/a", "<article>one</article>"), (50, "http://r.org/a", "<article>two</article>")]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [*enumerate(pages.values()), (50, "one"), (50, "two")]
+
+
+def test_common_lines_of_long_pages():
+    rng = np.random.default_rng(8)
+    a, b = ([f"l{k}" for k in rng.integers(0, 40, 900)] for _ in range(2))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    picked, rest = [x for x, f in zip(a, html.common_lines(a, b), strict=True) if f], iter(b)
+    assert len(picked) == best[-1][-1] and all(x in rest for x in picked)
+    assert html.common_lines(["x"] * 30000, ["x"] * 30000) == [True] * 30000
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(200):

@@ -4,10 +4,13 @@ The texts are dealt into blocks by a hash.  Each block splits its texts into
 words and asks for each distinct word once; the requests travel as compressed
 lists, one for each (block, part) instead of one row a word.  A part owns all
 words of one hash range over the whole corpus: it encodes each distinct word
-once, joins the ids with the id-to-piece table for the bytes that decoding
-gives, and answers every request in the order of its list.  A block then joins
-the answers back to its words by position.  Both uses of the blocks read the
-same exchange, so texts are moved once, many of a block compressed together.
+once, looks its ids up in the id-to-piece table for the bytes that decoding
+gives, and answers every request in the order of its list.  A block then puts
+the answers back by the positions of its words.  Both uses of the blocks read
+the same exchange, so texts are moved once, many of a block compressed
+together.  The joins by position and by id are thus done on lists of a block
+or part that Spark's exchanges have brought together, not as joins of a row a
+word: those would have moved a hundred bytes for six of text.
 
 Words are cut before a space that stands between two characters which are not
 white space; the byte-level pattern always ends a word there, and special
@@ -21,6 +24,7 @@ result.  Other columns are not read and cannot clash.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -38,6 +42,8 @@ from ventus.llm.tokens import encode_all, tokenizer, vocabulary_path
 
 #: Bytes of text in a block, about; its words and texts are in memory together.
 BLOCK_BYTES = 12 << 20
+#: There is a part of the vocabulary for each time that the bytes of text hold so many, by the square root.
+PART_BYTES = 1 << 16
 
 _safe_cut = re.compile(r"(?<=\S)(?= \S)")
 _two_spaces = re.compile(r"\s\s")
@@ -214,9 +220,11 @@ def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", emit=None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
+    # parts own words, whose number grows slower than the texts: with the root of the bytes, so that requests don't grow with their square
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.isqrt(size // PART_BYTES))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     blocks = rows.mapInArrow(_gather, "block int, ids array<long>, texts binary").repartition(n, "block")
     # all columns go into both uses: else pruning makes two exchanges of the one
-    requests = blocks.groupBy("block").applyInArrow(_request(n), "block int, part int, words binary")
-    answers = requests.repartition(n, "part").sortWithinPartitions("part").select("block", "part", "words").mapInArrow(_answer(vocabulary, is_path), "block int, part int, ids binary, spelled binary")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_assemble(n, emit), emit.schema)
+    requests = blocks.groupBy("block").applyInArrow(_request(parts), "block int, part int, words binary")
+    answers = requests.repartition(parts, "part").sortWithinPartitions("part").select("block", "part", "words").mapInArrow(_answer(vocabulary, is_path), "block int, part int, ids binary, spelled binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_assemble(parts, emit), emit.schema)

@@ -235,10 +235,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain_
     return table.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], found.rate().alias("rate"))
 
 
-def apply_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain_col: str = "lang", budget: float | None = None, seed: int = 0, **options) -> DataFrame:
+def apply_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain_col: str = "lang", budget: float | None = None, lossless: bool = False, seed: int = 0, **options) -> DataFrame:
     """The rows of docs, each as often as its rate says, so that tokens come to the target shares.
 
-    budget: tokens wanted in all, those of docs if not told.  A rate of 1.3
+    budget: tokens wanted in all, those of docs if not told; lossless: as many
+    as it takes for no document to be left out, which with targets far from the
+    shares that there are is many times those of docs.  A rate of 1.3
     stands for one row, and for a second with a chance of 0.3 that a hash of
     id and text draws; one of 0.3 for one row with that chance, else for none.
     Rows without tokens are kept once.
@@ -252,7 +254,10 @@ def apply_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     if budget is not None and found.shares is not None:
         total = table.agg(F.sum("n_tokens")).first()[0] or 0.0
         scale = budget / (total * found.shares.sum()) if total and found.shares.sum() else 1.0
-    wanted = found.rate() * F.lit(float(scale))
+    if lossless:
+        least = table.where("n_tokens > 0").agg(F.min(found.rate())).first()[0]
+        scale = 1 / least if least else 1.0
+    wanted = F.greatest(found.rate() * F.lit(float(scale)), F.lit(1.0 if lossless else 0.0))
     draw = F.pmod(F.xxhash64("key_a", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     copies = F.when(F.col("n_tokens") > 0, F.floor("wanted") + (draw < F.col("wanted") - F.floor("wanted")).cast("int")).otherwise(F.lit(1)).cast("int")
     counted = table.select("key_a", "key_b", "n_tokens", wanted.alias("wanted")).select("key_a", "key_b", copies.alias("copies"))

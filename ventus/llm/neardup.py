@@ -1,4 +1,4 @@
-"""Near-duplicate documents: a multi-index Hamming join over b-bit MinHash signatures.
+"""Near-duplicate documents: a multi-index Hamming join over MinHash signatures of 32-bit symbols.
 
 A signature has ``CHUNKS * WIDTH`` symbols of 32 bits, each the minimum of one
 hash function over the word shingles; the distance of two signatures is the
@@ -15,10 +15,11 @@ of the index all members are first compared with its least member, its head,
 which is a pre-aggregated minimum and a join, not all pairs; connected
 components are formed.  A member outside the component of its head is loose,
 and only loose members are compared with the other members of the buckets of
-that head, inside cells of at most two blocks of ``BLOCK`` sets: a cell counts
-common shingles by matrix products and gives back links only.  So no link is
-lost, linked groups never expand into pairs, and a large group is spread over
-cells.
+that head, inside cells of two blocks of about ``BLOCK`` sets or
+``BLOCK_BYTES``: a cell counts common shingles by matrix products and gives
+back a link for each component that it links with a lesser one, so fewer than
+it has sets.  So no link is lost, groups never expand into pairs, and a large
+group is spread over cells.
 
 Defined results: a document without words (null or empty text) has 0 shingles
 and stands alone; a document of fewer words than a shingle has its whole
@@ -42,8 +43,8 @@ from ventus.llm.components import components
 from ventus.llm.shelf import Shelf
 
 CHUNKS, WIDTH, ERRORS = 10, 6, 1
-#: Sets on each side of a cell.
-BLOCK = 512
+#: Sets on each side of a cell, and bytes of them, about.
+BLOCK, BLOCK_BYTES = 256, 16 << 20
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(2014)
@@ -193,7 +194,7 @@ def _common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096
 
 
 def _cells(percent: int):
-    """Rows come sorted by cell; gives one link for each loose set and component that it is linked to."""
+    """Rows come sorted by cell; gives one link for each component that a cell links with a lesser one."""
 
     def cell(table: pa.Table) -> pa.RecordBatch:
         doc, own, loose = (np.asarray(table.column(c)) for c in ("doc", "own", "loose"))
@@ -206,8 +207,18 @@ def _cells(percent: int):
             near = 100 * common.astype(np.float64) >= percent * (sizes[left][:, None] + sizes[right][None, :] - common)
             near &= own[left][:, None] != own[right][None, :]
             i, j = np.nonzero(near)
-            _, once = np.unique(np.stack((i, own[right[j]])), axis=1, return_index=True)
-            a, b = doc[left[i[once]]], doc[right[j[once]]]
+            nodes, place = np.unique(np.concatenate((own[left[i]], own[right[j]])), return_inverse=True)
+            x, y = place[: len(i)], place[len(i) :]
+            root = np.arange(len(nodes))
+            while True:  # the least component that each is linked with in the cell
+                new = root.copy()
+                np.minimum.at(new, x, root[y])
+                np.minimum.at(new, y, root[x])
+                if (new == root).all():
+                    break
+                root = new
+            some = root != np.arange(len(nodes))
+            a, b = nodes[some], nodes[root[some]]
         return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,10 +267,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     of = lambda c, to: part.select(F.col("node").alias(c), F.col("component").alias(to))
     placed = pairs.join(of("b", "own"), "b", "left").join(of("a", "of_head"), "a", "left")
     placed = placed.select(F.col("a").alias("head"), F.col("b").alias("doc"), F.coalesce("own", "b").alias("own"), (F.coalesce("own", "b") != F.coalesce("of_head", "a")).alias("loose"))
-    placed = shelf.put(placed, "placed")
-    sizes = placed.groupBy("head").agg(F.count("*").alias("n"), F.count_if("loose").alias("n_loose")).where("n > 1 and n_loose > 0")
-    sizes = shelf.put(sizes.select("head", F.ceil(F.col("n_loose") / block).cast("int").alias("of_i"), F.ceil(F.col("n") / block).cast("int").alias("of_j")), "sizes")
-    open_ = placed.join(sizes, "head").join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+    placed = shelf.put(placed.join(sets.select(F.col("doc_id").alias("doc"), F.octet_length("members").alias("bytes")), "doc"), "placed")
+    much = lambda n, bytes_: F.greatest(F.ceil(n / block), F.ceil(bytes_ / BLOCK_BYTES), F.lit(1)).cast("int")
+    sizes = placed.groupBy("head").agg(F.count("*").alias("n"), F.count_if("loose").alias("n_loose"), F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("loose"), F.col("bytes"))).alias("bytes_loose")).where("n > 1 and n_loose > 0")
+    sizes = shelf.put(sizes.select("head", much(F.col("n_loose"), F.col("bytes_loose")).alias("of_i"), much(F.col("n"), F.col("bytes")).alias("of_j")), "sizes")
+    open_ = placed.drop("bytes").join(sizes, "head").join(sets.withColumnRenamed("doc_id", "doc"), "doc")
     spread = lambda of: F.pmod(F.xxhash64("doc", "head"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     one = open_.where("loose").withColumn("i", spread("of_i")).withColumn("j", every("of_j"))
@@ -279,5 +291,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs but those of documents that are near-duplicates of one of smaller id; columns as they are."""
     found = near_duplicates(docs, **options)
-    copies = Shelf(docs.sparkSession).put(found.where("not kept").select(F.col("doc_id").alias("__copy")).distinct(), "copies")
-    return docs.join(copies, F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")
+    name = "_copy"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    copies = Shelf(docs.sparkSession).put(found.where("not kept").select(F.col("doc_id").alias(name)).distinct(), "copies")
+    return docs.join(copies, F.col("doc_id").cast("long") == F.col(name), "left_anti")
