@@ -40,7 +40,7 @@ def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that the languages have their target shares; none is lost."""
-    return mixing.apply_rates(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS)
+    return mixing.apply_rates(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS, lossless=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
