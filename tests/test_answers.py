@@ -6,6 +6,7 @@ import pytest
 
 from tests.test_metrics import INDIA, facts
 from ventus.functions.metrics import NATIONAL, WHO, Benchmark
+from ventus.plans.dialogue import Turn
 from ventus.plans import question as q
 from ventus.plans.answer import Engine
 
@@ -79,3 +80,16 @@ def test_parsers():
 def test_suggestions(india):
     assert india.suggestion(india.read("Delhi PM2.5")) == "You could also ask how Delhi changed over the years."
     assert "improved most" in india.suggestion(india.read("Top countries"))
+
+
+def test_messages_are_sent_where_they_belong(spark):
+    e = Engine(facts(spark, INDIA))
+    assert [e.reply(x) for x in ("Hello!", "thanks", "reset chat", "Why is pollution bad?", "What is PM2.5?", "Tell me a long story about some other matter")] == [None] * 6
+    assert e.reply("Do you have access to GADM2?").startswith("GADM2 CSV is not currently uploaded and active. Available now: GADM")
+    assert e.reply("Do you have access to the CSV?").startswith("Yes. I currently have access to GADM")
+    assert e.reply("Total life years lost means life loss multiplied by population").endswith("Reference: User-provided calculation definition.")
+    assert "India" in e.reply("and India?")
+    assert e.reply("What is the PM2.5 in Atlantis?").startswith("I could not find that location")
+    first = e.reply("What is the PM2.5 level in India?")
+    assert e.reply("compared with 2010", [Turn("user", "What is the PM2.5 level in India?"), Turn("assistant", first)]) is not None
+    assert Engine(facts(spark, INDIA).limit(0)).answer("Most polluted country?").startswith("I don’t have that data")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Row
@@ -10,10 +11,17 @@ from pyspark.sql import functions as F
 from ventus.functions.metrics import NATIONAL, WHO, Benchmark, condition, format_integer, format_number, format_signed, life_loss, metric_value
 from ventus.functions.places import LEVELS, is_territory, normalize_place
 from ventus.operators import summary as sm
+from ventus.plans import dialogue
 from ventus.plans import question as q
 
+# Replies as they are worded.
 NO_DATA = "I don’t have that data in the current CSV."
 NO_YEAR = "I don’t have data for that year in the current CSV."
+NO_PLACE = "I could not find that location in the current dataset. Please check the spelling or provide the state/country name."
+WHICH_PLACE = "Which place should I check? Please provide a country or state/province."
+WHICH_LEVEL = "Do you want this at country or state/province level?"
+NO_DISTRICTS = "District-level data is not currently available. I can answer this at country or state/province level. Would you like the state/province-level result instead?"
+TOTAL_MEANING = "Understood. Total life-years lost means life loss per person multiplied by the location’s population. I’ll use that calculation for total-life-loss questions.\n\nReference: User-provided calculation definition."
 PLURALS = {"region": "regions", "country": "countries", "state": "states", "district": "districts"}
 DATASET = {"region": "gadm0", "country": "gadm0", "state": "gadm1", "district": "gadm2"}
 METRIC_NAMES = {"pm25": "PM2.5", "national_standard": "national PM2.5 standard", "who_standard": "WHO PM2.5 guideline", "llpp_who": "WHO-based life loss", "llpp_national": "national-standard life loss", "population": "population"}
@@ -90,16 +98,41 @@ class Engine:
         level = q.level(current) or q.level(resolved) or (places[0].level if places else None)
         return Asked(current, resolved, q.benchmark(current if q.names_benchmark(current) else resolved), places, intent, level)
 
+    def reply(self, current: str, history: list[dialogue.Turn] = ()) -> str | None:
+        """The answer to a message in its conversation; None if it is not one that facts answer (small talk, definitions, documents)."""
+        if dialogue.small_talk(current) or dialogue.begins_anew(current):
+            return None
+        resolved = dialogue.resolve(current, list(history))
+        ours = dialogue.asks_access(current) or dialogue.defines_total(current) or dialogue.is_data_question(resolved)
+        if not ours and not (dialogue.may_name_place(current) and q.match_places(self.labels, resolved)):
+            return None
+        return self.answer(current, resolved)
+
+    def access(self, text: str) -> str:
+        """Which datasets are there, and of those asked for which are not."""
+        active = ", ".join(f"{level.upper()} CSV" for level in sorted(x for x in self.datasets if x))
+        asked = {f"gadm{d}" for d in re.findall(r"\bgadm\s*([012])\b", text, re.I)}
+        missing = [f"{level.upper()} CSV" for level in sorted(asked - self.datasets)]
+        if missing:
+            said = f"{' and '.join(missing)} {'is' if len(missing) == 1 else 'are'} not currently uploaded and active. Available now: {active or 'none'}."
+        else:
+            said = f"Yes. I currently have access to {active or 'no active GADM CSV files'}."
+        return f"{said}\n\nReference checked: active GADM CSV sources."
+
     def answer(self, current: str, resolved: str | None = None) -> str:
+        if not self.datasets:
+            return f"{NO_DATA}\n\nReference checked: CSV."
+        if dialogue.asks_access(current):
+            return self.access(current)
+        if dialogue.defines_total(current):
+            return TOTAL_MEANING
         asked = self.read(current, resolved)
         if asked.intent in ("ranking", "threshold") and not asked.level:
-            return self.told(asked, "Do you want this at country or state/province level?")
+            return self.told(asked, WHICH_LEVEL)
         if asked.level == "region":
             asked = replace(asked, level="country")
         if asked.level and DATASET[asked.level] not in self.datasets and asked.intent != "comparison":
-            if asked.level == "district":
-                return self.told(asked, "District-level data is not currently available. I can answer this at country or state/province level. Would you like the state/province-level result instead?")
-            return self.told(asked, NO_DATA)
+            return self.told(asked, NO_DISTRICTS if asked.level == "district" else NO_DATA)
         verb = {"threshold": self.threshold, "ranking": self.ranking, "comparison": self.comparison, "trend": self.trend, "peak_change": self.peak_change, "peak_value": self.peak_value, "direct": self.direct}[asked.intent]
         return self.told(asked, verb(asked))
 
@@ -373,7 +406,7 @@ class Engine:
     def direct(self, asked: Asked) -> str:
         place = asked.best()
         if not place:
-            return "I could not find that location in the current dataset. Please check the spelling or provide the state/country name."
+            return NO_PLACE if q.names_unknown_place(asked.resolved) else WHICH_PLACE
         cube = self.within(self.cube(asked), place)
         if place.level in ("state", "district"):
             parent = "country" if place.level == "state" else "state"
