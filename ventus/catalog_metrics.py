@@ -313,7 +313,7 @@ def numeric_parse(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", parse_numeric(text).alias("n"))
 
 
-_sources = "SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 5 < 3 THEN 'gadm' || CAST(o_orderkey % 5 AS VARCHAR) END AS level, CASE WHEN o_orderstatus = 'O' THEN 'active' ELSE 'inactive' END AS status, o_orderdate AS since, o_orderkey AS seq FROM orders WHERE o_orderkey % 50 < 10"
+_sources = "SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 5 < 3 THEN 'gadm' || CAST(o_orderkey % 5 AS VARCHAR) END AS level, CASE WHEN o_orderstatus = 'O' THEN 'active' ELSE 'inactive' END AS status, o_orderdate AS since, o_orderkey AS seq FROM orders"
 
 
 def _source_table(spark, sf_dir):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ventus.functions import search_text as st
@@ -72,10 +70,13 @@ def term_frequency(spark, sf_dir):
     return _plain_tokens(spark, sf_dir).groupBy("item_id", "token").agg(F.count("*").alias("tf"))
 
 
-@query("token_overlap", f"SELECT item_id, round(len(list_intersect(a, b)) / len(a), 6) AS overlap FROM (SELECT item_id, list_distinct(string_split({_sql_normalized('text')}, ' ')) AS a, string_split({_sql_normalized('left(text, 60)')}, ' ') AS b FROM benchmark)")
+@query("token_overlap", f"SELECT item_id, round(len(list_intersect(a, b)) / len(a), 6) AS overlap FROM (SELECT x.item_id, list_distinct(string_split({_sql_normalized('x.text')}, ' ')) AS a, string_split({_sql_normalized('y.text')}, ' ') AS b FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id - 1)")
 def token_overlap(spark, sf_dir):
+    """Of each item with the item before it."""
     tokens = lambda c: F.split(st.normalize_search_text(c), " ")
-    return read(spark, sf_dir, "benchmark").select("item_id", F.round(st.token_overlap(tokens(F.col("text")), tokens(F.left("text", F.lit(60)))), 6).alias("overlap"))
+    items = read(spark, sf_dir, "benchmark").select("item_id", "text")
+    before = items.select((F.col("item_id") + 1).alias("item_id"), F.col("text").alias("before"))
+    return items.join(before, "item_id").select("item_id", F.round(st.token_overlap(tokens(F.col("text")), tokens(F.col("before"))), 6).alias("overlap"))
 
 
 @query("chunk_exact_dedup", r"SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))))")
@@ -97,9 +98,9 @@ def chunk_text(spark, sf_dir):
     return knowledge.chunked(read(spark, sf_dir, "documents"))
 
 
-@query("chunk_counts", None)
+@query("chunk_counts", "SELECT source AS source_id, count(*) AS chunk_count FROM documents GROUP BY source")
 def chunk_counts(spark, sf_dir):
-    return knowledge.chunk_counts(knowledge.chunked(read(spark, sf_dir, "documents")))
+    return knowledge.chunk_counts(read(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.col("text").alias("content")))
 
 
 @query("search_tokens", None)
@@ -117,7 +118,10 @@ def rank_chunks(spark, sf_dir):
     return search.rank_chunks(_chunks(spark, sf_dir), "therean onwhst thinghe")
 
 
-@query("sentence_windows", None)
+_sentences = r"SELECT item_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM benchmark"
+
+
+@query("sentence_windows", f"SELECT item_id, CAST(p AS INTEGER) AS position, s[p + 1] AS \"window\", 1 AS n_sentences FROM (SELECT item_id, s, unnest(range(0, len(s))) AS p FROM ({_sentences})) UNION ALL SELECT item_id, CAST(p AS INTEGER), s[p + 1] || ' ' || s[p + 2], 2 FROM (SELECT item_id, s, unnest(range(0, len(s) - 1)) AS p FROM ({_sentences}) WHERE len(s) > 1)")
 def sentence_windows(spark, sf_dir):
     return search.sentence_windows(read(spark, sf_dir, "benchmark"), "item_id", "text")
 
@@ -182,7 +186,7 @@ def conversation_rollup(spark, sf_dir):
     return cv.rollup(read(spark, sf_dir, "conversations"))
 
 
-@query("consecutive_dedup", "SELECT conv_id, turn FROM (SELECT *, lag(role) OVER w AS r, lag(text) OVER w AS t FROM (SELECT conv_id, turn, role, left(text, 1) AS text FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE r IS NULL OR r IS DISTINCT FROM role OR t IS DISTINCT FROM text")
+@query("consecutive_dedup", "SELECT conv_id, turn FROM (SELECT *, lag(role) OVER w AS r, lag(text) OVER w AS t FROM (SELECT conv_id, turn, role, text FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE r IS NULL OR r IS DISTINCT FROM role OR t IS DISTINCT FROM text")
 def consecutive_dedup(spark, sf_dir):
     return cv.without_repeats(read(spark, sf_dir, "conversations")).select("conv_id", "turn")
 
@@ -216,10 +220,10 @@ def _event_stream(spark, sf_dir):
 def stream_event_dedup(spark, sf_dir):
     events = _event_stream(spark, sf_dir).select("event_id", "user_id", "ts")
     twice = events.withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_n")
-    return stream.run_once(stream.each_once(twice, "event_id"), f"dedup_{uuid.uuid4().hex}").select("event_id", "user_id")
+    return stream.run_once(stream.each_once(twice, "event_id"), "events").select("event_id", "user_id")
 
 
 @query("stream_conversation_state", "SELECT CAST(user_id AS VARCHAR) AS conversation, count(*) AS n_messages FROM events GROUP BY user_id")
 def stream_conversation_state(spark, sf_dir):
     rows = _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("conversation"), F.when(F.col("event_type") == "click", "assistant").otherwise("user").alias("role"), F.col("event_type").alias("content"), "ts")
-    return stream.run_once(stream.conversation_state(rows), f"state_{uuid.uuid4().hex}", "update").groupBy("conversation").agg(F.max("n_messages").alias("n_messages"))
+    return stream.run_once(stream.conversation_state(rows), "state", "update").groupBy("conversation").agg(F.max("n_messages").alias("n_messages"))

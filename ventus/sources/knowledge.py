@@ -62,9 +62,12 @@ def content_digest(c):
 
 
 def distinct_chunks(chunks: DataFrame, order: list[str], content_col: str = "content") -> DataFrame:
-    """The first chunk of each content, white space and case aside."""
-    first = chunks.withColumn("_digest", content_digest(F.col(content_col))).groupBy("_digest").agg(F.min(F.struct(*order)).alias("_first"))
-    return chunks.withColumn("_digest", content_digest(F.col(content_col))).join(first, "_digest").where(F.struct(*order) == F.col("_first")).drop("_digest", "_first")
+    """The first chunk of each content, white space and case aside; order names a chunk.
+
+    Digests and names are exchanged, pre-aggregated, and never the contents.
+    """
+    first = chunks.groupBy(content_digest(F.col(content_col)).alias("_digest")).agg(F.min(F.struct(*order)).alias("_first"))
+    return chunks.join(first.select("_first.*"), order, "left_semi")
 
 
 def active_chunks(chunks: DataFrame, sources: DataFrame, most: int = 5000) -> DataFrame:

@@ -40,6 +40,13 @@ def normalize_column(name: str) -> str:
     return re.sub(r"[^a-z0-9]", "", name)
 
 
+def normalized_column(c):
+    """normalize_column for headers that are data."""
+    for sign in ("µ", "μ"):
+        c = F.replace(c, F.lit(sign), F.lit("u"))
+    return F.regexp_replace(F.replace(F.lower(c), F.lit("2.5"), F.lit("25")), "[^a-z0-9]", "")
+
+
 def infer_level(columns: list[str], title: str = "", path: str = "") -> str | None:
     """gadm0, gadm1 or gadm2: by the name of a table, else by its deepest column."""
     for text in (title, path):

@@ -46,18 +46,32 @@ def manual_reply(messages: DataFrame, conv_id: str, text: str) -> DataFrame:
 
 
 def promote(chunks: DataFrame, source_id: str, path: str) -> bool:
-    """Writes a source's chunks all or not at all: to a staging folder, which takes the place of the source's own once it is complete."""
+    """Writes a source's chunks all or not at all.
+
+    They go to a staging folder; once complete, the source's own is set aside,
+    the new one takes its place, and only then the old one is removed.  If the
+    place can't be taken the old folder is put back.
+    """
     spark = chunks.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
-    staging, final = hadoop.Path(f"{path}/_staging/{source_id}"), hadoop.Path(f"{path}/source_id={source_id}")
+    staging, aside, final = (hadoop.Path(f"{path}/{x}") for x in (f"_staging/{source_id}", f"_aside/{source_id}", f"source_id={source_id}"))
     fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(aside) and not fs.exists(final):  # an earlier run was lost between its two renames
+        fs.rename(aside, final)
     try:
         chunks.drop("source_id").write.mode("overwrite").parquet(staging.toString())
-        if not spark.read.parquet(staging.toString()).limit(1).count():
+        if spark.read.parquet(staging.toString()).isEmpty():
             return False
-        fs.delete(final, True)
+        fs.delete(aside, True)
+        fs.mkdirs(aside.getParent())
         fs.mkdirs(final.getParent())
-        return bool(fs.rename(staging, final))
+        if fs.exists(final) and not fs.rename(final, aside):
+            return False
+        if not fs.rename(staging, final):
+            fs.rename(aside, final)
+            return False
+        fs.delete(aside, True)
+        return True
     finally:
         fs.delete(staging, True)
 

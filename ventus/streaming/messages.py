@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: How long a repeated delivery of a message is known for one.
@@ -54,17 +57,31 @@ def to_answer(states: DataFrame) -> DataFrame:
     return states.where("mode <> 'human' and unread > 0")
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """All that is there now, through the stream, into a table in memory (for tests and small results)."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """All that is there now, through the stream, into a table in a new shared folder, under a name; a batch that runs again replaces its rows."""
+    path = f"{folder(stream.sparkSession)}/{name}"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    rows = stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+    rows.createOrReplaceTempView(name)
+    return rows
+
+
+def folder(spark: SparkSession) -> str:
+    """A folder of its own in the one that the cluster shares; on one machine without such, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{base.rstrip('/')}/ventus-stream-{uuid.uuid4().hex}"
 
 
 def outbox(replies: DataFrame, path: str, checkpoint: str, most_chars: int = 4096):
