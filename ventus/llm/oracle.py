@@ -34,3 +34,10 @@ BYTE_STRINGS = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h
  runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM cut),
  n AS (SELECT doc_id, count(CASE WHEN gone THEN 1 END) AS n_removed, count(CASE WHEN opens THEN 1 END) AS n_spans, string_agg(CASE WHEN NOT gone THEN byte END, '' ORDER BY i) AS kept FROM runs GROUP BY doc_id)
 SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id)"""
+
+TEXT_STATS = rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+ grams AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (SELECT doc_id, pos, array_to_string(ws[pos:pos + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS pos FROM w))),
+ again AS (SELECT doc_id, count(DISTINCT pos + k) AS n FROM grams, (SELECT unnest(range(0, 8)) AS k) WHERE grams.n > 1 GROUP BY doc_id),
+ lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+ len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words FROM w JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id))"""

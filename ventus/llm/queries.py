@@ -21,6 +21,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1's rules look at, and its base check."""
+    return quality.text_stats(_table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, quality.base_failed().alias("base_failed"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
@@ -61,6 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "text_stats": text_stats,
     "op1_quality_rules": op1_quality_rules,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_suffix_arrays": op3_suffix_arrays,
@@ -74,6 +80,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "text_stats": oracle.TEXT_STATS,
     "op2_near_duplicates": oracle.NEAR_DUPLICATES,
     "op3_suffix_arrays": oracle.BYTE_STRINGS,
     "op7_word_spans": oracle.WORD_SPANS,
