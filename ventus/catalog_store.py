@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ventus import catalog_text as ct
 from ventus.functions import web
 from ventus.operators import conversation as cv
 from ventus.operators import reply
@@ -117,9 +118,43 @@ def private_addresses(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", web.private_address(address).alias("private"))
 
 
+@query("facts_of_sources", "SELECT CASE WHEN c_nationkey % 4 = 1 THEN 'gadm0' ELSE 'gadm1' END AS csv_level, 'C' || CAST(c_nationkey AS VARCHAR) AS country, CASE WHEN c_nationkey % 4 = 2 THEN c_mktsegment END AS state, CAST(2000 + c_custkey % 20 AS INTEGER) AS year, c_custkey / 2 AS pm25 FROM customer WHERE c_nationkey % 4 IN (1, 2)")
+def facts_of_sources(spark, sf_dir):
+    """Customers as records of four sources, each record twice: an old and a new one of countries, one of states, one that is off."""
+    titles = [("0", "old gadm0", "a.csv", "active", 1), ("1", "new GADM_0", "b.csv", "active", 9), ("2", "states", "gadm1.csv", "active", 3), ("3", "off", "c.csv", "inactive", 4)]
+    sources = spark.createDataFrame([(*x, k) for k, x in enumerate(titles)], "id string, title string, file_path string, status string, at long, seq long")
+    sources = sources.select("id", "title", "file_path", "status", F.timestamp_seconds("at").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"), "seq")
+    source = F.col("c_nationkey") % 4
+    fields = [F.lit("Country"), F.concat(F.lit("C"), F.col("c_nationkey").cast("string")), F.when(source == 0, "Year").otherwise("data year"), (2000 + F.col("c_custkey") % 20).cast("string"), F.when(source == 1, "PM2.5").otherwise("pm25"), (F.col("c_custkey") / 2).cast("string")]
+    record = F.when(source == 2, F.create_map(*fields, F.lit("State"), F.col("c_mktsegment"))).otherwise(F.create_map(*fields))
+    chunks = read(spark, sf_dir, "customer").select(source.cast("string").alias("source_id"), F.col("c_custkey").alias("chunk_index"), F.array(record, record).alias("records"))
+    return records.load_facts(sources, chunks).select("csv_level", "country", "state", "year", "pm25")
+
+
+@query("pages_once", f"SELECT page_id FROM pages WHERE page_id IN (SELECT min(page_id) FROM ({ct.ORACLE_SQL['url_canonical']}) GROUP BY url) AND page_id IN (SELECT min(page_id) FROM pages GROUP BY sha256(lower(trim(regexp_replace(html, '\\s+', ' ', 'g')))))")
+def pages_once(spark, sf_dir):
+    return knowledge.distinct_pages(read(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("text"))).select("page_id")
+
+
 # messages
 
 
+@query("stream_history", f"SELECT CAST(conv_id AS VARCHAR) AS conversation, count(*) AS n, arg_max(text, turn) AS last FROM ({ct.ORACLE_SQL['history_since_reset']}) GROUP BY conv_id")
+def stream_history(spark, sf_dir):
+    schema = read(spark, sf_dir, "conversations").schema
+    files = "conversations.parquet" if sf_dir.startswith("/") and not _is_folder(spark, f"{sf_dir}/conversations.parquet") else None
+    source = spark.readStream.schema(schema)
+    rows = source.option("pathGlobFilter", files).parquet(sf_dir) if files else source.parquet(f"{sf_dir}/conversations.parquet")
+    rows = rows.select(F.col("conv_id").cast("string").alias("conversation"), "role", F.col("text").alias("content"), F.timestamp_seconds("turn").alias("ts"))
+    last = stream.run_once(stream.history_state(rows), "history", "update").where(F.size("texts") > 0)
+    return last.select("conversation", F.size("texts").cast("long").alias("n"), F.element_at("texts", -1).alias("last"))
+
+
+def _is_folder(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
 @query("webhook_messages", "SELECT 'm' || CAST(event_id AS VARCHAR) AS msg_id, CAST(user_id AS VARCHAR) AS phone, CASE WHEN event_id % 2 = 0 THEN 'N' || CAST(user_id AS VARCHAR) END AS name, event_type AS content FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0")
 def webhook_messages(spark, sf_dir):
     k, user = F.col("event_id"), F.col("user_id").cast("string")

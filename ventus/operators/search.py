@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -111,8 +112,31 @@ def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
-def search(chunks: DataFrame, query: str, page: int = 100) -> list[dict]:
-    """At most six chunks for a query, none nearly the same as a better one; pages of candidates are read as needed."""
+@dataclass(frozen=True)
+class Shortcut:
+    """A kind of question that one known chunk answers: patterns of the question and of the chunk, and the chunk's type if it matters."""
+
+    asks: str
+    finds: str
+    source_type: str | None = None
+
+    def chunk(self, chunks: DataFrame, query: str) -> DataFrame | None:
+        """The first chunk found, by id; None if the question is of another kind."""
+        if re.search(self.asks, query, re.I) is None:
+            return None
+        of_type = F.lit(True) if self.source_type is None else F.col("source_type") == self.source_type
+        return chunks.where(of_type & F.col("content").rlike(f"(?is){self.finds}")).orderBy("id").limit(1)
+
+
+def search(chunks: DataFrame, query: str, page: int = 100, shortcuts: Sequence[Shortcut] = ()) -> list[dict]:
+    """At most six chunks for a query, none nearly the same as a better one; pages of candidates are read as needed.
+
+    The first shortcut whose question and chunk both match gives its chunk alone.
+    """
+    for shortcut in shortcuts:
+        found = shortcut.chunk(chunks, query)
+        if found is not None and (rows := found.select("id", "content", "title", "page_title").collect()):
+            return [rows[0].asDict()]
     n_asked = len(set(tokens_of(query)))
     ranked = rank_chunks(chunks, query)
     chosen: list[tuple[dict, set]] = []

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Row
@@ -62,6 +64,25 @@ class Asked:
         return next((p for p in self.places if level is None or p.level == level), None)
 
 
+class Engines:
+    """The engine of the facts that are active now: kept while their sources are the same and it isn't too old."""
+
+    def __init__(self, load: Callable[[], DataFrame], seconds: float = 300, clock: Callable[[], float] = time.monotonic):
+        self.load, self.seconds, self.clock = load, seconds, clock
+        self.signature: int | None = None
+        self.until, self.engine = 0.0, None
+
+    def of(self, sources: DataFrame) -> Engine:
+        """sources: id, status, updated_at; of the active ones one number comes back."""
+        active = sources.where("status = 'active'")
+        signature = active.agg(F.bit_xor(F.xxhash64("id", "updated_at")), F.count("*")).first()
+        if self.engine is None or signature != self.signature or self.clock() >= self.until:
+            if self.engine is not None:
+                self.engine.all.unpersist()
+            self.engine, self.signature, self.until = Engine(self.load()), signature, self.clock() + self.seconds
+        return self.engine
+
+
 class Engine:
     """Answers from a fact table; its cube is computed once and kept."""
 

@@ -55,3 +55,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, source_type, text) of the files that are taken; sizes are tested before contents are read."""
     files = spark.read.format("binaryFile").load(path).where(is_taken(F.col("path"), F.col("length")))
     return files.select("path", "content").mapInPandas(_read, "path string, text string").withColumn("source_type", source_type(F.col("path")))
+
+
+def pasted(spark: SparkSession, text: str, title: str) -> DataFrame:
+    """(path, source_type, text) of a text that is handed over instead of a file."""
+    if not text.strip():
+        raise ValueError("the text is empty")
+    if len(text) > MOST_PASTED:
+        raise ValueError(f"the text has more than {MOST_PASTED:,} characters")
+    return spark.createDataFrame([(title, "manual", text)], "path string, source_type string, text string")

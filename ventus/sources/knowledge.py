@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ventus.functions.vectors import hash_embedding
-from ventus.functions.web import extract_pages, pages_schema
+from ventus.functions.web import canonical_url, extract_pages, pages_schema
 
 CHUNK_CHARS, OVERLAP_CHARS, LEAST_CHUNK = 4000, 600, 50
-BATCH_CHARS, MOST_RECORDS = 12_000, 10_000
+BATCH_CHARS = 12_000
 
 
 def chunk_text(text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[str]:
@@ -104,6 +104,13 @@ def pages(table: DataFrame) -> DataFrame:
     return table.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(extract_pages, pages_schema())
 
 
+def distinct_pages(table: DataFrame) -> DataFrame:
+    """Pages (page_id, url, text) without a second one of the same address or of the same content: the one of least id stays."""
+    by_url = table.groupBy(canonical_url("url").alias("_url")).agg(F.min("page_id").alias("page_id"))
+    by_text = table.groupBy(content_digest(F.col("text")).alias("_digest")).agg(F.min("page_id").alias("page_id"))
+    return table.join(by_url.select("page_id"), "page_id", "left_semi").join(by_text.select("page_id"), "page_id", "left_semi")
+
+
 def reachable(start: DataFrame, links: DataFrame, most_pages: int = 12, rounds: int = 4) -> DataFrame:
     """(url, depth) of the first most_pages URLs, breadth first, from start (url) over links (src, dst)."""
     seen = frontier = start.select("url", F.lit(0).alias("depth")).distinct()

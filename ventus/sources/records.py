@@ -140,3 +140,62 @@ def supersede(sources: DataFrame, current_id: str, level: str) -> DataFrame:
     """Other active sources of the level become inactive."""
     old = (F.col("level") == level) & (F.col("status") == "active") & (F.col("id") != current_id)
     return sources.withColumn("status", F.when(old, "inactive").otherwise(F.col("status")))
+
+
+# Fixed value: how many records a file may have.
+MOST_RECORDS = 10_000
+
+
+def checked(records: DataFrame, most: int = MOST_RECORDS) -> DataFrame:
+    """The records of a file, of which there must be one and no more than most."""
+    n = records.limit(most + 1).count()
+    if not n:
+        raise ValueError("the file has no records")
+    if n > most:
+        raise ValueError(f"the file has more than {most:,} records")
+    return records
+
+
+def columns_of(records: DataFrame, fields_col: str = "fields") -> list[str]:
+    """The headers that any of ragged records (maps) has, as many as headers there are."""
+    return [r[0] for r in records.select(F.explode(F.map_keys(fields_col)).alias("k")).distinct().orderBy("k").collect()]
+
+
+def as_columns(records: DataFrame, fields_col: str = "fields") -> DataFrame:
+    """Ragged records (maps) with a column for every header; null where a record hasn't got it."""
+    keep = [c for c in records.columns if c != fields_col]
+    return records.select(*keep, *[F.element_at(fields_col, F.lit(c)).alias(c) for c in columns_of(records, fields_col) if c not in keep])
+
+
+def load_facts(sources: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The fact table of all active structured sources, the newest of each level.
+
+    sources: id, title, file_path, status, created_at, updated_at, seq.
+    chunks: source_id, chunk_index, records (array of maps).
+    Active sources with a .csv path are classified by title, path, or the
+    headers of their first chunk; records are taken in the order of chunks,
+    each of a source once, columns being the union of all headers.
+    """
+    there = sources.where((F.col("status") == "active") & F.lower("file_path").endswith(".csv"))
+    first = chunks.where(F.size("records") > 0).groupBy("source_id").agg(F.min_by(F.map_keys(F.get("records", 0)), "chunk_index").alias("_keys")).withColumnRenamed("source_id", "id")
+    keys = F.transform(F.coalesce("_keys", F.array()), normalized_column)
+    named = lambda c: F.nullif(F.regexp_extract(F.coalesce(F.col(c), F.lit("")), r"(?i)gadm[\s_-]?([012])", 1), F.lit(""))
+    deepest = F.lit(None).cast("string")
+    for field, digit in (("country", "0"), ("state", "1"), ("district", "2")):
+        deepest = F.when(F.arrays_overlap(keys, F.array(*[F.lit(a) for a in ALIASES[field]])), F.lit(digit)).otherwise(deepest)
+    level = F.concat(F.lit("gadm"), F.coalesce(named("title"), named("file_path"), deepest))
+    chosen = latest_sources(there.join(first, "id", "left").withColumn("level", level).drop("_keys"))
+    rows = chunks.join(chosen.select(F.col("id").alias("source_id"), "level", "title", F.col("seq").alias("_source")), "source_id").select("source_id", "level", "title", "_source", "chunk_index", F.posexplode("records").alias("_at", "fields"))
+    rows = distinct_records(rows.where("fields is not null and size(fields) > 0"))
+    spellings: dict[str, list[str]] = {}
+    for header in columns_of(rows):
+        spellings.setdefault(normalize_column(header), []).append(header)
+    order = F.col("_source") * (1 << 40) + F.col("chunk_index") * (1 << 20) + F.col("_at")
+    # of spellings that mean one column, a record's last counts
+    wide = rows.select("level", order.alias("_seq"), *[F.coalesce(*[F.element_at("fields", F.lit(c)) for c in reversed(found)]).alias(name) for name, found in spellings.items() if name])
+    headers = [c for c in spellings if c]
+    facts = None
+    for name in ("gadm0", "gadm1", "gadm2", None):
+        part = canonical(wide.where(F.col("level") == name if name else F.col("level").isNull()).select(*headers, "_seq"), "", name, "_seq")
+        facts = part if facts is None else facts.unionByName(part)
+    return facts

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ventus.operators.conversation import is_reset
+
 #: How long a repeated delivery of a message is known for one.
 HORIZON = "1 day"
 HISTORY = 12
@@ -52,6 +54,29 @@ def conversation_state(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conversation").applyInPandasWithState(_advance, OUTPUT, STATE, "update", "NoTimeout")
 
 
+def _remember(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    roles, texts = (list(x) for x in state.get) if state.exists else ([], [])
+    for batch in batches:
+        for row in batch.sort_values("ts").itertuples(index=False):
+            if row.reset:
+                roles, texts = [], []
+            else:
+                roles, texts = [*roles, row.role][-HISTORY:], [*texts, row.content][-HISTORY:]
+    state.update((roles, texts))
+    yield pd.DataFrame({"conversation": [key[0]], "roles": [roles], "texts": [texts]})
+
+
+def history_state(messages: DataFrame) -> DataFrame:
+    """The last HISTORY messages of each conversation since the user's last reset, updated by micro-batch.
+
+    messages: conversation, role, content, ts.
+    """
+    reset = (F.col("role") == "user") & is_reset("content")
+    rows = messages.withColumn("reset", F.coalesce(reset, F.lit(False)))
+    kept = "roles array<string>, texts array<string>"
+    return rows.groupBy("conversation").applyInPandasWithState(_remember, f"conversation string, {kept}", kept, "update", "NoTimeout")
+
+
 def to_answer(states: DataFrame) -> DataFrame:
     """Conversations that the agent answers; a person has taken over the others."""
     return states.where("mode <> 'human' and unread > 0")
