@@ -234,6 +234,21 @@ def test_words_that_differ_everywhere_are_not_equal(spark):
     assert len(set(codes.tolist())) == 3 and codes[0] == codes[3]
 
 
+def test_runs_of_one_word_that_documents_share(spark):
+    """Of the windows that a document holds several times only the first is told by other documents."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(40):
+        parts = [f"{a} " * int(n) + " ".join(f"x{k}" for k in rng.integers(0, 6, 3)) for a, n in zip(rng.choice(["na", "be", "co"], 8), rng.integers(5, 45, 8), strict=True)]
+        rows.append((i, " ".join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = cut_brute(rows, 20, WORD.findall, lambda u: " ".join(u).encode())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in wordspans.remove_repeats(docs, emit=wordspans.Digest()).collect()}
+    assert got == {i: (n, m, h) for i, (n, m, _, h) in want.items()}
+    got = {r.doc_id: tuple(r[1:]) for r in suffixes.remove_repeats(docs, emit=suffixes.Digest()).collect()}
+    assert got == cut_brute(rows, 100, lambda t: list(t.encode()), bytes)
+
+
 def test_nonbranching_paths_are_compacted(spark):
     """Chains of 1, 2, 3, 8 and 21 edges, told apart where the node between two edges branches."""
     rows, want, at = [], {}, 0

@@ -123,6 +123,8 @@ def _open(size: int):
                 start = np.repeat((at >> 5) + w.first[owner], count)
                 start = start + np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count)
                 owner = np.repeat(owner, count)
+                order = np.lexsort((start, owner))  # so that of equal windows the earliest stays
+                start, owner = start[order], owner[order]
                 one, two = (tx.window_codes(tx.word_codes(t.data, w, which), size, which)[start] for which in (0, 1))
                 doc, row = (batch.column(c).slice(t.first, len(t)).take(pa.array(owner)) for c in ("doc", "row"))
                 again, _ = tx.repeats_of(owner, one)
