@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ventus.functions.vectors import hash_embedding
 from ventus.functions.web import canonical_url, extract_pages, pages_schema
+from ventus.sources.records import checked
 
 CHUNK_CHARS, OVERLAP_CHARS, LEAST_CHUNK = 4000, 600, 50
 BATCH_CHARS = 12_000
@@ -122,7 +123,7 @@ def reachable(start: DataFrame, links: DataFrame, most_pages: int = 12, rounds:
 
 
 def record_batches(records: DataFrame, filename: str, columns: list[str]) -> DataFrame:
-    """Records as labelled text, batched in order to about BATCH_CHARS characters; one file's records are bounded."""
+    """Records as labelled text, batched in order to about BATCH_CHARS characters; a file has MOST_RECORDS of them at most, so they go to one task."""
 
     def batch(rows: pd.DataFrame) -> pd.DataFrame:
         out, held, size = [], [], 0
@@ -140,7 +141,7 @@ def record_batches(records: DataFrame, filename: str, columns: list[str]) -> Dat
         head = f"CSV dataset: {filename}\nColumns: {', '.join(columns)}\n\n"
         return pd.DataFrame([(i, head + "\n\n".join(x), len(x)) for i, x in enumerate(out)], columns=["chunk_index", "content", "n_records"])
 
-    return records.withColumn("_file", F.lit(filename)).groupBy("_file").applyInPandas(batch, "chunk_index int, content string, n_records int")
+    return checked(records).withColumn("_file", F.lit(filename)).groupBy("_file").applyInPandas(batch, "chunk_index int, content string, n_records int")
 
 
 def listed(table: DataFrame, newest: str) -> DataFrame:

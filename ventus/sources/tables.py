@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the one that the cluster shares (spark.checkpoint.dir); where that is unset, one machine takes a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{base.rstrip('/')}/ventus-own-{uuid.uuid4().hex}"
+
+
 def geo_facts(spark: SparkSession, sf_dir: str, mixed: bool = False) -> DataFrame:
     """Orders as facts: region, nation, segment and a district number; balance stands for population.
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ventus.operators.conversation import is_reset
+from ventus.sources.tables import shared_folder
 
 #: How long a repeated delivery of a message is known for one.
 HORIZON = "1 day"
@@ -84,7 +82,7 @@ def to_answer(states: DataFrame) -> DataFrame:
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that is there now, through the stream, into a table in a new shared folder, under a name; a batch that runs again replaces its rows."""
-    path = f"{folder(stream.sparkSession)}/{name}"
+    path = f"{shared_folder(stream.sparkSession)}/{name}"
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
@@ -99,16 +97,6 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return rows
 
 
-def folder(spark: SparkSession) -> str:
-    """A folder of its own in the one that the cluster shares; on one machine without such, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-        base = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/ventus-stream-{uuid.uuid4().hex}"
-
-
 def outbox(replies: DataFrame, path: str, checkpoint: str, most_chars: int = 4096):
     """Writes replies, cut to what a message holds, to a table that a sender reads."""
 
