@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ventus.functions.search_text import INTENT_TOKENS, NearTerms, is_usable_chunk, normalized, numbers_of, same_token, tokens_of
 from ventus.functions.vectors import cosine
-from ventus.sources.tables import shared_folder
+from ventus.sources.tables import shared_folder, spread
 
 RESULTS, LEAST_COVERAGE, LEAST_SCORE, SAME_CONTENT = 6, 0.45, 2.0, 0.82
 CONTEXT_CHARS, CONTEXT_CHUNK_CHARS = 16_000, 4_000
@@ -89,7 +89,7 @@ def rank_chunks(chunks: DataFrame, query: str) -> DataFrame:
         return usable.select("id", F.lit(0.0).alias("score")).limit(0)
     # read by the frequencies, the sums and the result; holds rows only for chunks that match at all, and survives lost executors
     path = f"{shared_folder(chunks.sparkSession)}/features"
-    usable.select("id", "content", "title", "page_title", "source_type").mapInPandas(run, _FEATURES).write.parquet(path)
+    spread(usable.select("id", "content", "title", "page_title", "source_type")).mapInPandas(run, _FEATURES).write.parquet(path)
     features = chunks.sparkSession.read.schema(_FEATURES).parquet(path)
     total = usable.agg(F.count("*").alias("n_chunks"))  # one row, counted without reading texts twice in Python
     frequency = features.select(F.explode("present").alias("token")).groupBy("token").agg(F.count("*").alias("df"))

@@ -24,6 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ventus-own-{uuid.uuid4().hex}"
 
 
+#: Bytes a core should have before work on rows is worth more tasks.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table that is too small for a task a core by its bytes, dealt over all cores; for costly work on each row. Others stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return table.repartition(cores) if size < cores * SPREAD_BYTES else table
+
+
 def geo_facts(spark: SparkSession, sf_dir: str, mixed: bool = False) -> DataFrame:
     """Orders as facts: region, nation, segment and a district number; balance stands for population.
 
