@@ -335,7 +335,7 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, size: int, k: int) -> DataFram
     shared = shelf.put(_met(found.drop("new_anchor"), anchors, ["one"], "shuffle_hash"), "shared", large=True)
     shelf.drop("anchors")
     of_edge = [F.min("doc").alias("source"), F.max("doc").alias("last"), F.count("*").alias("n")]
-    packed = shelf.put(shared.groupBy("one", "two").agg(*of_edge), "packed", large=True)
+    packed = shelf.put(shared.groupBy("one", "two").agg(*of_edge), "packed")
     branching = shelf.put(packed.groupBy("one").agg(F.count("*").alias("n_edges"), F.sum("n").alias("n")).where("n_edges > 1").drop("n_edges"), "branching")
     first = packed.drop("n").join(branching, "one").select("one", "two", F.col("source").alias("doc"))
     opened = shared.join(first, ["one", "two", "doc"]).groupBy("doc", "row").agg(F.collect_set("at").alias("opened"))
@@ -343,7 +343,7 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, size: int, k: int) -> DataFram
     windows = shelf.put(windows, "windows", large=True)
 
     ends = windows.groupBy("one", "two").agg(*of_edge)
-    twice = shelf.put(packed.unionByName(ends).where("source < last").select("one", "two", "n"), "twice", large=True)
+    twice = shelf.put(packed.unionByName(ends).where("source < last").select("one", "two", "n"), "twice")
     places = shelf.put(_met(shared.unionByName(windows), twice, ["one", "two"], "shuffle_hash"), "places", large=True)
     for name in ("shared", "packed", "branching", "windows", "twice"):
         shelf.drop(name)
@@ -355,10 +355,10 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, size: int, k: int) -> DataFram
     ordered = ordered.mapInArrow(_neighbours, "one long, two long, code long, count long, prev long, next long")
     only = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.lit(0)).alias(c)
     edges = shelf.put(ordered.groupBy("one", "two", "code").agg(F.min("count").alias("count"), only("prev"), only("next"), F.count("*").alias("n")), "edges", large=True)
-    heads = shelf.put(compacted(edges, shelf), "heads", large=True)
+    heads = shelf.put(compacted(edges, shelf), "heads")
     shelf.drop("edges")
 
-    occurrences = shelf.put(_met(places, heads, ["one", "two"]), "occurrences", large=True)
+    occurrences = shelf.put(_met(places, heads, ["one", "two"]), "occurrences")
     shelf.drop("places")
     sources = occurrences.groupBy("one", "two").agg(F.min(F.struct("doc", "row", "at", "windows")).alias("s"), F.count("*").alias("n")).select("one", "two", "n", "s.*")
     sources = shelf.put(sources, "sources")
