@@ -31,7 +31,7 @@ SPREAD_BYTES = 16 << 20
 def spread(table: DataFrame) -> DataFrame:
     """A table that is too small for a task a core by its bytes, dealt over all cores; for costly work on each row. Others stay as they are."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return table.repartition(cores) if size < cores * SPREAD_BYTES else table
 
 
