@@ -36,3 +36,17 @@ def test_stages_in_turn(spark, sf_dir):
         if left[i] != texts[i]:
             assert len(WORD.findall(left[i])) < len(WORD.findall(texts[i]))
     assert windows
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, clashing columns; then no rows at all."""
+    span = " ".join(f"s{k}" for k in range(30))
+    rows = [(1, None, "en", "a", 0), (2, "", None, None, None), (3, "  \n", "en", "a", 3), (4, span + " x", "en", "a", 9), (4, span + " x", "en", "a", 9), (4, "other words", "fr", "a", 9), (None, "no id here", "en", "a", 9), (None, None, None, None, None), (5, "y " + span, "xx", "b", 9), (6, span + " x", "en", "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as _row", "2 as score", "3 as key_a", "'z' as spans")
+    labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (5, 0, 1), (None, 1, 1), (99, 1, 0), (6, None, None)], "doc_id long, quality int, toxic int")
+    for k, (d, y) in enumerate(((docs, labels), (docs.limit(0), labels.limit(0)), (docs, labels.limit(0)))):
+        d.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        y.write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect()
+        assert len(out) == 0 if k == 1 else {1, 2, 3, 4, None} <= {r.doc_id for r in out}
+        assert 6 not in {r.doc_id for r in out}

@@ -201,7 +201,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below the threshold, with the columns of docs and nothing moved."""
+    """The rows of docs that score below the threshold, with the columns of docs and nothing moved.
+
+    A model that has learnt no feature, as without labelled rows, can't tell
+    texts apart and rejects none.
+    """
+    if not model.weights.any():
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text_at = docs.columns.index("text")
 
