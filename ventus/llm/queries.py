@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventus.llm import bpe, html, mixing, neardup, oracle, quality, suffixes, tokens, toxicity, vectors, wordspans
+from ventus.llm import bpe, centroids, codes, html, mixing, neardup, oracle, quality, secrets, suffixes, tokens, toxicity, vectors, wordspans
+from ventus.llm.shelf import Shelf
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", emit=bpe.Digest())
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(*centroids.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dim=64, scale=1024), Shelf(spark))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digest(*codes.compress(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256), Shelf(spark))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "text_stats": text_stats,
     "op1_quality_rules": op1_quality_rules,
@@ -77,6 +90,9 @@ QUERIES = {
     "op8_near_vectors": op8_near_vectors,
     "op9_main_text": op9_main_text,
     "op10_bpe": op10_bpe,
+    "op11_clusters": op11_clusters,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,4 +101,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_suffix_arrays": oracle.BYTE_STRINGS,
     "op7_word_spans": oracle.WORD_SPANS,
     "op8_near_vectors": oracle.NEAR_VECTORS,
+    "op11_clusters": oracle.CLUSTERS,
+    "op12_vector_codes": oracle.VECTOR_CODES,
+    "op13_secrets": oracle.SECRETS,
 }
