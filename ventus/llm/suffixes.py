@@ -25,9 +25,10 @@ own size and not many times that.
 
 Defined results: null and empty texts are empty; rows of the same id are not
 matched against each other, nor are those with a null id, which come after all
-others; what is found goes back to rows of the same id and text;
-repeated rows of different ids lose all bytes but in the first; an empty table
-gives an empty result.  Only id and text are read.
+others; what is found goes back to rows of the same id and text, of which each
+is cut and sorted once and what is asked and found is kept as a set, so that
+work grows with the rows; repeated rows of different ids lose all bytes but in
+the first; an empty table gives an empty result.  Only id and text are read.
 """
 
 from __future__ import annotations
@@ -472,7 +473,7 @@ def remove_repeats(docs: DataFrame, emit=None, size: int = 100, gram: int = GRAM
     found = rows.select("doc", "row", "text").mapInArrow(_scan(size, gram), "anchor long, doc long, row long, at long, new_anchor boolean")
     parts = F.ceil(F.col("n") / SHARD_PATHS).cast("int").alias("parts")
     anchors = shelf.put(found.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("new_anchor").alias("n_docs")).where("n_docs > 1").select("anchor", parts), "anchors")
-    asked = shelf.put(found.drop("new_anchor").join(anchors, "anchor").groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "parts", "at")).alias("asked")), "asked")
+    asked = shelf.put(found.drop("new_anchor").join(anchors, "anchor").groupBy("doc", "row").agg(F.collect_set(F.struct("anchor", "parts", "at")).alias("asked")), "asked")
 
     cut = rows.select("doc", "row", "text").join(asked.hint("merge"), ["doc", "row"]).mapInArrow(_cut(size), "anchor long, salt int, parts int, doc long, row long, at long, bytes binary")
     shards = cut.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_sorted_shards(size), SHARD_SCHEMA)
@@ -481,6 +482,6 @@ def remove_repeats(docs: DataFrame, emit=None, size: int = 100, gram: int = GRAM
     runs = shards.where("merged").select("doc", "row", "at", "anchor", "salt", "bucket", "window")
     late = runs.repartition(n, "anchor", "bucket").sortWithinPartitions("anchor", "bucket", "salt").mapInArrow(_merge(size), "doc long, row long, at long")
     spans = shards.where("not merged").select("doc", "row", "at").unionByName(late)
-    spans = shelf.put(spans.groupBy("doc", "row").agg(F.collect_list("at").alias("spans")), "spans").withColumnsRenamed({"doc": "of", "row": "of_row"})
+    spans = shelf.put(spans.groupBy("doc", "row").agg(F.collect_set("at").alias("spans")), "spans").withColumnsRenamed({"doc": "of", "row": "of_row"})
     shelf.drop("shards")
     return rows.join(spans.hint("merge"), (F.col("doc") == F.col("of")) & (F.col("row") == F.col("of_row")), "left").select("doc_id", "text", "spans").mapInArrow(_emit(size, gram, emit), emit.schema)
