@@ -44,7 +44,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -135,28 +135,28 @@ def _open(size: int):
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by document and place; gives each edge with its code and the codes of the edges right before and after it, 0 for none."""
+    """Rows come sorted by document and place; gives each edge with the names of the edges right before and after it, zeros for none."""
     held: pa.RecordBatch | None = None
-    last: tuple | None = None  # (doc, row, kind, end, code) of the row before
+    last: tuple | None = None  # (doc, row, kind, end, one, two) of the row before
 
     def rows(batch: pa.RecordBatch, before: tuple | None, after: tuple | None) -> pa.RecordBatch:
-        doc, row, place = (np.asarray(batch.column(c)) for c in ("doc", "row", "place"))
-        code = _code(batch)
+        doc, row, place, *names = (np.asarray(batch.column(c)) for c in ("doc", "row", "place", "one", "two"))
         kind, start = place >> 58, (place >> 5) & ((1 << 53) - 1)
         end = start + (place & 15)
         joint = (doc[1:] == doc[:-1]) & (row[1:] == row[:-1]) & (kind[1:] == kind[:-1]) & (start[1:] == end[:-1])
-        prev, next_ = np.zeros(len(doc), dtype=np.int64), np.zeros(len(doc), dtype=np.int64)
-        prev[1:][joint], next_[:-1][joint] = code[:-1][joint], code[1:][joint]
+        beside = [np.zeros(len(doc), dtype=np.int64) for _ in range(4)]  # one and two of the edge before, of the edge after
+        for k, name in enumerate(names):
+            beside[k][1:][joint], beside[2 + k][:-1][joint] = name[:-1][joint], name[1:][joint]
         if before is not None and before[:4] == (doc[0], row[0], kind[0], start[0]):
-            prev[0] = before[4]
+            beside[0][0], beside[1][0] = before[4:]
         if after is not None and after[:4] == (doc[-1], row[-1], kind[-1], end[-1]):
-            next_[-1] = after[4]
-        return pa.record_batch([batch.column("one"), batch.column("two"), pa.array(code), pa.array(place & 15), pa.array(prev), pa.array(next_)], names=["one", "two", "code", "count", "prev", "next"])
+            beside[2][-1], beside[3][-1] = after[4:]
+        return pa.record_batch([batch.column("one"), batch.column("two"), pa.array(place & 15), *map(pa.array, beside)], names=["one", "two", "count", "prev_one", "prev_two", "next_one", "next_two"])
 
     def edge(batch: pa.RecordBatch, k: int, at_end: bool) -> tuple:
-        doc, row, place = (int(np.asarray(batch.column(c))[k]) for c in ("doc", "row", "place"))
+        doc, row, place, one, two = (int(np.asarray(batch.column(c))[k]) for c in ("doc", "row", "place", "one", "two"))
         start = (place >> 5) & ((1 << 53) - 1)
-        return doc, row, place >> 58, start + (place & 15) * at_end, int(_code(batch.slice(k % batch.num_rows, 1))[0])
+        return doc, row, place >> 58, start + (place & 15) * at_end, one, two
 
     for batch in batches:
         if not batch.num_rows:
@@ -169,32 +169,33 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(held, last, None)
 
 
-def _code(batch: pa.RecordBatch) -> np.ndarray:
-    """A number, not 0, for each edge; it only has to tell neighbours apart."""
-    one, two = (np.asarray(batch.column(c)).view(np.uint64) for c in ("one", "two"))
-    return (tx.joined(one, two) | np.uint64(1)).view(np.int64)
-
-
 def compacted(edges: DataFrame, shelf: Shelf) -> DataFrame:
     """(one, two, n, windows) of the first edge of each maximal nonbranching path, windows being those of all its edges.
 
-    edges: (code, count, prev, next, n) and the edge's name (one, two); prev and
-    next are 0 where the node before or after the edge ends or branches.
+    edges: (one, two, count, prev_one, prev_two, next_one, next_two, n); an edge
+    is named by both of one and two, and its neighbours are null where the node
+    before or after it ends or branches.
     """
-    before = edges.where("next <> 0").select(F.col("code").alias("from"), F.col("next").alias("to"))
-    after = edges.where("prev <> 0").select(F.col("prev").alias("from"), F.col("code").alias("to"))
-    jump = shelf.put(before.join(after, ["from", "to"]).select(F.col("to").alias("edge"), F.col("from").alias("head")), "jump-0")
+    name = lambda a, b: [F.col(f"{a}_one").alias(f"{b}_one"), F.col(f"{a}_two").alias(f"{b}_two")]
+    own = lambda b: [F.col("one").alias(f"{b}_one"), F.col("two").alias(f"{b}_two")]
+    before = edges.where("next_one is not null").select(*own("head"), *name("next", "edge"))
+    after = edges.where("prev_one is not null").select(*name("prev", "head"), *own("edge"))
+    jump = shelf.put(before.join(after, before.columns), "jump-0")
     k = 0
     while True:
         # of an edge whose head has a predecessor the head becomes that one's head, which is twice as far back
-        beyond = jump.select(F.col("edge").alias("head"), F.col("head").alias("beyond"))
-        step = shelf.put(jump.join(beyond, "head", "left").select("edge", "head", "beyond"), f"jump-{k + 1}")
+        beyond = jump.select(*name("edge", "head"), *name("head", "beyond"))
+        moved = Observation()
+        step = jump.join(beyond, ["head_one", "head_two"], "left").observe(moved, F.count("beyond_one").alias("n"))
+        to = [F.when(F.col("beyond_one").isNull(), F.col(f"head_{x}")).otherwise(F.col(f"beyond_{x}")).alias(f"head_{x}") for x in ("one", "two")]
+        jump = shelf.put(step.select("edge_one", "edge_two", *to), f"jump-{k + 1}")
         shelf.drop(f"jump-{k}")
-        jump, k = step.select("edge", F.coalesce("beyond", "head").alias("head")), k + 1
-        if step.where("beyond is not null").isEmpty():
+        k += 1
+        if not moved.get["n"]:
             break
-    sums = edges.join(jump, edges.code == jump.edge, "left").groupBy(F.coalesce("head", "code").alias("head_code")).agg(F.sum("count").alias("windows"))
-    return edges.join(sums, edges.code == sums.head_code).select("one", "two", "n", "windows")
+    led = edges.select("one", "two", "count").join(jump, (F.col("one") == F.col("edge_one")) & (F.col("two") == F.col("edge_two")), "left")
+    first = [F.when(F.col("head_one").isNull(), F.col(x)).otherwise(F.col(f"head_{x}")).alias(x) for x in ("one", "two")]
+    return edges.select("one", "two", "n").join(led.select(*first, "count").groupBy("one", "two").agg(F.sum("count").alias("windows")), ["one", "two"])
 
 
 def _plain(t: tx.Texts, w: tx.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -352,9 +353,11 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, size: int, k: int) -> DataFram
     opened = F.col("at").bitwiseAND(F.lit(_OPENED))
     ordered = places.select("one", "two", "doc", "row", (F.shiftleft(opened, 54) + F.col("at") - opened).alias("place"))
     ordered = ordered.repartition(n, "doc", "row").distinct().sortWithinPartitions("doc", "row", "place")
-    ordered = ordered.mapInArrow(_neighbours, "one long, two long, code long, count long, prev long, next long")
-    only = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.lit(0)).alias(c)
-    edges = shelf.put(ordered.groupBy("one", "two", "code").agg(F.min("count").alias("count"), only("prev"), only("next"), F.count("*").alias("n")), "edges", large=True)
+    ordered = ordered.mapInArrow(_neighbours, "one long, two long, count long, prev_one long, prev_two long, next_one long, next_two long")
+    sides = [f"{side}_{x}" for side in ("prev", "next") for x in ("one", "two")]
+    only = lambda side, x: F.when((F.min(f"{side}_one") == F.max(f"{side}_one")) & (F.min(f"{side}_two") == F.max(f"{side}_two")) & (F.min(f"{side}_one") != 0), F.min(f"{side}_{x}")).alias(f"{side}_{x}")
+    edges = ordered.groupBy("one", "two").agg(F.min("count").alias("count"), *(only(*c.split("_")) for c in sides), F.count("*").alias("n"))
+    edges = shelf.put(edges, "edges", large=True)
     heads = shelf.put(compacted(edges, shelf), "heads")
     shelf.drop("edges")
 
