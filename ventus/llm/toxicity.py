@@ -9,8 +9,8 @@ of the sum over the distinct buckets of a whole text.
 
 What is learnt from is bounded by ``max_rows_per_class`` labelled rows of each
 class, chosen by hash, and by nothing else.  Their texts are counted where they
-are; the driver gets counts, 2**bits at most, and the few buckets that tell the
-classes apart of each chosen text.  The model broadcast has a fixed size of
+are; the driver gets counts, 2**bits at most, and of each chosen text the
+distinct buckets that tell the classes apart, 2**bits at most however long it is.  The model broadcast has a fixed size of
 2**bits floats.
 
 Defined results: a null or empty text scores as the model's bias says; repeated
@@ -37,6 +37,8 @@ BITS = 20
 THRESHOLD = 0.3
 #: Bytes of text worked on at a time in the fit.
 FIT_SLICE = 256 << 10
+#: A longer single text is worked on in blocks of so many bytes.
+BLOCK_BYTES = 1 << 20
 
 _fold = tx.lower_ascii(np.arange(256, dtype=np.uint8))
 _fold[tx._SPACE] = 0x20
@@ -45,10 +47,22 @@ _codes = tx._byte_codes[0][_fold]
 
 def buckets(t: tx.Texts, sizes: tuple[int, ...] = SIZES, bits: int = BITS, of_use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) for each distinct bucket of each text, sorted by text; of_use: only buckets flagged there."""
-    n = len(t.data)
-    text_end = np.repeat(t.offsets[1:], t.n_bytes)
+    if len(t) == 1 and len(t.data) > BLOCK_BYTES:  # one long text: blocks that overlap by a gram, united in a bitmap
+        found = np.zeros(1 << bits, dtype=bool)
+        for begin in range(0, len(t.data), BLOCK_BYTES):
+            found[_keys(t.data[begin : begin + BLOCK_BYTES + max(sizes) - 1], None, sizes, bits, of_use)] = True
+        at = np.flatnonzero(found)
+        return np.zeros(len(at), dtype=np.int64), at
+    both = _keys(t.data, t.offsets, sizes, bits, of_use)
+    return both >> bits, both & ((1 << bits) - 1)
+
+
+def _keys(data: np.ndarray, offsets: np.ndarray | None, sizes: tuple[int, ...], bits: int, of_use: np.ndarray | None) -> np.ndarray:
+    """Distinct (text << bits | bucket) of texts that offsets delimit; without offsets all is one text."""
+    n = len(data)
+    text_end = None if offsets is None else np.repeat(offsets[1:], np.diff(offsets))
     rolled, keys = np.zeros(n, dtype=np.uint64), []
-    codes = _codes[t.data]
+    codes = _codes[data]
     size = 0
     for want in sizes:
         with np.errstate(over="ignore"):
@@ -58,13 +72,13 @@ def buckets(t: tx.Texts, sizes: tuple[int, ...] = SIZES, bits: int = BITS, of_us
             if size < want:
                 break
             h = (tx.mix(rolled[: n - size + 1] + np.uint64(want)) >> np.uint64(64 - bits)).astype(np.int64)
-        ok = np.arange(len(h)) + want <= text_end[: len(h)]
+        ok = np.ones(len(h), dtype=bool) if text_end is None else np.arange(len(h)) + want <= text_end[: len(h)]
         if of_use is not None:
             ok &= of_use[h]
         at = np.flatnonzero(ok)
-        keys.append(((np.searchsorted(t.offsets, at, side="right") - 1) << bits) | h[at])
-    both = np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
-    return both >> bits, both & ((1 << bits) - 1)
+        owner = 0 if offsets is None else np.searchsorted(offsets, at, side="right") - 1
+        keys.append((owner << bits) | h[at])
+    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
 
 
 @dataclass
