@@ -255,16 +255,51 @@ def test_nonbranching_paths_are_compacted(spark):
     for length in (1, 2, 3, 8, 21):
         names = list(range(at + 1, at + 1 + length))
         for k, e in enumerate(names):
-            rows.append((e, -e, 100 + e, 2, 100 + names[k - 1] if k else 0, 100 + names[k + 1] if k + 1 < length else 0))
+            beside = [names[j] if 0 <= j < length else None for j in (k - 1, k + 1)]
+            rows.append((e, -e, 2, *(x for b in beside for x in (b, b and -b))))
         want[names[0]] = 2 * length
         at += length
-    rows.append((900, -900, 1000, 1, 101, 0))  # says that 1 comes before it, which 1 denies
+    rows.append((900, -900, 1, 1, -1, None, None))  # says that 1 comes before it, which 1 denies
     want[900] = 1
-    edges = spark.createDataFrame(rows, "one long, two long, code long, count long, prev long, next long").withColumn("n", F.lit(2))
+    schema = "one long, two long, count long, prev_one long, prev_two long, next_one long, next_two long"
+    edges = spark.createDataFrame(rows, schema).withColumn("n", F.lit(2))
     assert {r.one: r.windows for r in wordspans.compacted(edges, Shelf(spark)).collect()} == want
     assert wordspans.compacted(edges.limit(0), Shelf(spark)).count() == 0
 
 
+def test_edges_of_one_code_are_told_apart_by_the_other(spark):
+    """Edges A-B, and others that share a half of B's name."""
+    none = (None,) * 4
+    rows = [(1, 10, 2, *none[:2], 2, 20), (2, 20, 1, 1, 10, *none[:2]), (2, 77, 5, *none), (6, 20, 7, *none)]
+    edges = spark.createDataFrame(rows, "one long, two long, count long, prev_one long, prev_two long, next_one long, next_two long").withColumn("n", F.lit(2))
+    assert sorted((r.one, r.two, r.windows) for r in wordspans.compacted(edges, Shelf(spark)).collect()) == [(1, 10, 3), (2, 77, 5), (6, 20, 7)]
+
+
+@pytest.mark.parametrize("doc_id", [5, None])
+def test_equal_rows_of_one_id_cost_no_more_than_their_number(spark, monkeypatch, doc_id):
+    """Beside one earlier copy: the shards get each path once a row, and every row gets the spans of one."""
+    long = " ".join(f"w{k}" for k in range(400))
+    put, seen = Shelf.put, {}
+
+    def noted(self, df, name, large=False):
+        out = put(self, df, name, large)
+        if name in ("shards", "spans"):
+            seen[name] = out.count() if name == "shards" else out.select(F.max(F.size("spans"))).first()[0]
+        return out
+
+    for n in (1, 200):
+        docs = spark.createDataFrame([(1, long)] + [(doc_id, long)] * n, "doc_id long, text string")
+        with monkeypatch.context() as m:
+            m.setattr(Shelf, "put", noted)
+            got = [(r.doc_id, r.n_removed) for r in suffixes.remove_repeats(docs, emit=suffixes.Digest()).collect()]
+        assert sorted(got, key=str) == sorted([(1, 0)] + [(doc_id, len(long))] * n, key=str)
+        if n == 1:
+            one = dict(seen)
+        assert seen["shards"] <= one["shards"] * n and seen["spans"] <= 4 * one["spans"]  # of a row, whatever the number of rows
+    words = [(r.doc_id, r.n_removed) for r in wordspans.remove_repeats(docs, emit=wordspans.Digest()).collect()]
+    assert sorted(words, key=str) == sorted([(1, 0)] + [(doc_id, 400)] * n, key=str)
+
+
 def test_spans_are_checked_against_their_source():
     t = next(text.texts_of(pa.array([SPAN])))
     w = text.words_of(t)
@@ -360,6 +395,25 @@ def test_scores_are_those_of_brute_force(docs, odd):
             assert abs(got[i] - 1 / (1 + np.exp(-np.clip(z, -50, 50)))) < 1e-4
 
 
+def test_buckets_of_long_texts_come_from_blocks(monkeypatch):
+    long = next(text.texts_of(pa.array([LONG])))
+    whole = toxicity.buckets(long)
+    used = np.random.default_rng(0).random(1 << toxicity.BITS) < 0.1
+    some = toxicity.buckets(long, of_use=used)
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 1001)
+    for want, got in ((whole, toxicity.buckets(long)), (some, toxicity.buckets(long, of_use=used))):
+        assert (want[0] == got[0]).all() and (want[1] == got[1]).all()
+
+
+def test_a_text_of_25_mb_fits_into_an_executor():
+    import subprocess
+    import sys
+
+    code = "import resource, numpy as np, pyarrow as pa; from ventus.llm import text, toxicity as x; m = x.Model(0.0, np.ones(1 << x.BITS, dtype=np.float32)); t = next(text.texts_of(pa.array([' '.join(map(str, range(3_500_000)))]))); base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; m.score(t); x.buckets(t); print(len(t.data), base, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    n, base, peak = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert n > 25_000_000 and peak - base < 400_000  # KB
+
+
 def test_toxicity_learns_from_long_texts_and_either_layout(spark):
     rng = np.random.default_rng(2)
     words = ["river", "stone", "green", "walks", "under", "light", "paper"]
@@ -562,7 +616,7 @@ def test_main_text_keeps_what_the_article_says(spark):
     pages = {
         "<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here.</p></article>": "Energy is E=m here.",
         "<article><p class='alert'>Mind the gap.</p><p class=\"share\">We share.</p><li class='related'>x</li></article>": "Mind the gap.\nWe share.\nx",
-        "<article><p>a</p><div class='related'>no</div><div class='alert'>no</div><p class='ad'>no</p><p class='notice'>no</p></article>": "a",
+        "<article><p>a</p><div class='related'>no</div><div class='alert'>yes</div><p class='ad'>no</p><p class='notice'>no</p></article>": "a\nyes",
         "<article><noscript>plain words</noscript><object>as text</object><select><option>no</select></article>": "plain words\nas text",
     }
     rows = [(k, f"http://h{k}.org/", x) for k, x in enumerate(pages)]
@@ -571,6 +625,31 @@ def test_main_text_keeps_what_the_article_says(spark):
     assert sorted((r.page_id, r.text) for r in got) == [*enumerate(pages.values()), (50, "one"), (50, "two")]
 
 
+@pytest.mark.parametrize(
+    ("part", "in_article", "in_free_page"),
+    [
+        ('<div class="share-price">Share price rose 5%.</div>', True, True),
+        ('<section id="related-work">Older work.</section>', True, True),
+        ('<table class="widget-prices"><tr><td>Bolt</td></tr></table>', True, True),
+        ('<ul class="menu"><li>Soup<li>Fish</ul>', True, False),
+        ('<div class="alert">Tsunami came.</div>', True, False),
+        ('<p class="share">Everybody got a share.</p>', True, True),
+        ('<div class="quote">See <a href="/x">this</a> and much more that is said here.</div>', True, True),
+        ('<div class="widget">Mostly told here, <a href="/x">one</a> link.</div>', True, False),
+        ('<div class="share"><a href="/a">Post</a> <a href="/b">Mail</a></div>', False, False),
+        ('<ul class="related-posts"><li><a href="/a">One</a><li><a href="/b">Two</a></ul>', False, False),
+        ('<div class="cookie-banner">We use cookies.</div>', False, False),
+        ('<div class="box ad-slot-2">Buy now.</div>', False, False),
+        ('<div id="comments"><p>First!</p></div>', False, False),
+        ('<p class="sponsor">Paid for.</p>', False, False),
+    ],
+)
+def test_names_of_elements(part, in_article, in_free_page):
+    for page, stays in ((f"<article><p>Before</p>{part}<p>After</p></article>", in_article), (f"<p>Before</p>{part}<p>After</p>", in_free_page)):
+        lines = [t for t, _ in html.page_lines(page)]
+        assert lines[0] == "Before" and lines[-1] == "After" and (len(lines) > 2) == stays
+
+
 def test_common_lines_of_long_pages():
     rng = np.random.default_rng(8)
     a, b = ([f"l{k}" for k in rng.integers(0, 40, 900)] for _ in range(2))
