@@ -82,7 +82,7 @@ def reprocess_status(spark, sf_dir):
 _documents = "SELECT doc_id, source, text, lang FROM documents"
 
 
-@query("active_chunks", "SELECT id, title, source_type, source_url FROM (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN source LIKE '%a%' THEN upper(source) ELSE lang END AS title, 'web' AS source_type, source AS source_url, CAST(doc_id % 97 AS BIGINT) AS created_at FROM documents WHERE substr(source, 1, 1) <> 'z') ORDER BY created_at DESC, id LIMIT 5000")
+@query("active_chunks", "SELECT id, title, source_type, source_url FROM (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN source LIKE '%a%' THEN upper(source) ELSE lang END AS title, 'web' AS source_type, source AS source_url, CAST(doc_id % 97 AS BIGINT) AS created_at FROM documents WHERE substr(source, 1, 1) <> 'z')")
 def active_chunks(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     chunks = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"), F.col("lang").alias("title"), F.lit("txt").alias("source_type"), F.lit("u").alias("source_url"), (F.col("doc_id") % 97).alias("created_at"))
@@ -131,7 +131,10 @@ def facts_of_sources(spark, sf_dir):
     return records.load_facts(sources, chunks).select("csv_level", "country", "state", "year", "pm25")
 
 
-@query("pages_once", f"SELECT page_id FROM pages WHERE page_id IN (SELECT min(page_id) FROM ({ct.ORACLE_SQL['url_canonical']}) GROUP BY url) AND page_id IN (SELECT min(page_id) FROM pages GROUP BY sha256(lower(trim(regexp_replace(html, '\\s+', ' ', 'g')))))")
+_addresses = f"SELECT min(page_id) AS page_id FROM ({ct.ORACLE_SQL['url_canonical']}) GROUP BY url"
+
+
+@query("pages_once", f"SELECT min(page_id) AS page_id FROM pages JOIN ({_addresses}) USING (page_id) GROUP BY sha256(lower(trim(regexp_replace(html, '\\s+', ' ', 'g'))))")
 def pages_once(spark, sf_dir):
     return knowledge.distinct_pages(read(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("text"))).select("page_id")
 

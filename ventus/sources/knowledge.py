@@ -71,11 +71,12 @@ def distinct_chunks(chunks: DataFrame, order: list[str], content_col: str = "con
     return chunks.join(first.select("_first.*"), order, "left_semi")
 
 
-def active_chunks(chunks: DataFrame, sources: DataFrame, most: int = 5000) -> DataFrame:
-    """Chunks of active sources, newest first; a source's title, type and URL win over the chunk's unless null."""
+def active_chunks(chunks: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """Chunks of active sources, or the most newest ones, newest first; a source's title, type and URL win over the chunk's unless null."""
     named = sources.where("status = 'active'").select(F.col("id").alias("source_id"), F.col("title").alias("_title"), F.col("source_type").alias("_type"), F.col("source_url").alias("_url"))
     rows = chunks.join(named, "source_id").withColumns({"title": F.coalesce("_title", "title"), "source_type": F.coalesce("_type", "source_type"), "source_url": F.coalesce("_url", "source_url")})
-    return rows.drop("_title", "_type", "_url").orderBy(F.col("created_at").desc(), "id").limit(most)
+    rows = rows.drop("_title", "_type", "_url").orderBy(F.col("created_at").desc(), "id")
+    return rows if most is None else rows.limit(most)
 
 
 def embedded(chunks: DataFrame, content_col: str = "content", structured_col: str | None = None) -> DataFrame:
@@ -106,10 +107,15 @@ def pages(table: DataFrame) -> DataFrame:
 
 
 def distinct_pages(table: DataFrame) -> DataFrame:
-    """Pages (page_id, url, text) without a second one of the same address or of the same content: the one of least id stays."""
-    by_url = table.groupBy(canonical_url("url").alias("_url")).agg(F.min("page_id").alias("page_id"))
-    by_text = table.groupBy(content_digest(F.col("text")).alias("_digest")).agg(F.min("page_id").alias("page_id"))
-    return table.join(by_url.select("page_id"), "page_id", "left_semi").join(by_text.select("page_id"), "page_id", "left_semi")
+    """Pages (page_id, url, text) without a second one of the same address, and of those left without a second one of the same content.
+
+    The one of least id stays in both steps, so what a page holds that goes for its address
+    takes no other page along.  Ids, addresses and digests are exchanged, and never texts.
+    """
+    address = F.coalesce(canonical_url("url"), F.concat(F.lit("#"), F.col("page_id").cast("string")))  # pages without one are told apart
+    by_url = table.groupBy(address.alias("_url")).agg(F.min(F.struct("page_id", content_digest(F.col("text")).alias("_digest"))).alias("_first"))
+    by_text = by_url.groupBy("_first._digest").agg(F.min("_first.page_id").alias("page_id"))
+    return table.join(by_text.select("page_id"), "page_id", "left_semi")
 
 
 def reachable(start: DataFrame, links: DataFrame, most_pages: int = 12, rounds: int = 4) -> DataFrame:

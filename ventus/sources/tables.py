@@ -14,6 +14,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process has made; results may still read them until they are written elsewhere.
+_made: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the one that the cluster shares (spark.checkpoint.dir); where that is unset, one machine takes a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,7 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/ventus-own-{uuid.uuid4().hex}"
+    _made.append(folder := f"{base.rstrip('/')}/ventus-own-{uuid.uuid4().hex}")
+    return folder
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all folders that shared_folder has given; for when results have been written."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    while _made:
+        path = fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bytes a core should have before work on rows is worth more tasks.
