@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -11,104 +11,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ventus.functions.search_text import INTENT_TOKENS, NearTerms, is_usable_chunk, normalized, numbers_of, same_token, tokens_of
+from ventus.functions.search_text import same_token, tokens_of
 from ventus.functions.vectors import cosine
-from ventus.sources.tables import shared_folder, spread
+from ventus.operators import postings
 
-RESULTS, LEAST_COVERAGE, LEAST_SCORE, SAME_CONTENT = 6, 0.45, 2.0, 0.82
+RESULTS, LEAST_SCORE, SAME_CONTENT = 6, 2.0, 0.82
 CONTEXT_CHARS, CONTEXT_CHUNK_CHARS = 16_000, 4_000
-_FEATURES = "id string, matched array<struct<token:string,tf:int>>, present array<string>, coverage double, passage double, exact boolean, numbers boolean, anchors boolean, title_hits int, title_phrase boolean"
-
-
-def _features(query: str):
-    """What a chunk shares with a query; its texts are read once."""
-    asked = list(dict.fromkeys(tokens_of(query)))
-    phrase = normalized(query)
-    anchors = [t for t in asked if t not in INTENT_TOKENS and not t.isdigit()]
-    years = [n for n in numbers_of(query) if len(n) == 4]
-    near = NearTerms(asked)
-
-    known: dict[str, frozenset[str]] = {}
-
-    def asked_by(token: str) -> frozenset[str]:
-        if token not in known:
-            if len(known) > 200_000:
-                known.clear()
-            known[token] = frozenset(a for a in near.candidates(token) if same_token(a, token))
-        return known[token]
-
-    def hits(tokens) -> list[str | None]:
-        """For each asked token the first of tokens that is the same."""
-        first: dict[str, str] = {}
-        for t in tokens:
-            for a in asked_by(t):
-                first.setdefault(a, t)
-        return [first.get(a) for a in asked]
-
-
-    def passage(content: str) -> float:
-        best = 0.0
-        for part in re.split(r"(?<=[.!?])\s+|\n{2,}", content):
-            if not re.search(r"\bfigure\s+\d", part, re.I):
-                tokens = dict.fromkeys(tokens_of(part))
-                best = max(best, sum(h is not None for h in hits(tokens)) / len(asked))
-        return best
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                titles = " ".join(x for x in (row.title, row.page_title) if x)
-                whole = " ".join(x for x in (row.title, row.page_title, row.source_type, row.content) if x)
-                tokens = tokens_of(whole)
-                distinct = dict.fromkeys(tokens)
-                matched = [t for t in hits(distinct) if t]
-                if not matched:
-                    continue
-                text, title = normalized(whole), normalized(titles)
-                title_tokens = dict.fromkeys(tokens_of(title))
-                rows.append((
-                    row.id, [{"token": t, "tf": tokens.count(t)} for t in matched], [t for t in distinct if asked_by(t)],
-                    len(matched) / len(asked), passage(row.content), len(phrase) >= 8 and phrase in text, all(n in text for n in years),
-                    {a for t in distinct for a in asked_by(t)}.issuperset(anchors), sum(h is not None for h in hits(title_tokens)), bool(phrase) and phrase in title,
-                ))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in ("id", "matched", "present", "coverage", "passage", "exact", "numbers", "anchors", "title_hits", "title_phrase")])
-
-    return run, len(asked)
 
 
 def rank_chunks(chunks: DataFrame, query: str) -> DataFrame:
-    """(id, score, ...) of usable chunks (id, content, title, page_title, source_type) that answer a query, best first.
-
-    One pass gives each chunk's features; document frequencies are counted for
-    the tokens that match the query only, so little is exchanged.
-    """
-    run, n_asked = _features(query)
-    usable = chunks.where(is_usable_chunk("content"))
-    if not n_asked:
-        return usable.select("id", F.lit(0.0).alias("score")).limit(0)
-    # read by the frequencies, the sums and the result; holds rows only for chunks that match at all, and survives lost executors
-    path = f"{shared_folder(chunks.sparkSession)}/features"
-    spread(usable.select("id", "content", "title", "page_title", "source_type")).mapInPandas(run, _FEATURES).write.parquet(path)
-    features = chunks.sparkSession.read.schema(_FEATURES).parquet(path)
-    total = usable.agg(F.count("*").alias("n_chunks"))  # one row, counted without reading texts twice in Python
-    frequency = features.select(F.explode("present").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    parts = features.select("id", F.explode("matched").alias("m")).join(frequency, F.col("m.token") == F.col("token")).join(F.broadcast(total))
-    idf = F.log((F.col("n_chunks") + 1) / (F.col("df") + 0.5)) + 1
-    sums = parts.groupBy("id").agg(F.sum(idf * (1 + F.log(F.greatest(F.col("m.tf"), F.lit(1))))).alias("weight"), F.count("*").alias("n_matched"))
-    score = (
-        F.col("weight") * (0.75 + F.col("coverage")) + F.col("passage") * 5 + F.when(F.col("passage") == 1, 3).otherwise(0) + F.when(F.col("exact"), 5).otherwise(0)
-        + F.col("title_hits") * 4 + F.when(F.col("title_hits") == n_asked, 5).otherwise(0) + F.when(F.col("title_phrase"), 4).otherwise(0)
-    )
-    rows = features.join(sums, "id").withColumn("score", score * F.when(F.col("numbers"), 1.0).otherwise(0.2))
-    enough = F.lit(n_asked == 1) | ((F.col("n_matched") >= 2) & (F.col("coverage") >= LEAST_COVERAGE) & (F.col("passage") >= LEAST_COVERAGE))
-    return rows.where(F.col("numbers") & F.col("anchors") & enough).select("id", "score", "n_matched", "coverage", "passage", "exact").orderBy(F.col("score").desc(), "id")
+    """(id, score, ...) of usable chunks (id, content, title, page_title, source_type) that answer a query, best first; see ``postings``."""
+    return postings.rank_one(chunks, query)
 
 
 def is_confident(top, n_asked: int) -> bool:
     if top["exact"]:
         return True
-    return top["score"] >= 1 if n_asked == 1 else top["n_matched"] >= 2 and top["coverage"] >= LEAST_COVERAGE and top["passage"] >= LEAST_COVERAGE and top["score"] >= LEAST_SCORE
+    return top["score"] >= 1 if n_asked == 1 else top["n_matched"] >= 2 and top["coverage"] >= postings.LEAST_COVERAGE and top["passage"] >= postings.LEAST_COVERAGE and top["score"] >= LEAST_SCORE
 
 
 def jaccard(a: set, b: set) -> float:
