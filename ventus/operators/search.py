@@ -6,14 +6,13 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ventus.functions.search_text import same_token, tokens_of
+from ventus.functions.search_text import tokens_of
 from ventus.functions.vectors import cosine
 from ventus.operators import postings
+from ventus.operators.evidence import evidence
 
 RESULTS, LEAST_SCORE, SAME_CONTENT = 6, 2.0, 0.82
 CONTEXT_CHARS, CONTEXT_CHUNK_CHARS = 16_000, 4_000
@@ -102,18 +101,7 @@ def sentence_windows(snippets: DataFrame, id_col: str, text_col: str) -> DataFra
 
 
 def answer_windows(snippets: DataFrame, query: str, id_col: str, text_col: str, k: int = 2) -> DataFrame:
-    """The k windows that cover a query's tokens best; numbers weigh four, long windows lose a little."""
-    asked = list(dict.fromkeys(tokens_of(query)))
-
-    @F.pandas_udf(T.DoubleType())
-    def scored(texts: pd.Series) -> pd.Series:
-        def one(text: str) -> float:
-            tokens = dict.fromkeys(tokens_of(text))
-            hit = [a for a in asked if any(same_token(a, t) for t in tokens)]
-            coverage = len(hit) / len(asked) if asked else 0.0
-            return sum(4 if a.isdigit() else 1 for a in hit) + (2 if coverage >= 0.5 else 0) - min(len(text) / 1000, 0.6)
-
-        return texts.map(one)
-
-    rows = sentence_windows(snippets, id_col, text_col).where(F.length("window").between(35, 620))
-    return rows.withColumn("score", scored("window")).where("score > 0").orderBy(F.col("score").desc(), id_col, "position", "n_sentences").limit(k)
+    """The k windows that are the best evidence for a question; see ``evidence``."""
+    question = snippets.sparkSession.createDataFrame([(0, query)], "question_id int, question string")
+    rows = evidence(snippets, question, id_col, text_col).drop("question_id")
+    return rows.orderBy(F.col("score").desc(), id_col, "position", "n_sentences").limit(k)

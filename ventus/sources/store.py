@@ -45,6 +45,17 @@ def manual_reply(messages: DataFrame, conv_id: str, text: str) -> DataFrame:
     return messages.unionByName(row.withColumn("created_at", F.current_timestamp()), allowMissingColumns=True)
 
 
+def replied(conversations: DataFrame, replies: DataFrame) -> DataFrame:
+    """The rows of conversations (id, last_message, updated_at, ...) that persons' replies (id, text, at) change, as they are afterwards.
+
+    Blank replies change nothing, nor do replies to no conversation; of several
+    to one the latest is its last message.  The rows are for ``changes.upsert``.
+    """
+    said = replies.where(F.trim("text") != "").groupBy("id").agg(F.max(F.struct("at", F.trim("text").alias("text"))).alias("_said"))
+    rows = conversations.join(said, "id").withColumns({"last_message": F.col("_said.text"), "updated_at": F.greatest("updated_at", F.col("_said.at"))})
+    return rows.select(*conversations.columns)
+
+
 def promote(chunks: DataFrame, source_id: str, path: str) -> bool:
     """Writes a source's chunks all or not at all.
 

@@ -98,9 +98,56 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def outbox(replies: DataFrame, path: str, checkpoint: str, most_chars: int = 4096):
-    """Writes replies, cut to what a message holds, to a table that a sender reads."""
+    """Writes replies, cut to what a message holds, to a table that a sender reads, by epoch.
+
+    A batch that runs again, as after a loss, takes the place of its first run, so no reply is there twice.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("reply", F.substring("reply", 1, most_chars)).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        batch.withColumn("reply", F.substring("reply", 1, most_chars)).write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
 
     return replies.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+BURST = "conversation string, first timestamp, last timestamp, n_messages long, text string"
+_PENDING = "first timestamp, last timestamp, texts array<string>"
+
+
+def _gather(wait: pd.Timedelta):
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        first, last, texts = state.get if state.exists else (None, None, [])
+        first, last, texts = (first and pd.Timestamp(first)), (last and pd.Timestamp(last)), list(texts)
+        out = []
+
+        def done():
+            out.append((key[0], first, last, len(texts), "\n".join(texts)))
+
+        if state.hasTimedOut:
+            done()
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "content"], kind="stable")
+            for ts, content in zip(rows.ts, rows.content, strict=True):
+                if texts and ts - last > wait:
+                    done()
+                    texts = []
+                first, last = (ts, ts) if not texts else (first, max(last, ts))
+                texts.append(content or "")
+            state.update((first.to_pydatetime(), last.to_pydatetime(), texts))
+            due = last.tz_localize("UTC") if last.tzinfo is None else last
+            due = int((due + wait).timestamp() * 1000)
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["conversation", "first", "last", "n_messages", "text"])
+
+    return run
+
+
+def bursts(messages: DataFrame, wait: str = "5 seconds", late: str = "0 seconds") -> DataFrame:
+    """What users write in one go, as one message to answer: once nothing has come from a conversation for a time.
+
+    messages: conversation, content, ts.  Each conversation holds what it waits
+    with as state, and a timer in event time, set anew with each message, gives it out; late is how
+    far messages may come out of order.  What the watermark hasn't passed yet waits.
+    """
+    rows = timed(messages).withWatermark("ts", late)
+    return rows.groupBy("conversation").applyInPandasWithState(_gather(pd.Timedelta(wait)), BURST, _PENDING, "append", "EventTimeTimeout")
