@@ -9,7 +9,7 @@ from ventus.functions import vectors, web
 from ventus.operators import conversation as cv
 from ventus.operators import search
 from ventus.sources import knowledge
-from ventus.sources.tables import read
+from ventus.sources.tables import read, spread
 from ventus.streaming import messages as stream
 
 QUERIES: dict = {}
@@ -26,20 +26,32 @@ def query(name: str, sql: str | None):
     return keep
 
 
-def _sql_text(value: str) -> str:
-    return "'" + value.replace("'", "''") + "'"
+#: What normalising does, written out in SQL apart from the library's own table of rewrites.
+_NORMALIZED = r"""lower({})
+ | wild\s+fires? =>  wildfire
+ | \b(?:usa|united\s+states|u\s*\.?\s*s\s*\.?\b) =>  united states unitedstates
+ | pm2?\s*2\s*\.?\s*5 =>  pm25 pollution
+ | south\s+asia =>  south asia southasia
+ | \b(?:highlight|highlights|summary|summaries|overview|story|stories)\b =>  summary glance
+ | (?:fine\s+)?particulate\s+(?:matter|pollution|concentrations|concentration|levels|level) =>  pm25 pollution
+ | (?:more|greater|higher)\s+than|up\s+from =>  change increase
+ | \b(?:increas(?:e|ed|ing|es)|ris(?:e|es|ing)|rose|grew|growth)\b =>  change increase
+ | \b(?:decreas(?:e|ed|ing|es)|declin(?:e|ed|ing)|fell|falling|lower)\b =>  change decrease
+ | \b(?:trends|trend|chang(?:e|ed|es|ing))\b =>  change
+ | [^a-z0-9%\s] => """
 
 
 def _sql_normalized(column: str) -> str:
-    out = f"lower({column})"
-    for pattern, to in st.REWRITES:
-        out = f"regexp_replace({out}, {_sql_text(pattern)}, {_sql_text(to)}, 'g')"
+    out, *steps = _NORMALIZED.format(column).split("\n | ")
+    for step in steps:
+        pattern, _, to = step.partition(" => ")
+        out = f"regexp_replace({out}, '{pattern}', ' {to.strip()} ', 'g')" if to.strip() else f"regexp_replace({out}, '{pattern}', ' ', 'g')"
     return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
 
 
-@query("normalize_text", f"SELECT item_id, {_sql_normalized('text')} AS text FROM benchmark")
+@query("normalize_text", f"SELECT doc_id, {_sql_normalized('text')} AS text FROM documents")
 def normalize_text(spark, sf_dir):
-    return read(spark, sf_dir, "benchmark").select("item_id", st.normalize_search_text("text").alias("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", st.normalize_search_text("text").alias("text"))
 
 
 @query("number_tokens", r"SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '(\b\d{4}\b|\b\d+(?:[.,]\d+)?%?)', 1), lambda x: replace(x, ',', ''))).list_sort() AS numbers FROM documents")
@@ -53,30 +65,29 @@ def low_quality_filter(spark, sf_dir):
     return read(spark, sf_dir, "documents").where(st.is_usable_chunk("text")).select("doc_id")
 
 
-_plain = f"SELECT item_id, unnest(string_split({_sql_normalized('text')}, ' ')) AS token FROM benchmark"
+_plain = f"SELECT doc_id, unnest(string_split({_sql_normalized('text')}, ' ')) AS token FROM documents"
 
 
 def _plain_tokens(spark, sf_dir):
-    return read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split(st.normalize_search_text("text"), " ")).alias("token"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(st.normalize_search_text("text"), " ")).alias("token"))
 
 
-@query("document_frequency", f"SELECT token, count(DISTINCT item_id) AS df FROM ({_plain}) GROUP BY token")
+@query("document_frequency", f"SELECT token, count(DISTINCT doc_id) AS df FROM ({_plain}) GROUP BY token")
 def document_frequency(spark, sf_dir):
     return _plain_tokens(spark, sf_dir).distinct().groupBy("token").agg(F.count("*").alias("df"))
 
 
-@query("term_frequency", f"SELECT item_id, token, count(*) AS tf FROM ({_plain}) GROUP BY item_id, token")
+@query("term_frequency", f"SELECT doc_id, token, count(*) AS tf FROM ({_plain}) GROUP BY doc_id, token")
 def term_frequency(spark, sf_dir):
-    return _plain_tokens(spark, sf_dir).groupBy("item_id", "token").agg(F.count("*").alias("tf"))
+    return _plain_tokens(spark, sf_dir).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
 
 
-@query("token_overlap", f"SELECT item_id, round(len(list_intersect(a, b)) / len(a), 6) AS overlap FROM (SELECT x.item_id, list_distinct(string_split({_sql_normalized('x.text')}, ' ')) AS a, string_split({_sql_normalized('y.text')}, ' ') AS b FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id - 1)")
+@query("token_overlap", f"WITH n AS (SELECT doc_id, string_split({_sql_normalized('text')}, ' ') AS t FROM documents WHERE text IS NOT NULL) SELECT x.doc_id, round(len(list_intersect(list_distinct(x.t), y.t)) / len(list_distinct(x.t)), 6) AS overlap FROM n x JOIN n y ON y.doc_id = x.doc_id - 1")
 def token_overlap(spark, sf_dir):
-    """Of each item with the item before it."""
-    tokens = lambda c: F.split(st.normalize_search_text(c), " ")
-    items = read(spark, sf_dir, "benchmark").select("item_id", "text")
-    before = items.select((F.col("item_id") + 1).alias("item_id"), F.col("text").alias("before"))
-    return items.join(before, "item_id").select("item_id", F.round(st.token_overlap(tokens(F.col("text")), tokens(F.col("before"))), 6).alias("overlap"))
+    """Of each document with the one before it."""
+    docs = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split(st.normalize_search_text("text"), " ").alias("t"))
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("t").alias("before"))
+    return docs.join(before, "doc_id").select("doc_id", F.round(st.token_overlap(F.col("t"), F.col("before")), 6).alias("overlap"))
 
 
 @query("chunk_exact_dedup", r"SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))))")
@@ -105,7 +116,7 @@ def chunk_counts(spark, sf_dir):
 
 @query("search_tokens", None)
 def search_tokens(spark, sf_dir):
-    return read(spark, sf_dir, "benchmark").select("item_id", st.search_tokens("text").alias("tokens"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", st.search_tokens("text").alias("tokens"))
 
 
 def _chunks(spark, sf_dir):
@@ -118,27 +129,19 @@ def rank_chunks(spark, sf_dir):
     return search.rank_chunks(_chunks(spark, sf_dir), "therean onwhst thinghe")
 
 
-_sentences = r"SELECT item_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM benchmark"
-
-
-@query("sentence_windows", f"SELECT item_id, CAST(p AS INTEGER) AS position, s[p + 1] AS \"window\", 1 AS n_sentences FROM (SELECT item_id, s, unnest(range(0, len(s))) AS p FROM ({_sentences})) UNION ALL SELECT item_id, CAST(p AS INTEGER), s[p + 1] || ' ' || s[p + 2], 2 FROM (SELECT item_id, s, unnest(range(0, len(s) - 1)) AS p FROM ({_sentences}) WHERE len(s) > 1)")
-def sentence_windows(spark, sf_dir):
-    return search.sentence_windows(read(spark, sf_dir, "benchmark"), "item_id", "text")
-
-
 _fnv = "list_reduce(list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296, 2166136261)"
 
 
 @query(
     "hash_embedding",
-    rf"""WITH t AS (SELECT item_id, unnest(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s.-]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: length(x) > 2)) AS token FROM benchmark),
- w AS (SELECT item_id, {_fnv.format("token")} % 384 AS bucket, 1.0 AS w FROM t UNION ALL SELECT item_id, {_fnv.format("left(token, 5)")} % 384, 0.35 FROM t WHERE length(token) > 5),
- s AS (SELECT item_id, bucket, sum(w) AS w FROM w GROUP BY ALL)
- SELECT item_id, CAST(bucket AS BIGINT) AS bucket, round(CAST(w AS DOUBLE) / sqrt(sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE)) OVER (PARTITION BY item_id)), 4) AS weight FROM s""",
+    rf"""WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s.-]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: length(x) > 2)) AS token FROM documents),
+ w AS (SELECT doc_id, {_fnv.format("token")} % 384 AS bucket, 1.0 AS w FROM t UNION ALL SELECT doc_id, {_fnv.format("left(token, 5)")} % 384, 0.35 FROM t WHERE length(token) > 5),
+ s AS (SELECT doc_id, bucket, sum(w) AS w FROM w GROUP BY ALL)
+ SELECT doc_id, CAST(bucket AS BIGINT) AS bucket, round(CAST(CAST(CAST(w AS DOUBLE) / sqrt(sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE)) OVER (PARTITION BY doc_id)) AS REAL) AS DOUBLE), 4) AS weight FROM s""",
 )
 def hash_embedding(spark, sf_dir):
-    rows = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(vectors.hash_embedding("text")).alias("bucket", "weight"))
-    return rows.where("weight <> 0").select("item_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("weight").cast("double"), 4).alias("weight"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(vectors.hash_embedding("text")).alias("bucket", "weight"))
+    return rows.where("weight <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("weight").cast("double"), 4).alias("weight"))
 
 
 @query("vector_top_k", "SELECT vec_id, round(s, 5) AS similarity FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS s FROM embeddings) WHERE s >= 0.1 ORDER BY s DESC, vec_id LIMIT 5")

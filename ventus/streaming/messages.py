@@ -92,7 +92,7 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
         query.awaitTermination()
     finally:
         query.stop()
-    rows = stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+    rows = stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows").select(*stream.columns)
     rows.createOrReplaceTempView(name)
     return rows
 
@@ -137,7 +137,8 @@ def _gather(wait: pd.Timedelta):
             due = last.tz_localize("UTC") if last.tzinfo is None else last
             due = int((due + wait).timestamp() * 1000)
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["conversation", "first", "last", "n_messages", "text"])
+        if out:
+            yield pd.DataFrame(out, columns=["conversation", "first", "last", "n_messages", "text"])
 
     return run
 
