@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ventus.functions import search_text as st
-from ventus.operators import evidence, search
+from ventus.functions import web
+from ventus.operators import evidence, search, tables_in_text
 from ventus.plans import question as q
 from ventus.sources import changes, store
 from ventus.streaming import messages as stream
@@ -170,3 +171,29 @@ def test_bursts_wait_for_silence(spark, tmp_path):
         part = (own.t.diff() > 25).cumsum()
         want += [(c, len(x), "\n".join(x.m)) for _, x in own.groupby(part) if x.t.max() + 25 < mark]
     assert got == sorted(want) and len(want) > 10
+
+
+TABLE = "Intro of 2024. Table 3.1: Impacts on life expectancy in select countries. Gains by 2024 (years). Bangladesh 5.4 54 2.1. Pakistan 3.9 51 1.5. New Zealand 1,203.5 -46 1.3; Nepal 3.2 55 1.3. Total 12. Then Table 4: Nothing much. Alpha 1. Beta 2. Table 5: Two columns.\nAnna 1 2\nBert of York 3 4\nCarl < 5 6%\n"
+
+
+def test_tables_in_text(spark):
+    rows = spark.createDataFrame([(1, TABLE), (2, None), (3, ""), (4, "Table of contents. Oslo 1 2. Rome 3 4. Bonn 5 6.")], "id int, text string")
+    found = tables_in_text.tables(rows, "id", "text")
+    got = {}
+    for r in found.orderBy("section", "position").collect():
+        got.setdefault((r.id, r.number, r.unit), []).append((r.label, r["values"]))
+    assert got == {
+        (1, "3.1", "years"): [("Bangladesh", [5.4, 54, 2.1]), ("Pakistan", [3.9, 51, 1.5]), ("New Zealand", [1203.5, -46, 1.3]), ("Nepal", [3.2, 55, 1.3])],
+        (1, "5", ""): [("Anna", [1, 2]), ("Bert of York", [3, 4]), ("Carl", [5, 6])],
+    }
+    answers = [r.answer for r in tables_in_text.told(tables_in_text.ranked(found.where("label <> 'New Zealand'"), "id", k=2), "id").orderBy("section").collect()]
+    assert answers[0] == 'Of those listed in "Impacts on life expectancy in select countries", Bangladesh comes first with 5.4 years, followed by Pakistan (3.9 years).'
+    assert tables_in_text.ranked(found, "id", 1, 1, lowest=True).where("number = '3.1'").first().label == "New Zealand"
+
+
+def test_private_addresses_agree_with_plain_ones(spark):
+    rng = random.Random(7)
+    rows = [".".join(str(rng.choice([0, 1, 10, 100, 127, 169, 172, 192, 198, 224, 255, rng.randrange(256)])) for _ in range(4)) for _ in range(300)]
+    rows += ["::1", "::", "fe80::1", "FC00::2", "2001:db8::5", "2606:4700::1", "::ffff:8.8.8.8", "::FFFF:10.0.0.1", "::ffff:::ffff:1.1.1.1", "1.2.3", "1.2.3.4.5", "01.2.3.4", "256.1.1.1", " 8.8.8.8", "", None, "host", "8.8.8.8:80", "9" * 40 + ".1.1.1"]
+    got = spark.createDataFrame([(x,) for x in rows], "a string").select("a", web.private_address("a").alias("p")).collect()
+    assert [r.p for r in got] == [web.is_private_address(x or "") for x in rows]

@@ -1,4 +1,4 @@
-"""What is read from questions: a table of questions made from suppliers and nations, and what each must be read as.
+"""What is read from questions: a table of questions made from customers and nations, and what each must be read as.
 
 The SQL holds the expected readings by the kind of question, so it shares
 nothing with the patterns that read them.
@@ -33,6 +33,37 @@ KINDS = (
     ("Maximum PM2.5 of {p} since {y}", 1, ("peak_value", None, 1, "0", False, "who", None, None, True, False, None)),
     ("Hello", 0, ("direct", None, 0, "0", False, "who", None, None, False, False, "greeting")),
 )
+
+
+def _combined() -> tuple:
+    """Wordings made of parts, where each part alone decides a field."""
+    out = []
+    for start in ("Compare {p} and Bhutan PM2.5", "{p} versus Bhutan PM2.5", "{p} vs Bhutan PM2.5", "Show the difference between {p} and Bhutan PM2.5"):
+        for period, n_years in (("between 2010 and 2020", 2), ("from 2010 through 2020", 2), ("for the last decade", 0), ("over the past ten years", 0), ("during the previous 3 years", 0), ("for the last two decades", 0)):
+            out.append((f"{start} {period}", 2, ("comparison", None, n_years, "0", False, "who", None, None, True, False, None)))
+    words = {
+        "gt": ("more than", "greater than", "higher than", "above", "over", "exceeding", "in excess of", ">"), "gte": ("at least", "no less than", "more than or equal to", "minimum of", ">="),
+        "lt": ("less than", "lower than", "below", "under", "<"), "lte": ("at most", "no more than", "less than or equal to", "maximum of", "<="), "eq": ("equal to", "exactly", "="),
+    }
+    for operator, texts in words.items():
+        for text in texts:
+            out.append((f"List countries with PM2.5 {text} {{n}} in {{y}}", 0, ("threshold", "country", 1, "0", False, "who", operator, "n", True, False, None)))
+            out.append((f"Which districts of {{p}} have a population {text} {{n}} thousand?", 1, ("threshold", "district", 0, "0", False, "who", operator, "n * 1000", True, False, None)))
+    for places, level in (("states", "state"), ("districts", "district"), ("provinces", "state")):
+        for text in ("Top 5 polluted {} in {{p}} in {{y}}", "Top five most polluted {} in {{p}} for {{y}}", "Show 5 most polluted {} of {{p}} during {{y}}", "List the highest five {} in {{p}} by PM2.5 in {{y}}"):
+            out.append((text.format(places), 1, ("ranking", level, 1, "5", False, "who", None, None, True, False, None)))
+    for name in ("national standard", "national std", "national limit", "nat std", "nat-standard"):
+        out.append((f"Life loss of {{p}} in {{y}} by {name}", 1, ("direct", None, 1, "0", False, "national", None, None, True, False, None)))
+    for text in ("Trend of PM2.5 in {p}", "Has pollution of {p} changed?", "Did pollution in {p} increase?", "Pollution over time in {p}"):
+        out.append((text, 1, ("trend", None, 0, "0", False, "who", None, None, True, False, None)))
+    for text in ("What was the PM2.5 of {p} in {y}?", "PM 2.5 {p} {y}", "How high was pollution in {p} during {y}", "Life expectancy loss of {p} in {y}"):
+        out.append((text, 1, ("direct", None, 1, "0", False, "who", None, None, True, False, None)))
+    for text, talk in (("Hey", "greeting"), ("Good morning!", "greeting"), ("thanks a lot", "gratitude"), ("Thx", "gratitude"), ("What can you do?", "identity")):
+        out.append((text, 0, ("direct", None, 0, "0", False, "who", None, None, False, False, talk)))
+    return tuple(out)
+
+
+KINDS += _combined()
 FIELDS = ("intent", "level", "n_years", "asked", "global_", "benchmark", "operator", "threshold", "about_data", "leans", "talk")
 SCHEMA = "intent string, level string, n_years int, asked int, global_ boolean, benchmark string, operator string, threshold double, about_data boolean, leans boolean, talk string"
 
@@ -50,7 +81,7 @@ def _sql() -> str:
         whens = " ".join(f"WHEN {k} THEN {('NULL' if v is None else v) if raw else _literal(v)}" for k, v in enumerate(of[f]))
         kind = {"int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}[types[f]]
         cases.append(f"CAST(CASE kind {whens} END AS {kind}) AS {f}")
-    return f"SELECT id, {', '.join(cases)} FROM (SELECT s_suppkey AS id, s_suppkey % {len(KINDS)} AS kind, 2 + s_suppkey % 10 AS n FROM supplier)"
+    return f"SELECT id, {', '.join(cases)} FROM (SELECT c_custkey AS id, c_custkey % {len(KINDS)} AS kind, 2 + c_custkey % 10 AS n FROM customer)"
 
 
 def _read(table: pd.DataFrame) -> pd.DataFrame:
@@ -62,14 +93,14 @@ def _read(table: pd.DataFrame) -> pd.DataFrame:
 
 
 def questions_read(spark, sf_dir):
-    supplier, nation = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")  # nation has 25 rows at every scale
-    k = F.col("s_suppkey")
+    customer, nation = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")  # nation has 25 rows at every scale
+    k = F.col("c_custkey")
     texts, places = F.array(*[F.lit(t) for t, _, _ in KINDS]), F.array(*[F.lit(n) for _, n, _ in KINDS])
     kind = (k % len(KINDS)).cast("int")
     text = F.get(texts, kind)
     for mark, value in (("{n}", (2 + k % 10).cast("string")), ("{y}", (2005 + k % 18).cast("string")), ("{p}", F.initcap("n_name"))):
         text = F.replace(text, F.lit(mark), value)
-    asked = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(k.alias("id"), text.alias("text"), F.get(places, kind).alias("places"))
+    asked = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(k.alias("id"), text.alias("text"), F.get(places, kind).alias("places"))
 
     def read_all(batches):
         for batch in batches:

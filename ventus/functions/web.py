@@ -39,6 +39,11 @@ def is_skipped_path(path: Column) -> Column:
     return path.rlike(SKIPPED_PATH)
 
 
+# Networks that are not public.
+PRIVATE_IPV4 = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "100.64.0.0/10", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "198.18.0.0/15", "224.0.0.0/3")
+PRIVATE_IPV6 = ("::/128", "::1/128", "fc00::/7", "fe80::/10", "2001:db8::/32")
+
+
 def is_private_address(address: str) -> bool:
     """Addresses that no crawl may reach; whatever is no address counts as one."""
     address = address.lower()
@@ -49,15 +54,33 @@ def is_private_address(address: str) -> bool:
     except ValueError:
         return True
     if ip.version == 4:
-        nets = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "100.64.0.0/10", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "198.18.0.0/15", "224.0.0.0/3")
+        nets = PRIVATE_IPV4
     else:
-        nets = ("::/128", "::1/128", "fc00::/7", "fe80::/10", "2001:db8::/32")
+        nets = PRIVATE_IPV6
     return any(ip in ipaddress.ip_network(n) for n in nets)
 
 
+# First and last number of the IPv4 ranges that are not public, as is_private_address has them.
+PRIVATE_RANGES = tuple((int(n[0]), int(n[-1])) for n in map(ipaddress.ip_network, PRIVATE_IPV4))
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+
+
 @F.pandas_udf(T.BooleanType())
-def private_address(addresses: pd.Series) -> pd.Series:
-    return addresses.map(lambda x: is_private_address(x or ""))
+def _private(addresses: pd.Series) -> pd.Series:
+    return addresses.map(is_private_address, na_action="ignore")
+
+
+def private_address(address: Column | str) -> Column:
+    """is_private_address as a column: IPv4 by arithmetic, and only addresses with colons, which are rare, go to Python."""
+    a = F.lower(F.coalesce(F.col(address) if isinstance(address, str) else address, F.lit("")))
+    plain = F.regexp_replace(a, r"^(?:::ffff:)+", "")
+    octets = F.split(plain, r"\.")
+    number = sum((F.get(octets, F.lit(k)).try_cast("long") * (1 << 8 * (3 - k)) for k in range(1, 4)), F.get(octets, F.lit(0)).try_cast("long") * (1 << 24))
+    inside = F.lit(False)
+    for first, last in PRIVATE_RANGES:
+        inside = inside | number.between(first, last)
+    is_ipv4, is_ipv6 = plain.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), plain.contains(":")
+    return F.when(is_ipv4, inside).otherwise(F.coalesce(_private(F.when(~is_ipv4 & is_ipv6, plain)), F.lit(True)))
 
 
 class _Page(HTMLParser):

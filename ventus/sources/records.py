@@ -120,10 +120,14 @@ def records_of_text(chunks: DataFrame, column: str = "content") -> DataFrame:
     return lines.where("size(_last) > 0").withColumn("fields", F.expr("map_from_arrays(_last.k, _last.v)")).drop("_block", "_lines", "_last")
 
 
-def distinct_records(records: DataFrame, source_col: str = "source_id", fields_col: str = "fields") -> DataFrame:
-    """Each record of a source once, whatever the order of its keys."""
+def distinct_records(records: DataFrame, source_col: str = "source_id", fields_col: str = "fields", order: list[str] | None = None) -> DataFrame:
+    """Each record of a source once, whatever the order of its keys: the first by order; without order any, as all columns are then alike."""
     key = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields_col))))
-    return records.withColumn("_key", key).dropDuplicates([source_col, "_key"]).drop("_key")
+    keyed = records.withColumn("_key", key)
+    if order is None:
+        return keyed.dropDuplicates([source_col, "_key"]).drop("_key")
+    first = F.min_by(F.struct(*records.columns), F.struct(*order)).alias("_first")
+    return keyed.groupBy(F.col(source_col).alias("_source_key"), "_key").agg(first).select("_first.*")
 
 
 def latest_sources(sources: DataFrame) -> DataFrame:
@@ -186,7 +190,7 @@ def load_facts(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     level = F.concat(F.lit("gadm"), F.coalesce(named("title"), named("file_path"), deepest))
     chosen = latest_sources(there.join(first, "id", "left").withColumn("level", level).drop("_keys"))
     rows = chunks.join(chosen.select(F.col("id").alias("source_id"), "level", "title", F.col("seq").alias("_source")), "source_id").select("source_id", "level", "title", "_source", "chunk_index", F.posexplode("records").alias("_at", "fields"))
-    rows = distinct_records(rows.where("fields is not null and size(fields) > 0"))
+    rows = distinct_records(rows.where("fields is not null and size(fields) > 0"), order=["chunk_index", "_at"])
     spellings: dict[str, list[str]] = {}
     for header in columns_of(rows):
         spellings.setdefault(normalize_column(header), []).append(header)
