@@ -494,6 +494,25 @@ def test_mixing(spark, docs, sf_dir, odd):
     assert mixing.mix(odd.limit(0), labels, targets, "rule").count() == 0
 
 
+def test_membership_is_soft_where_classes_overlap(spark):
+    """Two sources that use the same words, each some more often: documents belong to both in part, and targets are met in expectation."""
+    rng = np.random.default_rng(12)
+    words = np.array([f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)])
+    weights = {"web": np.linspace(1.3, 3, 60), "book": np.linspace(3, 1.3, 60)}
+    rows = [(k, " ".join(rng.choice(words, int(rng.integers(5, 20)), p=w / w.sum())), name) for k in range(1200) for name in [("web", "book")[k % 3 == 0]] for w in [weights[name]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = {"web": 0.55, "book": 0.45}
+    got = mixing.mix(docs, docs.select("doc_id").where("doc_id % 2 = 0"), targets, "source").toPandas()
+    p = got.p_book.to_numpy()
+    assert ((p > 0.1) & (p < 0.9)).mean() > 0.5
+    truth = np.array([r[2] == "book" for r in sorted(rows)])[got.doc_id]
+    for low in (0.1, 0.3, 0.5, 0.7):  # of documents of like posterior the like share is of the class
+        some = (p >= low) & (p < low + 0.2)
+        assert some.sum() < 50 or abs(truth[some].mean() - p[some].mean()) < 0.15
+    weight = got.n_tokens * got.rate
+    assert got.rate.min() >= 0 and abs((weight * p).sum() / weight.sum() - 0.45) < 0.01
+
+
 def test_posteriors_are_those_of_brute_force(spark, docs, odd, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     domains, buckets = ["de", "en", "es", "fr"], 64
@@ -514,7 +533,7 @@ def test_posteriors_are_those_of_brute_force(spark, docs, odd, sf_dir):
         n[domains.index(lang)] += 1
         if grown:
             np.add.at(counts[domains.index(lang)], [b for w in words(t) for b in bucket(w)], 1)
-    weights = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * buckets))
+    weights = np.log((counts + 64 * (counts.sum(axis=0) + 1 / buckets) / (counts.sum() + 1)) / (counts.sum(axis=1, keepdims=True) + 64))
     assert np.allclose([model.weights[d] for d in domains], weights) and model.temperature in mixing.TEMPERATURES
     for table in (docs, odd):
         got = {r.doc_id: (r.n, list(r.p)) for r in model.posteriors(table).withColumnRenamed("n_tokens", "n").collect()}

@@ -110,10 +110,11 @@ class Classifier:
         return scored.select(*keys, F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
 
 
-def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], domain_col: str, max_rows: int = 6000, buckets: int = BUCKETS, smooth: float = 0.5) -> Classifier:
+def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], domain_col: str, max_rows: int = 6000, buckets: int = BUCKETS, smooth: float = 64.0) -> Classifier:
     """Learns from the documents that labelled names by doc_id, at most max_rows of them, chosen by hash of the id.
 
-    Two thirds of them give the weights, the others the temperature.
+    Two thirds of them give the weights, the others the temperature; smooth is
+    how many words the shares of all domains count for.
     """
     ids = labelled.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain_col).alias("domain"), _text().alias("t")).where(F.col("domain").isin(domains))
@@ -127,10 +128,12 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], domain_col:
     n = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
     total = sum(n.values())
     priors = np.log([max(n.get(d, 0), 1e-9) / max(total, 1) for d in domains])
+    # shares are smoothed towards those of all domains, so that a domain of few texts isn't taken to use every word less
+    pooled = (counts.sum(axis=0) + 1 / buckets) / (counts.sum() + 1)
     found = Classifier(domains, priors, {}, 1.0, buckets)
     for k, d in enumerate(domains):
         if counts[k].sum():
-            found.weights[d] = np.log((counts[k] + smooth) / (counts[k].sum() + smooth * buckets))
+            found.weights[d] = np.log((counts[k] + smooth * pooled) / (counts[k].sum() + smooth))
     if not found.weights:
         return found
     names = {d: f"s{domains.index(d)}" for d in found.weights}
