@@ -69,13 +69,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
 
 
-def canonical(records: DataFrame, source_file: str = "", level: str | None = None, seq: str | None = None) -> DataFrame:
+def canonical(records: DataFrame, source_file: str = "", level: str | None = None, seq: str | None = None, level_col: str | None = None) -> DataFrame:
     """The fact table of records: aliases, numbers, years, wide columns made long, unusable rows left out.
 
     seq names a column with the order of the records; without it rows take the
-    order in which they are read.
+    order in which they are read.  level_col names one with each record's level.
     """
-    by_name = {normalize_column(c): c for c in records.columns if c != seq}  # of equal names the last
+    by_name = {normalize_column(c): c for c in records.columns if c not in (seq, level_col)}  # of equal names the last
     text = lambda n: F.nullif(F.trim(F.col(f"`{by_name[n]}`").cast("string")), F.lit(""))
 
     def first(field: str):
@@ -84,7 +84,7 @@ def canonical(records: DataFrame, source_file: str = "", level: str | None = Non
 
     base = records.select(
         *[clean_place(first(p)).alias(p) for p in PLACES], parse_year(first("year")).alias("year"), *[parse_numeric(first(n)).alias(n) for n in NUMBERS],
-        F.lit(level or infer_level([], source_file)).cast("string").alias("csv_level"), F.lit(source_file).alias("source_file"),
+        (F.col(f"`{level_col}`") if level_col else F.lit(level or infer_level([], source_file)).cast("string")).alias("csv_level"), F.lit(source_file).alias("source_file"),
         (F.col(f"`{seq}`").cast("long") if seq else F.monotonically_increasing_id()).alias("seq"), *[parse_numeric(text(n)).alias(f"_{n}") for n in by_name if any(re.fullmatch(p, n) for p in _by_year.values())],
     )
     wide = {f: {int(m[1]): n for n in by_name if (m := re.fullmatch(p, n))} for f, p in _by_year.items()}
@@ -196,10 +196,5 @@ def load_facts(sources: DataFrame, chunks: DataFrame) -> DataFrame:
         spellings.setdefault(normalize_column(header), []).append(header)
     order = F.col("_source") * (1 << 40) + F.col("chunk_index") * (1 << 20) + F.col("_at")
     # of spellings that mean one column, a record's last counts
-    wide = rows.select("level", order.alias("_seq"), *[F.coalesce(*[F.element_at("fields", F.lit(c)) for c in reversed(found)]).alias(name) for name, found in spellings.items() if name])
-    headers = [c for c in spellings if c]
-    facts = None
-    for name in ("gadm0", "gadm1", "gadm2", None):
-        part = canonical(wide.where(F.col("level") == name if name else F.col("level").isNull()).select(*headers, "_seq"), "", name, "_seq")
-        facts = part if facts is None else facts.unionByName(part)
-    return facts
+    wide = rows.select(F.col("level").alias("_level"), order.alias("_seq"), *[F.coalesce(*[F.element_at("fields", F.lit(c)) for c in reversed(found)]).alias(name) for name, found in spellings.items() if name])
+    return canonical(wide, seq="_seq", level_col="_level")
