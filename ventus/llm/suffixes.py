@@ -68,25 +68,29 @@ def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None)
     if not n:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
     wanted = np.ones(n, dtype=bool) if wanted is None else wanted
-    rounds = [8 << k for k in range(64) if 8 << k < depth]
+    # bytes are numbered from 1 in their order, and 0 stands for the end; as many of them as fit into a number with a position are sorted at once
+    number = np.cumsum(np.bincount(data, minlength=256) > 0)
+    bits, place = int(number[-1]).bit_length(), n.bit_length()
+    at_once = min((63 - place) // bits, depth)
+    rounds = []
+    while (h := at_once << len(rounds)) < depth:
+        rounds.append(h)
     needed = [wanted]
     for h in rounds[:0:-1]:  # to tell suffixes apart up to 2h, those h further on must be told apart up to h
         more = needed[0].copy()
         more[h:] |= needed[0][:-h]
         needed.insert(0, more)
-    head = words_at(data)
-    if data.all():
-        sa = np.argsort(head)
-        key = head[sa]
-        new = np.ones(n, dtype=bool)
-        new[1:] = key[1:] != key[:-1]
-    else:  # the length left breaks ties between zero bytes and the end
-        left = np.minimum(n - np.arange(n), 8)
-        sa = np.lexsort((left, head))
-        new = np.ones(n, dtype=bool)
-        new[1:] = (head[sa][1:] != head[sa][:-1]) | (left[sa][1:] != left[sa][:-1])
+    key = _numbered(number[data], at_once, bits)
+    key <<= place
+    key |= np.arange(n)
+    key.sort()  # sorting numbers that hold their position is several times faster than sorting positions
+    sa, key = key & ((1 << place) - 1), key >> place
+    new = np.ones(n, dtype=bool)
+    new[1:] = key[1:] != key[:-1]
     if not rounds:
-        return sa, ~new
+        sa, key = sa[wanted[sa]], key[wanted[sa]]
+        return sa, np.concatenate(([False], key[1:] == key[:-1]))[: len(sa)]
+    width = (n + 1).bit_length()
     rank = np.full(n + 2 * depth + 16, -1, dtype=np.int32)
     first = np.cumsum(new, dtype=np.int32)
     rank[sa] = first
@@ -96,14 +100,15 @@ def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None)
             sa, first = sa[keep], first[keep]
             new = np.ones(len(sa), dtype=bool)
             new[1:] = first[1:] != first[:-1]
-        key = (first.astype(np.int64) << 32) | (rank[sa + h] + 1)
+        key = (first.astype(np.int64) << width) | (rank[sa + h] + 1)
         at = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in groups that are still tied
-        if 2 * len(at) < len(sa):
+        if len(at) and 3 * width <= 63:
+            own = key[at] << width | sa[at]
+            own.sort()
+            sa[at], key[at] = own & ((1 << width) - 1), own >> width
+        elif len(at):
             order = at[np.argsort(key[at])]
             sa[at], key[at] = sa[order], key[order]
-        else:
-            order = np.argsort(key)
-            sa, key = sa[order], key[order]
         new = np.ones(len(sa), dtype=bool)
         new[1:] = key[1:] != key[:-1]
         first = np.cumsum(new, dtype=np.int32)
@@ -111,6 +116,24 @@ def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None)
     return sa, ~new
 
 
+def _numbered(symbols: np.ndarray, count: int, bits: int) -> np.ndarray:
+    """The count symbols from each position as one number, the first one highest; zeros follow the end."""
+    n = len(symbols)
+    run, have, out, taken = symbols.astype(np.int64), 1, np.zeros(n, dtype=np.int64), 0
+    while count:
+        rest = max(n - have, 0)
+        if count & 1:  # runs of the length of each binary digit of count, shortest first
+            longer = run << (bits * taken)
+            longer[:rest] |= out[have:]
+            out, taken = longer, taken + have
+        if count > 1:
+            longer = run << (bits * have)
+            longer[:rest] |= run[have:]
+            run, have = longer, have * 2
+        count >>= 1
+    return out
+
+
 def common_prefixes(data: np.ndarray, sa: np.ndarray, tied: np.ndarray, depth: int, stride: int = 16) -> np.ndarray:
     """For each place of sa the bytes its suffix has in common with the one before, up to depth; those tied have them all.
 
