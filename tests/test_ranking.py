@@ -53,7 +53,10 @@ def test_near_tokens_are_those_of_all_comparisons(spark):
     got = nearterms.near_pairs(column(asked, "asked"), nearterms.term_keys(column(terms, "token")))
     pairs = [(r.asked, r.token) for r in got.collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, t) for a in asked for t in terms if same(a, t)}
-    assert sum(len(a) > nearterms.LONG and a != t for a, t in pairs) > 30
+    assert sum(len(a) > 16 and a != t for a, t in pairs) > 30
+    few = asked[::9]
+    some = nearterms.near_some(few, spark.createDataFrame([(t,) for t in terms], "token string"))
+    assert sorted((r.asked, r.token) for r in some.collect()) == sorted(p for p in pairs if p[0] in few)
     assert nearterms.near_pairs(column(asked, "asked").limit(0), nearterms.term_keys(column(terms, "token"))).count() == 0
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ipaddress
 import re
 from collections.abc import Iterator
+from functools import reduce
 from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -76,9 +77,8 @@ def private_address(address: Column | str) -> Column:
     plain = F.regexp_replace(a, r"^(?:::ffff:)+", "")
     octets = F.split(plain, r"\.")
     number = sum((F.get(octets, F.lit(k)).try_cast("long") * (1 << 8 * (3 - k)) for k in range(1, 4)), F.get(octets, F.lit(0)).try_cast("long") * (1 << 24))
-    inside = F.lit(False)
-    for first, last in PRIVATE_RANGES:
-        inside = inside | number.between(first, last)
+    ranges = lambda n: reduce(Column.__or__, [n.between(first, last) for first, last in PRIVATE_RANGES])
+    inside = F.transform(F.array(number), ranges)[0]  # the number is worked out once
     is_ipv4, is_ipv6 = plain.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), plain.contains(":")
     return F.when(is_ipv4, inside).otherwise(F.coalesce(_private(F.when(~is_ipv4 & is_ipv6, plain)), F.lit(True)))
 
