@@ -153,6 +153,8 @@ def test_stored_postings_give_the_same_rows(spark, chunks, tmp_path, monkeypatch
     index.write(spark.createDataFrame(new, SCHEMA))  # replaces one source, with other frequencies
     check([c for c in chunks if c[5] != "s1"] + new)
     monkeypatch.setattr("ventus.operators.postings.NAMED", 3)  # too many tokens to name
+    monkeypatch.setattr("ventus.operators.postings.BROADCAST_WORDS", 0)
+    index.write(spark.createDataFrame([c for c in chunks if c[5] == "s2"], SCHEMA))
     check([c for c in chunks if c[5] != "s1"] + new)
 
 
