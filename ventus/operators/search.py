@@ -90,16 +90,6 @@ def top_k_vectors(vectors: DataFrame, query: list[float], k: int = 5, least: flo
     return similar.where(F.col("similarity") >= least).orderBy(F.col("similarity").desc(), id_col).limit(k)
 
 
-def sentence_windows(snippets: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Each sentence, and each with the one after it."""
-    sentences = F.filter(F.transform(F.split(F.col(text_col), r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: s != "")
-    rows = snippets.select(id_col, sentences.alias("_s"))
-    one = rows.select(id_col, F.posexplode("_s").alias("position", "window"), F.lit(1).alias("n_sentences"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("_s") - 1), lambda i: F.concat_ws(" ", F.element_at("_s", i), F.element_at("_s", i + 1)))
-    two = rows.where(F.size("_s") > 1).select(id_col, F.posexplode(pairs).alias("position", "window"), F.lit(2).alias("n_sentences"))
-    return one.unionByName(two)
-
-
 def answer_windows(snippets: DataFrame, query: str, id_col: str, text_col: str, k: int = 2) -> DataFrame:
     """The k windows that are the best evidence for a question; see ``evidence``."""
     question = snippets.sparkSession.createDataFrame([(0, query)], "question_id int, question string")
