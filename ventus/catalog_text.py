@@ -9,7 +9,7 @@ from ventus.functions import vectors, web
 from ventus.operators import conversation as cv
 from ventus.operators import search
 from ventus.sources import knowledge
-from ventus.sources.tables import read, spread
+from ventus.sources.tables import read, shared_folder, spread
 from ventus.streaming import messages as stream
 
 QUERIES: dict = {}
@@ -79,15 +79,20 @@ def document_frequency(spark, sf_dir):
 
 @query("term_frequency", f"SELECT doc_id, token, count(*) AS tf FROM ({_plain}) GROUP BY doc_id, token")
 def term_frequency(spark, sf_dir):
-    return _plain_tokens(spark, sf_dir).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+    """Texts go where their rows are counted, so no row a word is exchanged."""
+    texts = read(spark, sf_dir, "documents").select("doc_id", st.normalize_search_text("text").alias("t")).repartition("doc_id")
+    return texts.select("doc_id", F.explode(F.split("t", " ")).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
 
 
 @query("token_overlap", f"WITH n AS (SELECT doc_id, string_split({_sql_normalized('text')}, ' ') AS t FROM documents WHERE text IS NOT NULL) SELECT x.doc_id, round(len(list_intersect(list_distinct(x.t), y.t)) / len(list_distinct(x.t)), 6) AS overlap FROM n x JOIN n y ON y.doc_id = x.doc_id - 1")
 def token_overlap(spark, sf_dir):
-    """Of each document with the one before it."""
-    docs = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split(st.normalize_search_text("text"), " ").alias("t"))
+    """Of each document with the one before it; each is normalised once, and exchanged as a text."""
+    folder = shared_folder(spark)
+    docs = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", st.normalize_search_text("text").alias("t"))
+    docs.write.parquet(f"{folder}/normalized")
+    docs = spark.read.schema(docs.schema).parquet(f"{folder}/normalized")
     before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("t").alias("before"))
-    return docs.join(before, "doc_id").select("doc_id", F.round(st.token_overlap(F.col("t"), F.col("before")), 6).alias("overlap"))
+    return docs.join(before, "doc_id").select("doc_id", F.round(st.token_overlap(F.split("t", " "), F.split("before", " ")), 6).alias("overlap"))
 
 
 @query("chunk_exact_dedup", r"SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))))")
@@ -140,8 +145,8 @@ _fnv = "list_reduce(list_transform(string_split({}, ''), lambda c: CAST(ascii(c)
  SELECT doc_id, CAST(bucket AS BIGINT) AS bucket, round(CAST(CAST(CAST(w AS DOUBLE) / sqrt(sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE)) OVER (PARTITION BY doc_id)) AS REAL) AS DOUBLE), 4) AS weight FROM s""",
 )
 def hash_embedding(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(vectors.hash_embedding("text")).alias("bucket", "weight"))
-    return rows.where("weight <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("weight").cast("double"), 4).alias("weight"))
+    rows = vectors.hash_weights(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select("doc_id", "bucket", F.round(F.col("weight").cast("double"), 4).alias("weight"))
 
 
 @query("vector_top_k", "SELECT vec_id, round(s, 5) AS similarity FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS s FROM embeddings) WHERE s >= 0.1 ORDER BY s DESC, vec_id LIMIT 5")
