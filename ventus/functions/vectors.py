@@ -8,7 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +18,7 @@ DIMENSIONS = 384
 PREFIX, PREFIX_WEIGHT = 5, 0.35
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=1 << 16)
 def fnv1a(token: str) -> int:
     h = 2166136261
     for c in token:
@@ -42,6 +43,25 @@ def hash_embedding(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda x: embed(x or "").astype(np.float32))
 
 
+#: Texts whose vectors are held at a time.
+_TEXTS = 256
+
+
+def hash_weights(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, bucket, weight): the components of hash_embedding that are not zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, _TEXTS):
+                batch = whole.slice(start, _TEXTS)
+                vectors = np.stack([embed(x or "").astype(np.float32) for x in batch.column(1).to_pylist()])
+                at, bucket = np.nonzero(vectors)
+                yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(bucket, pa.int64()), pa.array(vectors[at, bucket])], names=[id_col, "bucket", "weight"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, bucket long, weight float")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
