@@ -102,11 +102,15 @@ def questions_read(spark, sf_dir):
         text = F.replace(text, F.lit(mark), value)
     asked = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(k.alias("id"), text.alias("text"), F.get(places, kind).alias("places"))
 
+    # equal questions are read once
+    once = asked.groupBy("text", "places").agg(F.count("*").alias("_n")).drop("_n")
+    once = once.repartition(spark.sparkContext.defaultParallelism, "text", "places")
+
     def read_all(batches):
         for batch in batches:
-            yield pd.concat([batch[["id"]].reset_index(drop=True), _read(batch)], axis=1)
+            yield pd.concat([batch[["text", "places"]].reset_index(drop=True), _read(batch)], axis=1)
 
-    return asked.mapInPandas(read_all, f"id long, {SCHEMA}")
+    return asked.join(once.mapInPandas(read_all, f"text string, places int, {SCHEMA}"), ["text", "places"]).select("id", *FIELDS)
 
 
 _first = "'What is the PM2.5 level in ' || n || '?'"
