@@ -12,6 +12,7 @@ from ventus import catalog_questions
 from ventus.catalog_text import QUERIES
 from ventus.functions import search_text as st
 from ventus.functions import vectors
+from ventus.operators.postings import Postings
 
 PARTS = ["wild", "fires", "u.s.", "U. S", "usa", "United", "States", "pm", "2.", "5", "pm2.5", "south", "Asia", "highlights", "story", "fine", "particulate", "matter", "more", "than", "up", "from", "rise", "fell", "trend", "changing", "%", "ñ", "lower", "us", "rose", "\n", "\t ", ".", "of"]
 
@@ -54,3 +55,12 @@ def test_weights_are_those_of_the_embedding(spark):
     want = [(k, b, v[b]) for k, t in enumerate(texts) for v in [vectors.embed(t or "").astype(np.float32)] for b in np.flatnonzero(v)]
     pd.testing.assert_frame_equal(got.reset_index(drop=True), pd.DataFrame(want, columns=["id", "bucket", "weight"]).astype({"weight": "float32"}))
     assert vectors.fnv1a.cache_info().maxsize <= 1 << 16
+
+
+def test_an_index_stores_no_keys_of_terms(spark, tmp_path):
+    index = Postings(spark, str(tmp_path / "index"))
+    text = "The burning of fields in the north was measured by many monitors during the long winter of 2019 there."
+    index.write(spark.createDataFrame([("s", "1", text, "Fields", None, "txt")], "source_id string, id string, content string, title string, page_title string, source_type string"))
+    assert not (tmp_path / "index" / "keys").exists() and index.table("chunks").first().title == "fields"
+    found = index.rank(spark.createDataFrame([(1, "buring monitors")], "question_id int, question string")).collect()
+    assert [(r.id, r.n_matched) for r in found] == [("1", 2)]
