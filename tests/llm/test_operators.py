@@ -631,6 +631,52 @@ def test_main_text_of_a_host_of_mixed_pages(spark):
         assert got == {**{k: f"Own text {k}" for k in range(60)}, 90: "Shared menu line\nAlone"}
 
 
+def test_differencing_decides_within_articles(spark):
+    parts = '<div class="share">Tell your friends of us.</div><p class="alert">We move house in May.</p>'
+    own = lambda k: f'<div class="alert">Flood {k} came.</div><table class="widget"><tr><td>Bolt<td>{k}</table>'
+    page = lambda k: f"<article><h1>Title {k}</h1><p>One sentence of all.</p><p>Text {k}.</p>{own(k)}{parts}</article>"
+    rows = [(k, f"http://h.org/d/p{k}", page(k)) for k in range(6)]
+    # of one article in two places and of a page without a neighbour nothing tells what is shared; copies look further for a partner
+    rows += [(10, "http://two.org/a", page(10)), (11, "http://two.org/b", page(10)), (12, "http://one.org/", page(12)), (13, "http://h.org/d/p3x", page(3))]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda k: f"Title {k}\nOne sentence of all.\nText {k}.\nFlood {k} came.\nBolt\n{k}"
+    whole = lambda k: f"{text(k)}\nTell your friends of us.\nWe move house in May."
+    assert got == {**{k: text(k) for k in range(6)}, 10: whole(10), 11: whole(10), 12: whole(12), 13: text(3)}
+
+
+def test_copies_of_a_page_are_no_partners(spark):
+    rng = np.random.default_rng(4)
+    page = lambda k: f"<div>Menu</div><div>Own {k}</div><div>More of {k}</div>"
+    # long runs of copies pass over whole partitions of the sort; the second host has nothing but copies
+    kinds = [int(k) for n, k in zip(rng.integers(1, 40, 12), rng.integers(0, 5, 12), strict=True) for _ in range(n)]
+    rows = [(k, f"http://h.org/{k:04}", page(kind)) for k, kind in enumerate(kinds)] + [(k, f"http://i.org/{k}", page(9)) for k in range(1000, 1030)]
+    for n in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", str(4 * n))
+        try:
+            got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == {**{k: f"Own {kind}\nMore of {kind}" for k, kind in enumerate(kinds)}, **dict.fromkeys(range(1000, 1030), "Menu\nOwn 9\nMore of 9")}
+
+
+def test_every_page_meets_its_nearest_page(spark, sf_dir):
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    pages += [(k + 100000, u, h) for k, u, h in pages[::3]] + [(k + 200000, f"{u}/x", h) for k, u, h in pages[::5]]
+    blocks = {k: html.page_blocks(h) for k, _, h in pages}
+    content = {k: [x for x, kind in b if kind != html.OUT] for k, b in blocks.items()}
+    order = sorted((*html.place(u), k) for k, u, _ in pages)
+    best = {}
+    for at, (host, path, k) in enumerate(order):
+        near = [next((x for x in side if x[0] == host and content[x[2]] != content[k]), None) for side in (order[:at][::-1], order[at + 1 :])]
+        partner = html.nearest(near[0], (host, path, k), near[1])
+        if partner is not None:
+            best[k] = b"".join(html._code(x) for x, _ in blocks[partner])
+    shelf = html.Shelf(spark)
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    sketches = table.mapInArrow(html._sketch, "page_id long, host string, path string, content binary, codes binary")
+    assert best and {r.page_id: bytes(r.other) for r in html.partners(sketches, shelf).collect()} == best
+
+
 def test_main_text_keeps_what_the_article_says(spark):
     pages = {
         "<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here.</p></article>": "Energy is E=m here.",
