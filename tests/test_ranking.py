@@ -182,3 +182,36 @@ def test_tables_without_rows(spark, tmp_path):
     assert index.rank(spark.createDataFrame([(1, "wildfire smoke")], "question_id int, question string")).count() == 0
     index.write(spark.createDataFrame([("a", "Wildfire smoke in Canada was measured by monitors of the annual report.", None, None, "pdf", "s")] * 2, SCHEMA).withColumns({"tf": F.lit(1), "token": F.lit("x")}))
     assert index.rank(spark.createDataFrame([(1, "wildfire smoke")], "question_id int, question string")).count() == 1
+
+
+def exchanged(spark) -> int:
+    """Bytes that this session's tasks have written for exchanges so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_texts_are_exchanged_once_and_few_chunks_are_held_against_questions(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=7)) for _ in range(400)]
+    rows = [(f"c{k}", " ".join(rng.choices(words[:300], k=150)) + f". {words[300 + k % 100]} end.", None, None, "txt", f"s{k % 3}") for k in range(1500)]
+    questions = spark.createDataFrame([(k, " ".join([*words[:12], words[300 + k]])) for k in range(60)], "question_id int, question string")
+    before = exchanged(spark)
+    index = Postings(spark, str(tmp_path / "index"))
+    index.write(spark.createDataFrame(rows, SCHEMA))
+    index.rank(questions).collect()
+    assert exchanged(spark) - before < 3 * sum(len(r[1]) for r in rows)
+
+
+def test_ranking_without_broadcasts(spark, chunks, tmp_path, monkeypatch):
+    for name, value in (("BROADCAST_ROWS", 0), ("_CHUNKS", 7), ("_MOST_KNOWN", 5), ("RAREST", 1)):
+        monkeypatch.setattr(f"ventus.operators.postings.{name}", value)
+    asked = {0: QUESTIONS[0], 1: QUESTIONS[3], 2: QUESTIONS[5], 3: QUESTIONS[13], 4: "wild fire wildfire south asia southasia"}
+    more = [("w", "Wild things set fire to the wildfire of South Asia, southasia and the rest of it in 2023.", "wild", "fire", "pdf", "s1")]
+    index = Postings(spark, str(tmp_path / "index"))
+    index.write(spark.createDataFrame(chunks + more, SCHEMA))
+    got: dict = {}
+    for r in index.rank(spark.createDataFrame(list(asked.items()), "question_id int, question string")).collect():
+        got.setdefault(r.question_id, []).append(r)
+    want = {k: model([c[:5] for c in chunks + more], q) for k, q in asked.items()}
+    assert {k: told(v) for k, v in got.items()} == {k: v for k, v in want.items() if v} and 4 in got
