@@ -16,6 +16,8 @@ from ventus.plans import question as q
 from ventus.sources import changes, store
 from ventus.streaming import messages as stream
 
+from .test_ranking import exchanged
+
 SENTENCES = [
     ("Dr. Smith measured it. It rose.", ["Dr. Smith measured it.", "It rose."]),
     ("As told by J. Smith et al. In 2024 it fell! Why?", ["As told by J. Smith et al. In 2024 it fell!", "Why?"]),
@@ -83,6 +85,29 @@ def test_evidence_is_held_to_its_question(spark):
     assert search.answer_windows(facts, ASKED[1], "id", "content").first().window == FACTS[0][1]
 
 
+def test_evidence_in_shares_of_the_questions(spark, monkeypatch):
+    monkeypatch.setattr("ventus.operators.postings.BROADCAST_ROWS", 2)
+    monkeypatch.setattr(evidence, "_ROWS", 1)
+    monkeypatch.setattr(evidence, "_MOST_KNOWN", 1)
+    got: dict = {}
+    for r in evidence.evidence(spark.createDataFrame(FACTS, "id string, content string"), spark.createDataFrame(list(enumerate(ASKED)), "question_id int, question string")).collect():
+        got.setdefault(r.question_id, {})[r.id, r.position, r.n_sentences] = round(r.score, 6)
+    want = {k: model(x or "") for k, x in enumerate(ASKED)}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_texts_and_windows_are_not_exchanged(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(300)]
+    rows = [(k, " ".join(" ".join(rng.choices(words, k=9)).capitalize() + "." for _ in range(12))) for k in range(1200)]
+    spark.createDataFrame(rows, "id long, content string").write.parquet(str(tmp_path / "texts"))
+    questions = spark.createDataFrame([(k, " ".join(words[5 * k : 5 * k + 2])) for k in range(60)], "question_id int, question string")
+    before = exchanged(spark)
+    found = evidence.evidence(spark.read.parquet(str(tmp_path / "texts")), questions).count()
+    # a table as small as this is dealt over all cores once
+    assert found > 0 and exchanged(spark) - before < 2 * sum(len(t) for _, t in rows)
+
+
 NAMES = ["India", "New Delhi", "NCT of Delhi", "Uttar Pradesh", "Andhra Pradesh", "United States", "Capital", "Bangladesh", "State of Georgia", "Georgia", "Côte d'Ivoire", "New York", "York", "Province", "", "West Bengal", "india", "Uttar  Pradesh!"]
 QUESTIONS = ["Compare India and Bangladseh", "pollution in uttar pradesh", "NewYork or York", "delhi", "capital", "capital of India", "georgia state", "uttr pradsh vs andhra", "the province of west bengal", "USA", "c te d ivoire", "", None, "nothing here", "India india INDIA"]
 
